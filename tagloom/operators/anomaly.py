@@ -230,8 +230,8 @@ def assess(v: np.ndarray, t: np.ndarray, rule: Rule) -> np.ndarray:
     return out
 
 
-def assess_records(v: np.ndarray, t: np.ndarray, others: np.ndarray, rule: Rule) -> np.ndarray:
-    """Like :func:`assess` for records with repeats, sorted by (t, others, v); repeats share their original's status."""
+def assess_records(v: np.ndarray, t: np.ndarray, rule: Rule) -> np.ndarray:
+    """Like :func:`assess` for records with repeats, sorted by (t, v); repeats share their original's status."""
     same = np.zeros(v.size, dtype=bool)
     if v.size > 1:
         eq = (v[1:] == v[:-1]) | (np.isnan(v[1:]) & np.isnan(v[:-1]))
@@ -240,16 +240,24 @@ def assess_records(v: np.ndarray, t: np.ndarray, others: np.ndarray, rule: Rule)
     return assess(v[first], t[first], rule)[np.cumsum(first) - 1]
 
 
-def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[str, Rule], everything: bool = False, max_rows: int = 200_000) -> DataFrame:
+def in_range(v: np.ndarray, rule: Rule) -> np.ndarray:
+    """Status of records without source or time: only fillers and the possible range count."""
+    out = np.zeros(v.size, dtype=np.int8)
+    out[(v < rule.low) | (v > rule.high)] = IMPOSSIBLE
+    out[~np.isfinite(v) | np.isin(v, rule.fillers)] = MISSING
+    return out
+
+
+def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[str, Rule], sizing: DataFrame, everything: bool = False, max_rows: int = 200_000) -> DataFrame:
     """(row_key, field, value, status) of the records that aren't ordinary, or of all with ``everything``.
 
-    rows: row_key BIGINT, source STRING, ts TIMESTAMP and a DOUBLE per field. Rows without source or time are only
-    held against the possible range. Ties in time are ordered by value; repeats of a record share its status.
+    rows: row_key BIGINT, source STRING, ts TIMESTAMP and a DOUBLE per field; ``sizing``: see split_hot. Rows
+    without source or time are only held against the possible range; they are spread over 64 groups. Ties in time
+    are ordered by value; repeats of a record share its status. The rows are read once and shuffled once.
     """
     fields = list(rules)
-    known = rows.where(F.col(source).isNotNull() & F.col(ts).isNotNull())
-    lone = rows.where(F.col(source).isNull() | F.col(ts).isNull())
-    split = split_hot(known, source, ts, max_rows)
+    lone = F.col(source).isNull() | F.col(ts).isNull()
+    split = split_hot(rows, source, ts, sizing, max_rows)
     schema = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("field", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("status", T.StringType())])
     words = np.array(["ok", *[STATUS[i] for i in range(1, 5)]], dtype=object)
 
@@ -263,15 +271,18 @@ def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[st
                 part.clear()
             return b
 
-        for _, tab in sorted_groups(batches, 2):
+        for (src_key, _), tab in sorted_groups(batches, 2):
             t = tab.column(2).to_numpy() / 1e6
-            core = tab.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            core = tab.column(3).to_numpy().astype(bool)
             row = tab.column(4).to_numpy()
             for j, f in enumerate(fields):
                 v = tab.column(5 + j).to_numpy().astype(float)
-                order = np.lexsort((v, t))
-                st = np.empty(v.size, dtype=np.int8)
-                st[order] = assess_records(v[order], t[order], t, rules[f])
+                if src_key is None:
+                    st = in_range(v, rules[f])
+                else:
+                    order = np.lexsort((v, t))
+                    st = np.empty(v.size, dtype=np.int8)
+                    st[order] = assess_records(v[order], t[order], rules[f])
                 pick = core if everything else core & (st > MISSING)
                 if pick.any():
                     n = int(pick.sum())
@@ -286,22 +297,13 @@ def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[st
         if held:
             yield emit()
 
-    src = split.select(F.col(source).alias("source"), "seg", F.unix_micros(ts).alias("us"), "core", F.col(row_key).alias("row_key"), *fields)
-    timed = src.repartition("source", "seg").sortWithinPartitions("source", "seg", "us").mapInArrow(run, schema)
-    parts = [timed]
-    for f, r in rules.items():
-        v = F.col(f)
-        status = F.when(v.isNull() | F.isnan(v) | v.isin(list(r.fillers)), "missing").when((v < r.low) | (v > r.high), "impossible").otherwise("ok")
-        out = lone.select(F.col(row_key).alias("row_key"), F.lit(f).alias("field"), v.alias("value"), status.alias("status"))
-        parts.append(out if everything else out.where("status = 'impossible'"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    seg = F.when(lone, F.pmod(F.xxhash64(row_key), F.lit(64)).cast("int")).otherwise(F.col("seg"))
+    src = split.select(F.when(~lone, F.col(source)).alias("source"), seg.alias("seg"), F.unix_micros(ts).alias("us"), "core", F.col(row_key).alias("row_key"), *fields)
+    return src.repartition("source", "seg").sortWithinPartitions("source", "seg", "us").mapInArrow(run, schema)
 
 
 def reading_anomalies(readings: DataFrame, names: NameRule, max_rows: int = 200_000) -> DataFrame:
     """Anomalies of smart_194 and smart_9 in JSON readings."""
     parsed = with_metrics(readings, ["id", "drive_id", "reading_ts"], names, ["smart_194", "smart_9"])
     rows = parsed.select("id", "drive_id", reading_instant(F.col("reading_ts")).alias("ts"), "smart_194", "smart_9").where("smart_194 is not null or smart_9 is not null")
-    return statuses(rows, "id", "drive_id", "ts", RULES, max_rows=max_rows)
+    return statuses(rows, "id", "drive_id", "ts", RULES, readings.select("drive_id", reading_instant(F.col("reading_ts")).alias("ts")), max_rows=max_rows)

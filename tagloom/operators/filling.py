@@ -29,20 +29,17 @@ def text_or_null(c: Column) -> Column:
     return F.when(~F.lower(t).isin(*TEXT_FILLERS) & ~t.rlike(r"^[\W_0]*$"), t)
 
 
-def recurring_texts(rows: DataFrame, field: str, place: str) -> list[str]:
-    """Values of ``field`` in at least RECURS places at a time: codes, since a drive sits in one place.
-
-    Drives move now and then, so only values in more than RECURS places on some date count. Bounded by 1,000.
-    """
-    per_day = rows.where(F.col(field).isNotNull() & F.col(place).isNotNull()).groupBy(field, "date").agg(F.approx_count_distinct(place).alias("n"))
-    return [r[0] for r in per_day.where(F.col("n") >= RECURS).select(field).distinct().limit(1000).collect()]
+def recurring_texts(rows: DataFrame, field: str, place: str, least: int = 8) -> list[str]:
+    """Values of ``field`` that show up in at least ``least`` places: codes, since a drive sits in one place and seldom moves."""
+    per = rows.where(F.col(field).isNotNull() & F.col(place).isNotNull()).groupBy(field).agg(F.approx_count_distinct(place).alias("n"))
+    return [r[0] for r in per.where(F.col("n") >= least).select(field).collect()]
 
 
 def mine_number_fillers(rows: DataFrame, field: str, drive: str, low: float, high: float) -> list[float]:
     """Out-of-range values that recur across at least RECURS drives."""
     v = F.col(field).cast("double")
     odd = rows.where(~F.isnan(v) & ((v < low) | (v > high)) & F.col(drive).isNotNull())
-    return [r[0] for r in odd.groupBy(v.alias("v")).agg(F.countDistinct(drive).alias("n")).where(F.col("n") >= RECURS).select("v").limit(1000).collect()]
+    return [r[0] for r in odd.groupBy(v.alias("v")).agg(F.countDistinct(drive).alias("n")).where(F.col("n") >= RECURS).select("v").collect()]
 
 
 def mine_dependencies(rows: DataFrame, candidates: list[tuple[tuple[str, ...], str]], least_support: int = 2) -> DataFrame:
@@ -83,10 +80,15 @@ def with_drive(train: DataFrame) -> DataFrame:
     return shown.unionByName(lost).withColumn("drive", F.coalesce("serial", "serial_by_bay"))
 
 
-def hours_rule(rows: DataFrame) -> Rule:
+def shown_serials(train: DataFrame, *columns: str) -> DataFrame:
+    """The daily rows' drive as shown, before any filling: what fillers are mined from and timelines sized by."""
+    return train.select(text_or_null(F.col("serial_number")).alias("drive"), F.col("date").cast("timestamp").alias("ts"), *columns)
+
+
+def hours_rule(train: DataFrame) -> Rule:
     """The rule of smart_9 with its filler codes: the conventional ones and those that recur across drives."""
     r = RULES["smart_9"]
-    return replace(r, fillers=tuple(sorted({*NUMBER_FILLERS, *mine_number_fillers(rows, "smart_9", "drive", r.low, r.high)})))
+    return replace(r, fillers=tuple(sorted({*NUMBER_FILLERS, *mine_number_fillers(shown_serials(train, "smart_9"), "smart_9", "drive", r.low, r.high)})))
 
 
 def train_rows(train: DataFrame) -> DataFrame:
@@ -96,14 +98,13 @@ def train_rows(train: DataFrame) -> DataFrame:
 
 def train_anomalies(train: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Anomalies of smart_194 and smart_9 in daily rows (see anomaly.statuses); fillers aren't anomalies."""
-    rows = train_rows(train)
-    return statuses(rows, "row_id", "drive", "ts", {"smart_194": RULES["smart_194"], "smart_9": hours_rule(rows)}, max_rows=max_rows)
+    return statuses(train_rows(train), "row_id", "drive", "ts", {"smart_194": RULES["smart_194"], "smart_9": hours_rule(train)}, shown_serials(train), max_rows=max_rows)
 
 
-def errors_value(rows: DataFrame) -> Column:
+def errors_value(train: DataFrame) -> Column:
     """smart_187 with missing ones as null: not a number, negative, or a code of at least 255 that recurs or is conventional."""
     v = F.col("smart_187").cast("double")
-    codes = sorted({c for c in NUMBER_FILLERS if c >= 255} | set(mine_number_fillers(rows, "smart_187", "drive", 0.0, 1000.0)))
+    codes = sorted({c for c in NUMBER_FILLERS if c >= 255} | set(mine_number_fillers(shown_serials(train, "smart_187"), "smart_187", "drive", 0.0, 1000.0)))
     return F.when(~F.isnan(v) & (v >= 0) & ~v.isin(codes), v)
 
 
@@ -116,10 +117,10 @@ def fill_cells(train: DataFrame, days: int = 7) -> DataFrame:
     """
     rows = with_drive(train.select("row_id", "serial_number", "bay", "date", "smart_9", "smart_187"))
     status = statuses(
-        rows.select("row_id", "drive", F.col("date").cast("timestamp").alias("ts"), F.col("smart_9").cast("double").alias("smart_9")), "row_id", "drive", "ts", {"smart_9": hours_rule(rows)}, everything=True
+        rows.select("row_id", "drive", F.col("date").cast("timestamp").alias("ts"), F.col("smart_9").cast("double").alias("smart_9")), "row_id", "drive", "ts", {"smart_9": hours_rule(train)}, shown_serials(train), everything=True
     ).select(F.col("row_key").alias("row_id"), F.col("status").alias("status_9"))
     cells = rows.join(status, "row_id", "left").select(
-        "row_id", "serial", "serial_by_bay", "drive", "date", F.when(F.col("status_9") == "missing", None).otherwise(F.col("smart_9").cast("double")).alias("shown_9"), (F.col("status_9") == "ok").alias("ok_9"), errors_value(rows).alias("shown_187")
+        "row_id", "serial", "serial_by_bay", "drive", "date", F.when(F.col("status_9") == "missing", None).otherwise(F.col("smart_9").cast("double")).alias("shown_9"), (F.col("status_9") == "ok").alias("ok_9"), errors_value(train).alias("shown_187")
     )
     donor_9 = F.when(F.col("ok_9"), F.col("shown_9"))
     per_day = cells.where(F.col("drive").isNotNull() & F.col("date").isNotNull()).groupBy("drive", "date").agg(
