@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 _NUMBERED = re.compile(r"^(?:smart|attr|attribute|r|id)[ _.\-]*0*(\d{1,3})(?:[ _.\-]*(?:raw|value))?$", re.I)
 _LEADING_NUMBER = re.compile(r"^\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)")
 
@@ -97,7 +99,7 @@ def with_metrics(readings: DataFrame, keep: list[str], rule: NameRule, fields: l
 
     A cut-off metrics_json gives readable = false and null fields; of two keys for one field the first number wins.
     """
-    src = readings.select(*keep, "metrics_json")
+    src = spread(readings.select(*keep, "metrics_json"))
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("readable", T.BooleanType())] + [T.StructField(f, T.DoubleType()) for f in fields])
     col_of = {f: i for i, f in enumerate(fields)}
 

@@ -18,3 +18,15 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/tagloom-che
     if sc.getCheckpointDir() is not None:
         return
     sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The table over all cores where it has fewer parts than there are cores, as a small table in one file has.
+
+    Costly Python steps follow; large tables have parts enough and aren't shuffled. Only plain scans are touched.
+    """
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < plan.toRdd().getNumPartitions() < cores else df
