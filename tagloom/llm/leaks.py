@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 RUN = 6  # words of a pattern; lossless for LEAST and TOLERANCE
 BLOCK = 3  # words of a block
 LEAST = 20  # words in a row
@@ -152,7 +154,7 @@ def contained_items(docs: DataFrame, items: DataFrame, max_items: int = 1_000_00
     spark = docs.sparkSession
     whole = [(r[0], words(r[1])) for r in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id").toLocalIterator()]
     usable = [x for x in whole if len(x[1]) >= LEAST]
-    src = docs.where("text is not null and length(text) > 0").select("doc_id", "text")
+    src = spread(docs.where("text is not null and length(text) > 0").select("doc_id", "text"))
     schema = "doc_id bigint, item_id bigint, n_words int, n_different int, first_word int"
     out = None
     for i in range(0, max(1, len(usable)), max_items):

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import spread
+
 # Fixed value: the split pattern that the vocabulary is published with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_PIECES = 300_000  # pieces kept per Python worker
@@ -153,7 +155,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``folder`` (default: the installed public tokenizers).
     """
     path = os.path.join(vocabulary_folder(folder), f"{vocabulary}.tiktoken")
-    src = docs.select(id_col, text_col)
+    src = spread(docs.select(id_col, text_col))
     schema = T.StructType([src.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
