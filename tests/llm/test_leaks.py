@@ -36,7 +36,7 @@ def test_search_equals_brute_force():
     items[3] = (3, items[2][1][:25] + items[3][1])  # a shared opening
     engine = WuManber(items)
     hits = 0
-    for _ in range(150):
+    for _ in range(250):
         doc = [rng.choice(VOCAB + ["other"]) for _ in range(rng.randint(0, 30))]
         src = rng.choice(items)[1]
         a = rng.randint(0, max(0, len(src) - 15))
