@@ -248,26 +248,30 @@ def in_range(v: np.ndarray, rule: Rule) -> np.ndarray:
     return out
 
 
-def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[str, Rule], sizing: DataFrame, everything: bool = False, max_rows: int = 200_000) -> DataFrame:
+def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[str, Rule], sizing: DataFrame, everything: bool = False, max_rows: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """(row_key, field, value, status) of the records that aren't ordinary, or of all with ``everything``.
 
     rows: row_key BIGINT, source STRING, ts TIMESTAMP and a DOUBLE per field; ``sizing``: see split_hot. Rows
     without source or time are only held against the possible range; they are spread over 64 groups. Ties in time
-    are ordered by value; repeats of a record share its status. The rows are read once and shuffled once.
+    are ordered by value; repeats of a record share its status. The rows are read once and shuffled once; the
+    columns in ``carry`` come along, which saves a join. Other columns are dropped.
     """
     fields = list(rules)
+    rows = rows.select(row_key, source, ts, *fields, *[c for c in carry if c not in (row_key, source, ts, *fields)])
     lone = F.col(source).isNull() | F.col(ts).isNull()
     split = split_hot(rows, source, ts, sizing, max_rows)
-    schema = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("field", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("status", T.StringType())])
+    schema = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("field", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("status", T.StringType())] + [T.StructField(c, rows.schema[c].dataType) for c in carry])
     words = np.array(["ok", *[STATUS[i] for i in range(1, 5)]], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, names, vals, stats, held = [], [], [], [], 0
+        keys, names, vals, stats, extra, held = [], [], [], [], [], 0
 
         def emit() -> pa.RecordBatch:
             x = np.concatenate(vals)
-            b = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names), type=pa.string()), pa.array(x, mask=np.isnan(x)), pa.array(np.concatenate(stats), type=pa.string())], names=schema.names)
-            for part in (keys, names, vals, stats):
+            more = pa.concat_tables(extra).combine_chunks() if carry else None
+            along = [more.column(i).chunk(0) for i in range(len(carry))] if carry else []
+            b = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names), type=pa.string()), pa.array(x, mask=np.isnan(x)), pa.array(np.concatenate(stats), type=pa.string()), *along], names=schema.names)
+            for part in (keys, names, vals, stats, extra):
                 part.clear()
             return b
 
@@ -290,6 +294,8 @@ def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[st
                     names.append(np.full(n, f, dtype=object))
                     vals.append(v[pick])
                     stats.append(words[st[pick]])
+                    if carry:
+                        extra.append(tab.select(range(5 + len(fields), tab.num_columns)).filter(pa.array(pick)))
                     held += n
             if held >= 20_000:
                 yield emit()
@@ -298,7 +304,7 @@ def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[st
             yield emit()
 
     seg = F.when(lone, F.pmod(F.xxhash64(row_key), F.lit(64)).cast("int")).otherwise(F.col("seg"))
-    src = split.select(F.when(~lone, F.col(source)).alias("source"), seg.alias("seg"), F.unix_micros(ts).alias("us"), "core", F.col(row_key).alias("row_key"), *fields)
+    src = split.select(F.when(~lone, F.col(source)).alias("source"), seg.alias("seg"), F.unix_micros(ts).alias("us"), "core", F.col(row_key).alias("row_key"), *fields, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     return src.repartition("source", "seg").sortWithinPartitions("source", "seg", "us").mapInArrow(run, schema)
 
 

@@ -15,6 +15,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .anomaly import RULES, Rule, statuses
 
 # Spellings that stand for no text, and codes that stand for no number.
@@ -116,12 +117,12 @@ def fill_cells(train: DataFrame, days: int = 7) -> DataFrame:
     day), ``group:drive,7d`` (nearest plausible values around that date), or null where nothing fills the cell.
     """
     rows = with_drive(train.select("row_id", "serial_number", "bay", "date", "smart_9", "smart_187"))
-    status = statuses(
-        rows.select("row_id", "drive", F.col("date").cast("timestamp").alias("ts"), F.col("smart_9").cast("double").alias("smart_9")), "row_id", "drive", "ts", {"smart_9": hours_rule(train)}, shown_serials(train), everything=True
-    ).select(F.col("row_key").alias("row_id"), F.col("status").alias("status_9"))
-    cells = rows.join(status, "row_id", "left").select(
-        "row_id", "serial", "serial_by_bay", "drive", "date", F.when(F.col("status_9") == "missing", None).otherwise(F.col("smart_9").cast("double")).alias("shown_9"), (F.col("status_9") == "ok").alias("ok_9"), errors_value(train).alias("shown_187")
-    )
+    timed = rows.select("row_id", "serial", "serial_by_bay", "drive", "date", F.col("date").cast("timestamp").alias("ts"), F.col("smart_9").cast("double").alias("smart_9"), errors_value(train).alias("shown_187"))
+    assessed = statuses(timed, "row_id", "drive", "ts", {"smart_9": hours_rule(train)}, shown_serials(train), everything=True, carry=("serial", "serial_by_bay", "drive", "date", "shown_187"))
+    ensure_checkpoint_dir(train.sparkSession)
+    cells = assessed.select(
+        F.col("row_key").alias("row_id"), "serial", "serial_by_bay", "drive", "date", F.when(F.col("status") != "missing", F.col("value")).alias("shown_9"), (F.col("status") == "ok").alias("ok_9"), "shown_187"
+    ).checkpoint()  # read three times below; the assessment isn't to run three times
     donor_9 = F.when(F.col("ok_9"), F.col("shown_9"))
     per_day = cells.where(F.col("drive").isNotNull() & F.col("date").isNotNull()).groupBy("drive", "date").agg(
         F.max(donor_9).alias("d_9"), F.max("shown_187").alias("d_187"), F.count_if(F.col("shown_9").isNull()).alias("open_9"), F.count_if(F.col("shown_187").isNull()).alias("open_187")
