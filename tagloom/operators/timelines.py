@@ -29,6 +29,8 @@ def split_hot(rows: DataFrame, key: str, ts: str, sizing: DataFrame, max_rows: i
     table = spark.createDataFrame(cuts, f"`{key}` string, t0 bigint, width bigint, n_seg int")
     at = F.unix_seconds(ts) - F.col("t0")
     seg = lambda x: F.greatest(F.lit(0), F.least(F.col("n_seg") - 1, F.floor(x / F.col("width")))).cast("int")
-    joined = rows.join(F.broadcast(table), key, "left").withColumn("own", F.coalesce(seg(at), F.lit(0)))
-    spread = joined.withColumn("seg", F.explode(F.when(F.col("n_seg").isNull() | F.col(ts).isNull(), F.array(F.lit(0))).otherwise(F.sequence(seg(at - context_s), seg(at + context_s)))))
+    joined = rows.join(F.broadcast(table), key, "left")
+    one = F.col("n_seg").isNull() | F.col(ts).isNull()
+    joined = joined.withColumn("own", F.when(one, 0).otherwise(seg(at)))
+    spread = joined.withColumn("seg", F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.sequence(seg(at - context_s), seg(at + context_s)))))
     return spread.withColumn("core", F.col("seg") == F.col("own")).drop("own", "t0", "width", "n_seg")
