@@ -12,7 +12,7 @@ from tagloom.sources.ingest import Transfer
 
 @pytest.fixture(scope="module")
 def cat(spark):
-    rows = [(i, f"doc about {w}", f"t/{t}", f"b{i}.txt") for i, (w, t) in enumerate([("space", "a"), ("bread", "a"), ("space ships", "b"), (None, "c")])]
+    rows = [(i, w and f"doc about {w}", f"t/{t}", f"b{i}.txt") for i, (w, t) in enumerate([("space", "a"), ("bread", "a"), ("space ships", "b"), (None, "c")])]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, tag_name string, blob_name string").withColumn("last_modified", F.timestamp_micros(F.col("doc_id") * 1000000 + 1))
     return Catalog.of_documents(d)
 

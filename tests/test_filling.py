@@ -12,7 +12,7 @@ def day(i):
 
 
 def rows():
-    out = [(i, "S1", "b1", day(i), 1000.0 + 24 * i, float(i // 10), 40.0) for i in range(30)]
+    out = [(i, "S1", "b1", day(i), 1000.0 + 24 * i, float(i // 15), 40.0) for i in range(30)]
     out[5] = (5, None, "b1", day(5), 1120.0, 0.0, 40.0)  # S1 on both sides
     out[9] = (9, "n/a", "b1", day(9), float("nan"), -1.0, 40.0)
     out[12] = (12, "S1", "b1", day(12), 999999.0, 65535.0, 40.0)
@@ -31,7 +31,7 @@ def test_cells_filled_and_left(spark):
     assert got.pop((5, "serial_number")) == ("S1", "fd:bay,interval") and got.pop((9, "serial_number")) == ("S1", "fd:bay,interval")
     assert got.pop((9, "smart_9")) == ("1216.0", "group:drive,7d") and got.pop((9, "smart_187")) == ("0.0", "group:drive,7d")
     for k in (12, 142):
-        assert got.pop((k, "smart_9")) == ("1288.0", "group:drive,7d") and got.pop((k, "smart_187")) == ("1.0", "group:drive,7d")
+        assert got.pop((k, "smart_9")) == ("1288.0", "group:drive,7d") and got.pop((k, "smart_187")) == ("0.0", "group:drive,7d")
     assert not got
 
 

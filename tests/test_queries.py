@@ -1,10 +1,10 @@
 import pytest
 
-from tagloom.plans import analytics_queries, baseline_queries, catalog_queries, problems
+from tagloom.plans import analytics_queries, baseline_queries, catalog_queries, problems, service_queries
 
 from compare import same_rows
 
-MODULES = (problems, catalog_queries, analytics_queries, baseline_queries)
+MODULES = (problems, catalog_queries, analytics_queries, baseline_queries, service_queries)
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 SQL = {n: q for m in MODULES for n, q in m.SQL.items()}
 
