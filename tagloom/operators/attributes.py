@@ -20,9 +20,10 @@ def alias_counts(tags: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def unlink(tags: DataFrame, aliases: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Removes a name: an alias goes alone; a tag with aliases lives on under the first of them; else it goes."""
-    first = aliases.where(F.col("tag_name") == name).agg(F.min("alias").alias("heir"))
-    t = tags.join(F.broadcast(first)).withColumn("tag_name", F.when(F.col("tag_name") == name, F.col("heir")).otherwise(F.col("tag_name"))).where("tag_name is not null").drop("heir")
-    a = aliases.join(F.broadcast(first)).where((F.col("alias") != name) & ~((F.col("tag_name") == name) & (F.col("alias") == F.col("heir")))).withColumn("tag_name", F.when(F.col("tag_name") == name, F.col("heir")).otherwise(F.col("tag_name"))).drop("heir")
+    heir = aliases.where(F.col("tag_name") == name).agg(F.min("alias")).scalar()
+    own = F.col("tag_name") == name
+    t = tags.withColumn("tag_name", F.when(own, heir).otherwise(F.col("tag_name"))).where("tag_name is not null")
+    a = aliases.withColumn("_heir", heir).where((F.col("alias") != name) & ~(own & (F.col("alias") == F.col("_heir")))).withColumn("tag_name", F.when(own, F.col("_heir")).otherwise(F.col("tag_name"))).drop("_heir")
     return t, a
 
 

@@ -6,10 +6,12 @@ import bz2
 import lzma
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .arraystats import groom
 
 #: Codecs by name; zstd joins where its module is installed.
@@ -55,15 +57,38 @@ def psnr_ok(psnr: Column, target: float) -> Column:
 def percentile_edges(rows: DataFrame, value: str, bins: int = 15) -> DataFrame:
     """(bin, edge): the values at floor(i / bins * n) of the order, without repeats, numbered from 0.
 
-    The ranks come from counts of the distinct values, so equal values are handled once, not row by row.
+    Equal values are counted first. Their counts are sorted by range over all tasks and kept, each part's total is
+    summed on the driver (one number a part), and every wanted rank is then looked up in its own part.
     """
+    ensure_checkpoint_dir(rows.sparkSession)
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("edge")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("edge").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    wanted = total.select("total", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("i")).select(F.floor(F.col("i") * F.col("total") / bins).alias("at"))
-    hit = ranked.join(F.broadcast(wanted), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("edge").distinct()
-    return hit.withColumn("bin", F.row_number().over(Window.orderBy("edge")) - 1)
+    parts = counts.repartitionByRange("edge").sortWithinPartitions("edge").withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = sorted((r["part"], r["n"]) for r in parts.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    wanted: dict[int, list[int]] = {}
+    for i in range(1, bins):
+        at, before = i * total // bins, 0
+        for part, n in sizes:
+            if at < before + n:
+                wanted.setdefault(part, []).append(at - before)
+                break
+            before += n
+    schema = "edge double"
+
+    def pick(frames):
+        hits, seen, mine = [], 0, None
+        for df in frames:
+            if not len(df):
+                continue
+            if mine is None:
+                mine = wanted.get(int(df["part"].iloc[0]), [])
+            ends = seen + df["n"].cumsum().to_numpy()
+            hits += [float(df["edge"].iloc[int(np.searchsorted(ends, at, side="right"))]) for at in mine if seen <= at < ends[-1]]
+            seen = int(ends[-1])
+        yield pd.DataFrame({"edge": sorted(set(hits))})
+
+    edges = parts.mapInPandas(pick, schema).distinct()
+    return edges.withColumn("bin", F.row_number().over(Window.orderBy("edge")) - 1)  # fewer rows than bins
 
 
 def bin_of(v: Column, edges: list[float]) -> Column:
@@ -77,18 +102,33 @@ def train_states(rows: DataFrame, state: list[str], targets: list[str]) -> DataF
 
 def predict_states(rows: DataFrame, table: DataFrame, state: list[str], targets: list[str]) -> DataFrame:
     """Means of the row's state, or of all training rows where the state is unknown; ``known`` tells which."""
-    total = table.agg(*[(F.sum(F.col(t) * F.col("n")) / F.sum("n")).alias(f"_g_{t}") for t in targets])
-    j = rows.join(table.withColumn("_hit", F.lit(True)), state, "left").join(F.broadcast(total))
-    return j.select(*rows.columns, *[F.coalesce(F.col(t), F.col(f"_g_{t}")).alias(t) for t in targets], F.coalesce("_hit", F.lit(False)).alias("known"))
+    j = rows.join(table.withColumn("_hit", F.lit(True)), state, "left")
+    overall = {t: table.agg(F.sum(F.col(t) * F.col("n")) / F.sum("n")).scalar() for t in targets}
+    return j.select(*rows.columns, *[F.coalesce(F.col(t), overall[t]).alias(t) for t in targets], F.coalesce("_hit", F.lit(False)).alias("known"))
 
 
 def nearest_states(queries: DataFrame, states: DataFrame, query_id: str, dims: list[str], state_id: str, k: int = 5) -> DataFrame:
-    """The k nearest states of each query by Euclidean distance over bins; ``states`` is a table of bounded bins."""
-    d = sum((F.pow(F.col(f"q.{c}") - F.col(f"s.{c}"), F.lit(2.0)) for c in dims), F.lit(0.0))
-    # the state table has at most the product of its bins as rows: a stated query set against it, in blocks
-    j = queries.alias("q").join(F.broadcast(states).alias("s")).select(F.col(f"q.{query_id}").alias(query_id), F.col(f"s.{state_id}").alias(state_id), F.sqrt(d).alias("distance"))
-    best = j.groupBy(query_id).agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", state_id))), 1, k).alias("b"))
-    return best.select(query_id, F.posexplode("b").alias("i", "x")).select(query_id, (F.col("i") + 1).alias("place"), "x.distance", f"x.{state_id}")
+    """(query, place, distance, state) of the k nearest states by Euclidean distance, ties by the state's id.
+
+    ``states`` holds combinations of bins, so at most the product of their numbers: that bounds what is collected
+    and sent to the tasks. Each batch of queries meets them as a matrix; no pairs become rows.
+    """
+    table = states.select(state_id, *dims).orderBy(state_id).toPandas()
+    shared = queries.sparkSession.sparkContext.broadcast((table[state_id].to_numpy(), table[dims].to_numpy(float)))
+    kinds = (queries.schema[query_id].dataType.simpleString(), states.schema[state_id].dataType.simpleString())
+
+    def run(frames):
+        ids, at = shared.value
+        m = min(k, len(ids))
+        for df in frames:
+            for lo in range(0, len(df), 1024):
+                part = df.iloc[lo : lo + 1024]
+                d = np.sqrt(((part[dims].to_numpy(float)[:, None, :] - at[None]) ** 2).sum(axis=2))
+                best = np.argsort(d, axis=1, kind="stable")[:, :m]
+                n = len(part)
+                yield pd.DataFrame({query_id: np.repeat(part[query_id].to_numpy(), m), "place": np.tile(np.arange(1, m + 1), n), "distance": np.take_along_axis(d, best, axis=1).ravel(), state_id: ids[best].ravel()})
+
+    return queries.select(query_id, *dims).mapInPandas(run, f"{query_id} {kinds[0]}, place int, distance double, {state_id} {kinds[1]}")
 
 
 def ols_by_group(rows: DataFrame, group: list[str], x: str, y: str, least: int = 10) -> DataFrame:

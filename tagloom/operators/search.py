@@ -17,17 +17,17 @@ K1, B = 1.5, 0.75
 def tag_query(tags: DataFrame, pattern: str, max_tags: int = 0) -> DataFrame:
     """Names that match as a whole, in order, at most ``max_tags`` (0: all); ``total`` counts all that match."""
     hit = tags.where(regex_predicate(F.col("tag_name"), pattern)).select("tag_name")
-    total = hit.agg(F.count("*").alias("total"))
+    total = hit.agg(F.count("*")).scalar().alias("total")
     out = hit.orderBy("tag_name")
-    return (out.limit(max_tags) if max_tags else out).join(F.broadcast(total))  # one row is joined
+    return (out.limit(max_tags) if max_tags else out).select("tag_name", total)
 
 
 def blob_query(blobs: DataFrame, tag_pattern: str, blob_pattern: str, max_blobs: int = 0) -> DataFrame:
     """(tag_name, blob_name, total) of the blobs whose names both match, in order."""
     hit = blobs.where(regex_predicate(F.col("tag_name"), tag_pattern) & regex_predicate(F.col("blob_name"), blob_pattern)).select("tag_name", "blob_name")
-    total = hit.agg(F.count("*").alias("total"))
+    total = hit.agg(F.count("*")).scalar().alias("total")
     out = hit.orderBy("tag_name", "blob_name")
-    return (out.limit(max_blobs) if max_blobs else out).join(F.broadcast(total))
+    return (out.limit(max_blobs) if max_blobs else out).select("tag_name", "blob_name", total)
 
 
 def _count_of(tokens_col: str, term: str) -> Column:
@@ -44,14 +44,16 @@ def bm25(blobs: DataFrame, query: str, k: int = 10) -> DataFrame:
     base = blobs.where("size > 0").withColumn("_t", tokens(F.col("payload")))
     tf = [_count_of("_t", t).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = base.select("tag_name", "blob_name", F.size("_t").alias("dl"), *tf)
-    totals = counted.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))])
-    avg = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
+    stats = [F.count("*").cast("double").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))]]
+    scored = counted.withColumn("_s", counted.agg(F.struct(*stats)).scalar())
+    avg = F.when(F.col("_s.avgdl") > 0, F.col("_s.avgdl")).otherwise(1.0)
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1.0)
+        df = F.col(f"_s.df{i}")
+        idf = F.log((F.col("_s.n") - df + 0.5) / (df + 0.5) + 1.0)
         f = F.col(f"tf{i}").cast("double")
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / avg))
-    out = counted.join(F.broadcast(totals)).select("tag_name", "blob_name", score.alias("score")).orderBy(F.desc("score"), "blob_name", "tag_name")
+    out = scored.select("tag_name", "blob_name", score.alias("score")).orderBy(F.desc("score"), "blob_name", "tag_name")
     return out.limit(k) if k else out
 
 
@@ -73,13 +75,19 @@ def temporal(blobs: DataFrame, begin: int = 0, end: int = 0, max_rows: int = 0)
 
 
 def packed(ranked: DataFrame, rank: str, size: str, budget: int) -> DataFrame:
-    """Rows in order of rank as long as they fit the budget together; the first that doesn't ends the packing."""
+    """Rows in order of rank as long as they fit the budget together; the first that doesn't ends the packing.
+
+    Ranked rows are answers of a search, so at most its ``max_results``; they are summed in one task.
+    """
     w = Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     return ranked.where(F.col(size) > 0).withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
 
 
 def packed_by_batch(ranked: DataFrame, rank: str, size: str, budget: int, batch: int = 32) -> DataFrame:
-    """Packing in which a row that doesn't fit ends only its batch of ``batch`` rows; later batches go on."""
+    """Packing in which a row that doesn't fit ends only its batch of ``batch`` rows; later batches go on.
+
+    What a batch leaves decides about the next, so the ranked rows (at most a search's ``max_results``) go in turn.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         used, closed, at = 0, -1, 0

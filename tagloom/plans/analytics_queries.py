@@ -299,8 +299,7 @@ def metric_fold(spark, sf):
 @query("select event_id, user_id, event_type, value from events where event_id >= (select max(event_id) - 500 from events) order by event_id limit 1000")
 def telemetry_poll(spark, sf):
     e = table(spark, sf, "events")
-    last = e.agg((F.max("event_id") - 500).alias("lo"))
-    return e.join(F.broadcast(last), F.col("event_id") >= F.col("lo")).select("event_id", "user_id", "event_type", "value").orderBy("event_id").limit(1000)
+    return e.where(F.col("event_id") >= e.agg(F.max("event_id") - 500).scalar()).select("event_id", "user_id", "event_type", "value").orderBy("event_id").limit(1000)
 
 
 @query("select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as i from events) where i <= 3")

@@ -103,8 +103,7 @@ def codec_round_trip(spark, sf):
 @query("select blob_name from documents where epoch_us(last_modified) >= (select max(epoch_us(last_modified)) from documents) - 86400000000 * 3")
 def modified_since(spark, sf):
     d = table(spark, sf, "documents")
-    last = d.agg(F.max("last_modified").alias("now"))
-    return d.join(F.broadcast(last), F.col("last_modified") >= F.col("now") - F.expr("interval 3 days")).select("blob_name")
+    return d.where(F.col("last_modified") >= d.agg(F.max("last_modified") - F.expr("interval 3 days")).scalar()).select("blob_name")
 
 
 @query("select tag_name, max(doc_id) filter (doc_id % 7 <> 0) as doc_id from documents where tag_name is not null group by 1 having max(doc_id) % 7 <> 0")
