@@ -22,6 +22,9 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from tagloom.session import ship
+
+    ship(s)
     yield s
     s.stop()
 
