@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import regex_predicate, tokens
+from ..functions.text import regex_predicate
+from ..session import spread
 
 K1, B = 1.5, 0.75
 
@@ -30,8 +31,9 @@ def blob_query(blobs: DataFrame, tag_pattern: str, blob_pattern: str, max_blobs:
     return (out.limit(max_blobs) if max_blobs else out).select("tag_name", "blob_name", total)
 
 
-def _count_of(tokens_col: str, term: str) -> Column:
-    return F.size(F.filter(tokens_col, lambda x: x == F.lit(term)))
+def _count_of(text: Column, term: str) -> Column:
+    """Occurrences of a lower-case ASCII term as a whole token; ``(?i)`` folds ASCII letters only."""
+    return F.regexp_count(text, F.lit(f"(?i)(?<![A-Za-z0-9]){term}(?![A-Za-z0-9])"))
 
 
 def bm25(blobs: DataFrame, query: str, k: int = 10) -> DataFrame:
@@ -41,9 +43,9 @@ def bm25(blobs: DataFrame, query: str, k: int = 10) -> DataFrame:
     words' frequencies as columns, so nothing is exploded; the corpus totals are one row.
     """
     terms = sorted({t.lower() for t in re.findall("[A-Za-z0-9]{2,}", query)})
-    base = blobs.where("size > 0").withColumn("_t", tokens(F.col("payload")))
-    tf = [_count_of("_t", t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = base.select("tag_name", "blob_name", F.size("_t").alias("dl"), *tf)
+    base = spread(blobs.where("size > 0").select("tag_name", "blob_name", "payload"))
+    tf = [_count_of(F.col("payload"), t).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = base.select("tag_name", "blob_name", F.regexp_count("payload", F.lit("[A-Za-z0-9]{2,}")).alias("dl"), *tf)
     stats = [F.count("*").cast("double").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))]]
     scored = counted.withColumn("_s", counted.agg(F.struct(*stats)).scalar())
     avg = F.when(F.col("_s.avgdl") > 0, F.col("_s.avgdl")).otherwise(1.0)
