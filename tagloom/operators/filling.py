@@ -36,11 +36,13 @@ def recurring_texts(rows: DataFrame, field: str, place: str, least: int = 8) ->
     return [r[0] for r in per.where(F.col("n") >= least).select(field).collect()]
 
 
-def mine_number_fillers(rows: DataFrame, field: str, drive: str, low: float, high: float) -> list[float]:
-    """Out-of-range values that recur across at least RECURS drives."""
-    v = F.col(field).cast("double")
-    odd = rows.where(~F.isnan(v) & ((v < low) | (v > high)) & F.col(drive).isNotNull())
-    return [r[0] for r in odd.groupBy(v.alias("v")).agg(F.countDistinct(drive).alias("n")).where(F.col("n") >= RECURS).select("v").collect()]
+def mine_number_fillers(train: DataFrame, ranges: dict[str, tuple[float, float]]) -> dict[str, list[float]]:
+    """Per field, the values outside its range that recur across at least RECURS drives (as shown); one pass."""
+    drive = text_or_null(F.col("serial_number"))
+    odd = lambda f, lo, hi: F.when(~F.isnan(f) & ((F.col(f) < lo) | (F.col(f) > hi)), F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")))
+    each = train.select(drive.alias("drive"), F.inline(F.array_compact(F.array(*[odd(f, lo, hi) for f, (lo, hi) in ranges.items()]))))
+    hits = each.where("drive is not null").groupBy("f", "v").agg(F.countDistinct("drive").alias("n")).where(F.col("n") >= RECURS).collect()
+    return {f: [r["v"] for r in hits if r["f"] == f] for f in ranges}
 
 
 def mine_dependencies(rows: DataFrame, candidates: list[tuple[tuple[str, ...], str]], least_support: int = 2) -> DataFrame:
@@ -86,10 +88,13 @@ def shown_serials(train: DataFrame, *columns: str) -> DataFrame:
     return train.select(text_or_null(F.col("serial_number")).alias("drive"), F.col("date").cast("timestamp").alias("ts"), *columns)
 
 
-def hours_rule(train: DataFrame) -> Rule:
+def hours_rule(mined: list[float]) -> Rule:
     """The rule of smart_9 with its filler codes: the conventional ones and those that recur across drives."""
-    r = RULES["smart_9"]
-    return replace(r, fillers=tuple(sorted({*NUMBER_FILLERS, *mine_number_fillers(shown_serials(train, "smart_9"), "smart_9", "drive", r.low, r.high)})))
+    return replace(RULES["smart_9"], fillers=tuple(sorted({*NUMBER_FILLERS, *mined})))
+
+
+HOURS_RANGE = (RULES["smart_9"].low, RULES["smart_9"].high)
+ERRORS_RANGE = (0.0, 1000.0)
 
 
 def train_rows(train: DataFrame) -> DataFrame:
@@ -99,13 +104,13 @@ def train_rows(train: DataFrame) -> DataFrame:
 
 def train_anomalies(train: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Anomalies of smart_194 and smart_9 in daily rows (see anomaly.statuses); fillers aren't anomalies."""
-    return statuses(train_rows(train), "row_id", "drive", "ts", {"smart_194": RULES["smart_194"], "smart_9": hours_rule(train)}, shown_serials(train), max_rows=max_rows)
+    return statuses(train_rows(train), "row_id", "drive", "ts", {"smart_194": RULES["smart_194"], "smart_9": hours_rule(mine_number_fillers(train, {"smart_9": HOURS_RANGE})["smart_9"])}, shown_serials(train), max_rows=max_rows)
 
 
-def errors_value(train: DataFrame) -> Column:
+def errors_value(mined: list[float]) -> Column:
     """smart_187 with missing ones as null: not a number, negative, or a code of at least 255 that recurs or is conventional."""
     v = F.col("smart_187").cast("double")
-    codes = sorted({c for c in NUMBER_FILLERS if c >= 255} | set(mine_number_fillers(shown_serials(train, "smart_187"), "smart_187", "drive", 0.0, 1000.0)))
+    codes = sorted({c for c in NUMBER_FILLERS if c >= 255} | set(mined))
     return F.when(~F.isnan(v) & (v >= 0) & ~v.isin(codes), v)
 
 
@@ -116,9 +121,10 @@ def fill_cells(train: DataFrame, days: int = 7) -> DataFrame:
     get their own filled cell. Provenance: ``shown``, ``fd:bay,interval``, ``fd:drive,date`` (another record of the
     day), ``group:drive,7d`` (nearest plausible values around that date), or null where nothing fills the cell.
     """
+    mined = mine_number_fillers(train, {"smart_9": HOURS_RANGE, "smart_187": ERRORS_RANGE})
     rows = with_drive(train.select("row_id", "serial_number", "bay", "date", "smart_9", "smart_187"))
-    timed = rows.select("row_id", "serial", "serial_by_bay", "drive", "date", F.col("date").cast("timestamp").alias("ts"), F.col("smart_9").cast("double").alias("smart_9"), errors_value(train).alias("shown_187"))
-    assessed = statuses(timed, "row_id", "drive", "ts", {"smart_9": hours_rule(train)}, shown_serials(train), everything=True, carry=("serial", "serial_by_bay", "drive", "date", "shown_187"))
+    timed = rows.select("row_id", "serial", "serial_by_bay", "drive", "date", F.col("date").cast("timestamp").alias("ts"), F.col("smart_9").cast("double").alias("smart_9"), errors_value(mined["smart_187"]).alias("shown_187"))
+    assessed = statuses(timed, "row_id", "drive", "ts", {"smart_9": hours_rule(mined["smart_9"])}, shown_serials(train), everything=True, carry=("serial", "serial_by_bay", "drive", "date", "shown_187"))
     ensure_checkpoint_dir(train.sparkSession)
     cells = assessed.select(
         F.col("row_key").alias("row_id"), "serial", "serial_by_bay", "drive", "date", F.when(F.col("status") != "missing", F.col("value")).alias("shown_9"), (F.col("status") == "ok").alias("ok_9"), "shown_187"
