@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..functions.patterns import pattern
 from ..operators import arraystats as A
 from ..operators import attributes as T
 from ..operators import catalog as C
@@ -132,3 +133,10 @@ def blob_labels(spark, sf):
 @query()
 def array_families(spark, sf):
     return A.byte_features(table(spark, sf, "embeddings"), "vec_id", "embedding").groupBy("family").agg(F.count("*").alias("n"))
+
+
+@query()
+def synthetic_patterns(spark, sf):
+    e = table(spark, sf, "events").select("event_id")
+    kinds = ("uniform", "gaussian", "constant", "gradient", "sinusoid", "repeating", "bimodal", "exponential")
+    return e.select("event_id", *[F.round(pattern(k, F.col("event_id"), 1000), 6).alias(k) for k in kinds])
