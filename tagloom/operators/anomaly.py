@@ -167,6 +167,17 @@ def _around(v: np.ndarray, ok: np.ndarray, reach: int = 6) -> tuple[np.ndarray,
     return mid, np.minimum((~bad[:, :reach]).sum(axis=1), (~bad[:, reach:]).sum(axis=1))
 
 
+def usual_pace(v: np.ndarray, h: np.ndarray, reach_h: float = 72.0) -> float:
+    """Median gain per hour over about ``reach_h`` hours, so that neither rounding to hours or days nor dense records blur it."""
+    j = np.searchsorted(h, h + reach_h)
+    i = np.flatnonzero(j < h.size)
+    if i.size < 3:  # a short series: from record to record, else from end to end
+        dt = np.diff(h)
+        ok = dt > 0
+        return float(np.median(np.diff(v)[ok] / dt[ok])) if ok.any() else 0.0
+    return float(np.median((v[j[i]] - v[i]) / (h[j[i]] - h[i])))
+
+
 def assess(v: np.ndarray, t: np.ndarray, rule: Rule) -> np.ndarray:
     """Status of each of a source's distinct records in order of time; t in seconds, v NaN where missing."""
     out = np.zeros(v.size, dtype=np.int8)
@@ -197,14 +208,7 @@ def assess(v: np.ndarray, t: np.ndarray, rule: Rule) -> np.ndarray:
         h = (u - u[0]) / 3600
         free = ~stuck
         a, b = w[free], h[free]
-        dt = np.diff(b)
-        ok = dt > 0
-        pace = float(np.median(np.diff(a)[ok] / dt[ok])) if ok.any() else 0.0
-        far = 8  # over several records, so that rounding to whole hours or days doesn't blur the pace
-        if a.size > 2 * far:
-            dt = b[far:] - b[:-far]
-            ok = dt > 0
-            pace = float(np.median((a[far:] - a[:-far])[ok] / dt[ok])) if ok.any() else pace
+        pace = usual_pace(a, b)
         cand = _line(w, h, rule, stuck, pace)
         if cand.any():
             good = np.flatnonzero(~cand & ~stuck)

@@ -17,7 +17,7 @@ def _clean(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 def train_failure_model(rows: DataFrame, fields: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 1) -> PipelineModel:
     """Boosted trees for a 0/1 label; missing fields take the field's median. Needs rows of both labels."""
-    stages = [Imputer(strategy="median", inputCols=fields, outputCols=[f"{f}_i" for f in fields]), VectorAssembler(inputCols=[f"{f}_i" for f in fields], outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed, probabilityCol="_p", rawPredictionCol="_r", predictionCol="predicted")]
+    stages = [Imputer(strategy="median", inputCols=fields, outputCols=[f"{f}_i" for f in fields]), VectorAssembler(inputCols=[f"{f}_i" for f in fields], outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed, predictionCol="predicted").setProbabilityCol("_p").setRawPredictionCol("_r")]
     return Pipeline(stages=stages).fit(_clean(rows, fields).withColumn(label, F.col(label).cast("double")))
 
 

@@ -143,3 +143,14 @@ def test_readings_and_empty_tables(spark):
     rows = [(1, "d", "2024-05-01T00:00:00", '{"smart_194": 900}'), (2, "d", "x", '{"smart_9": -5}'), (3, None, None, None), (4, "d", "2024-05-01T00:00:00", '{"smart_194"')]
     got = {(r.row_key, r.field, r.status) for r in reading_anomalies(spark.createDataFrame(rows, schema), rule).collect()}
     assert got == {(1, "smart_194", "impossible"), (2, "smart_9", "impossible")}
+
+
+def test_pace_of_dense_records():
+    from tagloom.operators.anomaly import usual_pace
+
+    h = np.arange(0, 400, 1 / 60)
+    assert abs(usual_pace(np.floor(h), h) - 1) < 0.02 and abs(usual_pace(np.arange(5) * 24.0, np.arange(5) * 24.0) - 1) < 1e-9
+    t = np.concatenate([h, h + 900]) * 3600  # three weeks without records
+    v = np.floor(np.concatenate([h, h + 900])) + 50
+    v[[3000, 30000]] += 260
+    assert list(np.flatnonzero(assess(v, t, H) == SPIKE)) == [3000, 30000]
