@@ -45,10 +45,10 @@ def expand_env(text: str) -> str:
     return re.sub(r"\$\{([^}]*)\}", lambda m: os.environ.get(m[1], ""), text)
 
 
-def protocol(uri: str) -> tuple[str, str]:
-    """(protocol, rest) of ``proto://rest`` or ``proto::rest``."""
+def protocol(uri: str, target: bool = False) -> tuple[str, str]:
+    """(protocol, rest) of ``proto://rest`` or ``proto::rest``; a target may have any scheme that is no source."""
     m = re.match(r"^([A-Za-z][A-Za-z0-9+.]*)(?:://|::)(.*)$", uri, re.S)
-    if not m or m[1].lower() not in PROTOCOLS + ("iowarp", "tag"):
+    if not m or (not target and m[1].lower() not in PROTOCOLS):
         raise IngestError(f"no reader for {uri!r}")
     return m[1].lower(), m[2]
 
@@ -132,10 +132,10 @@ def read_binary(spark: SparkSession, path: str, tag: str, off: int = 0, length:
 
 
 def read_string(spark: SparkSession, t: Transfer) -> DataFrame:
-    """One blob of the inline data of ``string::<blob>`` into ``iowarp::<tag>``."""
+    """One blob of the inline data of ``string::<blob>`` into ``tag::<tag>``."""
     kind, blob = protocol(t.src)
-    where, tag = protocol(t.dst)
-    for bad, code in ((kind != "string", BAD_SOURCE), (not blob, NO_BLOB), (where not in ("iowarp", "tag"), BAD_TARGET), (not tag, NO_TAG), (not t.data, NO_PAYLOAD)):
+    where, tag = protocol(t.dst, target=True)
+    for bad, code in ((kind != "string", BAD_SOURCE), (not blob, NO_BLOB), (where in PROTOCOLS, BAD_TARGET), (not tag, NO_TAG), (not t.data, NO_PAYLOAD)):
         if bad:
             raise IngestError("inline string can't be stored", code)
     return spark.createDataFrame([(tag, blob, t.data.encode())], BLOB_SCHEMA)
@@ -178,7 +178,7 @@ def ingest(spark: SparkSession, transfers: list[Transfer]) -> DataFrame:
             continue
         try:
             kind, rest = protocol(t.src)
-            tag = protocol(t.dst)[1]
+            tag = protocol(t.dst, target=True)[1]
             if kind == "string":
                 part = read_string(spark, t)
             elif t.format == "hdf5" or kind == "hdf5":

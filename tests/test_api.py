@@ -31,7 +31,7 @@ def test_changes(cat):
     assert more.tag("t/a").contained_blobs().count() == 3 and more.tag("t/a").get_blob("new", 1, 3).first().payload == "ell"
     assert more.tag("t/a").size() == t.size() + 5 and more.tag("t/a").del_blob("new").blobs.count() == cat.blobs.count()
     assert cat.context_destroy(["t/a", "t/c"]).blobs.count() == 1
-    assert cat.context_bundle([Transfer("string::x", "iowarp::n", "string", data="payload")]).tag("n").size() == 7
+    assert cat.context_bundle([Transfer("string::x", "tag::n", "string", data="payload")]).tag("n").size() == 7
     assert cat.context_retrieve("t/.*", prompt="space", budget=12).count() == 0 and cat.context_retrieve("t/.*", prompt="space", budget=40).count() >= 1
     with pytest.raises(ValueError):
         t.put_blob("", "x")

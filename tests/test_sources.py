@@ -8,16 +8,16 @@ SPEC = """
 # one file, one string
 transfers:
   - src: file::%s
-    dst: iowarp::files
+    dst: tag::files
     format: binary
     range_off: 2
     range_size: 5
   - src: string::note
-    dst: iowarp::notes
+    dst: tag::notes
     format: string
     data: "hello ${TAGLOOM_NAME}"
   - src: file::/missing
-    dst: iowarp::x
+    dst: tag::x
     format: binary
     depends_on: other
     dataset_filter:
@@ -42,7 +42,7 @@ def test_plain_yaml_reads_the_same(tmp_path):
     assert len(doc["transfers"]) == 3 and doc["transfers"][2]["dataset_filter"] == {"include": ["*.h5"], "exclude": ["tmp*"]} and doc["transfers"][1]["data"] == "hello ${TAGLOOM_NAME}"
 
 
-@pytest.mark.parametrize("bad,code", [(I.Transfer("file::x", "iowarp::t", data="d"), -1), (I.Transfer("string::", "iowarp::t", data="d"), -2), (I.Transfer("string::b", "file::t", data="d"), -3), (I.Transfer("string::b", "iowarp::", data="d"), -4), (I.Transfer("string::b", "iowarp::t"), -7)])
+@pytest.mark.parametrize("bad,code", [(I.Transfer("file::x", "tag::t", data="d"), -1), (I.Transfer("string::", "tag::t", data="d"), -2), (I.Transfer("string::b", "file::t", data="d"), -3), (I.Transfer("string::b", "tag::", data="d"), -4), (I.Transfer("string::b", "tag::t"), -7)])
 def test_inline_string_codes(spark, bad, code):
     with pytest.raises(I.IngestError) as e:
         I.read_string(spark, bad)
@@ -50,12 +50,12 @@ def test_inline_string_codes(spark, bad, code):
 
 
 def test_ingest_stops_and_counts(spark):
-    ok = I.Transfer("string::b", "iowarp::t", "string", data="x")
+    ok = I.Transfer("string::b", "tag::t", "string", data="x")
     with pytest.raises(I.IngestError) as e:
-        I.ingest(spark, [ok, ok, I.Transfer("ftp://x", "iowarp::t"), ok])
+        I.ingest(spark, [ok, ok, I.Transfer("ftp://x", "tag::t"), ok])
     assert e.value.done == 2
     with pytest.raises(I.IngestError):
-        I.load_spec("transfers:\n  - src: file::a\n    dst: iowarp::b\n")
+        I.load_spec("transfers:\n  - src: file::a\n    dst: tag::b\n")
 
 
 def test_chunks_cover_the_file(spark):
