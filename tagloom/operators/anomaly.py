@@ -37,6 +37,7 @@ class Rule:
     sigmas: float = 5.0  # and beyond this many standard deviations (level only)
     run: int = 8  # stuck: so many equal values
     run_s: float = 36 * 3600.0  # over so long
+    step_s: float = 6 * 3600.0  # the habit of standing still is judged at this spacing, however dense the records are
     fillers: tuple[float, ...] = ()  # codes written in place of a value, where the source is elsewhere
 
 
@@ -54,21 +55,22 @@ def _runs(v: np.ndarray, t: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
 
 
 def stuck_runs(v: np.ndarray, t: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """The runs that are no habit: outside the run, the source seldom repeats a value, and few such runs exist."""
+    """The runs that are no habit: outside the run, the source seldom stands still, and few such runs exist.
+
+    Standing still is judged between the first records of successive periods of ``step_s``, so a source that reports
+    more often than its value can move is no different from one that doesn't.
+    """
     runs = _runs(v, t, rule)
     if not runs:
         return []
     if len(runs) > max(3, v.size // 2000):
         return []
-    same = v[1:] == v[:-1]
-    inside = np.zeros(v.size - 1, dtype=bool)
-    for s, e in runs:
-        inside[s:e] = True
+    period = t // rule.step_s
+    first = np.flatnonzero(np.append(True, period[1:] != period[:-1]))
+    same = v[first[1:]] == v[first[:-1]]
     kept = []
     for s, e in runs:
-        own = np.zeros(v.size - 1, dtype=bool)
-        own[s:e] = True
-        rest = same[~own]
+        rest = same[(first[:-1] < s) | (first[1:] > e)]
         others = sum(1 for a, b in runs if (a, b) != (s, e))
         if rest.size >= 3 and rest.mean() < 0.5 and others <= 2:
             kept.append((s, e))

@@ -154,3 +154,14 @@ def test_pace_of_dense_records():
     v = np.floor(np.concatenate([h, h + 900])) + 50
     v[[3000, 30000]] += 260
     assert list(np.flatnonzero(assess(v, t, H) == SPIKE)) == [3000, 30000]
+
+
+def test_stuck_runs_of_dense_records():
+    h = np.arange(0, 20 * 24, 1 / 60)  # one record a minute, whole hours: nearly every step repeats a value
+    v = 1000 + np.floor(h)
+    frozen = (h >= 200) & (h < 240)
+    v[frozen] = 1200
+    st = assess(v, h * 3600, H)
+    assert set(np.flatnonzero(st == STUCK)) == set(np.flatnonzero(frozen)[1:]) and (assess(1000 + np.floor(h), h * 3600, H) == OK).all()
+    w = np.round(40 + np.repeat(np.random.default_rng(3).integers(0, 3, 20), 24 * 60) / 10, 1)  # stands still for days: its habit
+    assert (assess(w, h * 3600, T) == OK).all()
