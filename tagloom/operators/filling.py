@@ -3,8 +3,8 @@
 Functional dependencies are mined from complete records (which determinants show one value of a dependent field,
 with support and violations). Those that hold become dictionaries: (bay, stretch of dates between two showings of
 the same serial number) -> serial_number, and (drive, date) -> value. Missing cells are filled by left joins with
-them; cells without an entry fall back to their group, the drive's nearest plausible values within seven days.
-Every filled cell carries its provenance. Dictionaries have one row per bay and day or drive and day, so a hot bay
+them; cells without an entry, of a violated group or of a refuted dependency fall back to their group: the bay's
+showings around the date, the drive's nearest plausible values within seven days. Every filled cell carries its provenance. Dictionaries have one row per bay and day or drive and day, so a hot bay
 or drive adds no more rows than it has days.
 """
 
@@ -45,6 +45,17 @@ def mine_number_fillers(train: DataFrame, ranges: dict[str, tuple[float, float]]
     return {f: [r["v"] for r in hits if r["f"] == f] for f in ranges}
 
 
+HOLDS = 0.99  # share of the groups with one value from which on a dependency holds
+
+
+def _verdict(groups: DataFrame, determinant: str, dependent: str) -> DataFrame:
+    """One row of mine_dependencies from (n, lo, hi) of each group."""
+    one = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("support"), F.count_if(F.col("lo") != F.col("hi")).alias("violating_groups")).select(
+        F.lit(determinant).alias("determinant"), F.lit(dependent).alias("dependent"), "groups", "support", "violating_groups", F.when(F.col("groups") > 0, 1 - F.col("violating_groups") / F.col("groups")).alias("confidence")
+    )
+    return one.withColumn("holds", F.coalesce(F.col("confidence") >= HOLDS, F.lit(False)))
+
+
 def mine_dependencies(rows: DataFrame, candidates: list[tuple[tuple[str, ...], str]], least_support: int = 2) -> DataFrame:
     """(determinant, dependent, groups, support, violating_groups, confidence, holds) of each candidate, over complete records."""
     out = None
@@ -53,36 +64,59 @@ def mine_dependencies(rows: DataFrame, candidates: list[tuple[tuple[str, ...], s
         for c in (*lhs, rhs):
             full = full.where(F.col(c).isNotNull())
         groups = full.groupBy(*lhs).agg(F.count("*").alias("n"), F.min(rhs).alias("lo"), F.max(rhs).alias("hi")).where(F.col("n") >= least_support)
-        one = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("support"), F.count_if(F.col("lo") != F.col("hi")).alias("violating_groups")).select(
-            F.lit(",".join(lhs)).alias("determinant"), F.lit(rhs).alias("dependent"), "groups", "support", "violating_groups", F.when(F.col("groups") > 0, 1 - F.col("violating_groups") / F.col("groups")).alias("confidence")
-        )
-        one = one.withColumn("holds", F.coalesce(F.col("confidence") >= 0.99, F.lit(False)))
+        one = _verdict(groups, ",".join(lhs), rhs)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def serial_dictionary(clean: DataFrame) -> DataFrame:
-    """(bay, date) -> serial_number where the nearest earlier and later dates that show one show the same one."""
-    days = clean.where(F.col("bay").isNotNull() & F.col("date").isNotNull()).groupBy("bay", "date").agg(F.min("serial").alias("lo"), F.max("serial").alias("hi"), F.count_if(F.col("serial").isNull()).alias("open"))
+def _bay_days(clean: DataFrame) -> DataFrame:
+    """(bay, date, open, lo, hi, serial_by_bay) where the nearest earlier and later dates that show a serial number show the same one."""
+    days = clean.where(F.col("bay").isNotNull() & F.col("date").isNotNull()).groupBy("bay", "date").agg(F.min("serial").alias("lo"), F.max("serial").alias("hi"), F.count("serial").alias("n"), F.count_if(F.col("serial").isNull()).alias("open"))
     shown = F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))
     w = Window.partitionBy("bay").orderBy("date")
-    near = days.select("bay", "date", "open", F.last(shown, True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("a"), F.first(shown, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("b"))
+    near = days.select("*", F.last(shown, True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("a"), F.first(shown, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("b"))
     one = (F.col("a.lo") == F.col("a.hi")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.lo") == F.col("b.hi"))
-    return near.where((F.col("open") > 0) & one).select("bay", "date", F.col("a.lo").alias("serial_by_bay"))
+    return near.where(one).select("bay", "date", "n", "open", "lo", "hi", F.col("a.lo").alias("serial_by_bay"))
 
 
-def with_drive(train: DataFrame) -> DataFrame:
-    """Adds ``serial`` (fillers as null), ``serial_by_bay`` (filled) and ``drive`` (shown or filled)."""
+def mine_intervals(clean: DataFrame) -> DataFrame:
+    """mine_dependencies' row for (bay, interval) -> serial."""
+    return _intervals_verdict(_bay_days(clean))
+
+
+def _intervals_verdict(bay_days: DataFrame) -> DataFrame:
+    """Each showing held against its neighbours: does a date between two showings of one serial number show it too?"""
+    seen = bay_days.where("n > 0")
+    return _verdict(seen.select("n", F.least("lo", "serial_by_bay").alias("lo"), F.greatest("hi", "serial_by_bay").alias("hi")), "bay,interval", "serial")
+
+
+def serial_dictionary(bay_days: DataFrame) -> DataFrame:
+    """(bay, date) -> serial_number where the nearest earlier and later dates that show one show the same one; ``serial_holds``: no other on the date itself."""
+    holds = (F.col("n") == 0) | ((F.col("lo") == F.col("serial_by_bay")) & (F.col("hi") == F.col("serial_by_bay")))
+    return bay_days.where("open > 0").select("bay", "date", "serial_by_bay", holds.alias("serial_holds"))
+
+
+def with_serial(train: DataFrame) -> DataFrame:
+    """Adds ``serial``: the serial number as shown, fillers and codes as null."""
     clean = train.withColumn("serial", text_or_null(F.col("serial_number")))
     codes = recurring_texts(clean.select("serial", "bay", "date"), "serial", "bay")
-    if codes:
-        clean = clean.withColumn("serial", F.when(~F.col("serial").isin(codes), F.col("serial")))
-    dictionary = serial_dictionary(clean.select("bay", "date", "serial"))
-    shown = clean.where(F.col("serial").isNotNull()).withColumn("serial_by_bay", F.lit(None).cast("string"))
+    return clean.withColumn("serial", F.when(~F.col("serial").isin(codes), F.col("serial"))) if codes else clean
+
+
+def _by_bay(clean: DataFrame, bay_days: DataFrame) -> DataFrame:
+    """Adds ``serial_by_bay`` (filled), ``serial_holds`` and ``drive`` (shown or filled)."""
+    dictionary = serial_dictionary(bay_days)
+    shown = clean.where(F.col("serial").isNotNull()).withColumn("serial_by_bay", F.lit(None).cast("string")).withColumn("serial_holds", F.lit(None).cast("boolean"))
     lost = clean.where(F.col("serial").isNull()).join(dictionary, ["bay", "date"], "left")
     return shown.unionByName(lost).withColumn("drive", F.coalesce("serial", "serial_by_bay"))
 
 
+def with_drive(train: DataFrame) -> DataFrame:
+    """Adds ``serial`` (fillers as null), ``serial_by_bay`` (filled) and ``drive`` (shown or filled)."""
+    clean = with_serial(train)
+    return _by_bay(clean, _bay_days(clean.select("bay", "date", "serial"))).drop("serial_holds")
+
+
 def shown_serials(train: DataFrame, *columns: str) -> DataFrame:
     """The daily rows' drive as shown, before any filling: what fillers are mined from and timelines sized by."""
     return train.select(text_or_null(F.col("serial_number")).alias("drive"), F.col("date").cast("timestamp").alias("ts"), *columns)
@@ -119,25 +153,34 @@ def fill_cells(train: DataFrame, days: int = 7) -> DataFrame:
 
     Null dates or bays leave serial numbers unfilled; a row without drive keeps its other cells. Repeated rows each
     get their own filled cell. Provenance: ``shown``, ``fd:bay,interval``, ``fd:drive,date`` (another record of the
-    day), ``group:drive,7d`` (nearest plausible values around that date), or null where nothing fills the cell.
+    day), ``group:bay`` and ``group:drive,7d`` (nearest plausible values around that date), or null where nothing
+    fills the cell. ``fd`` needs a dependency that the complete records don't refute, and a group that doesn't
+    violate it: the showings of the bay's date, the values of the drive's day.
     """
     mined = mine_number_fillers(train, {"smart_9": HOURS_RANGE, "smart_187": ERRORS_RANGE})
-    rows = with_drive(train.select("row_id", "serial_number", "bay", "date", "smart_9", "smart_187"))
-    timed = rows.select("row_id", "serial", "serial_by_bay", "drive", "date", F.col("date").cast("timestamp").alias("ts"), F.col("smart_9").cast("double").alias("smart_9"), errors_value(mined["smart_187"]).alias("shown_187"))
-    assessed = statuses(timed, "row_id", "drive", "ts", {"smart_9": hours_rule(mined["smart_9"])}, shown_serials(train), everything=True, carry=("serial", "serial_by_bay", "drive", "date", "shown_187"))
+    clean = with_serial(train.select("row_id", "serial_number", "bay", "date", "smart_9", "smart_187"))
     ensure_checkpoint_dir(train.sparkSession)
+    bay_days = _bay_days(clean.select("bay", "date", "serial")).checkpoint()  # read by the verdict and the dictionary
+    timed = _by_bay(clean, bay_days).select("row_id", "serial", "serial_by_bay", "serial_holds", "drive", "date", F.col("date").cast("timestamp").alias("ts"), F.col("smart_9").cast("double").alias("smart_9"), errors_value(mined["smart_187"]).alias("shown_187"))
+    assessed = statuses(timed, "row_id", "drive", "ts", {"smart_9": hours_rule(mined["smart_9"])}, shown_serials(train), everything=True, carry=("serial", "serial_by_bay", "serial_holds", "drive", "date", "shown_187"))
     cells = assessed.select(
-        F.col("row_key").alias("row_id"), "serial", "serial_by_bay", "drive", "date", F.when(F.col("status") != "missing", F.col("value")).alias("shown_9"), (F.col("status") == "ok").alias("ok_9"), "shown_187"
+        F.col("row_key").alias("row_id"), "serial", "serial_by_bay", "serial_holds", "drive", "date", F.when(F.col("status") != "missing", F.col("value")).alias("shown_9"), (F.col("status") == "ok").alias("ok_9"), "shown_187"
     ).checkpoint()  # read three times below; the assessment isn't to run three times
-    donor_9 = F.when(F.col("ok_9"), F.col("shown_9"))
+    donors = {"9": F.when(F.col("ok_9"), F.col("shown_9")), "187": F.col("shown_187")}
     per_day = cells.where(F.col("drive").isNotNull() & F.col("date").isNotNull()).groupBy("drive", "date").agg(
-        F.max(donor_9).alias("d_9"), F.max("shown_187").alias("d_187"), F.count_if(F.col("shown_9").isNull()).alias("open_9"), F.count_if(F.col("shown_187").isNull()).alias("open_187")
-    )
+        *[a(d).alias(f"{n}_{f}") for f, d in donors.items() for n, a in (("n", F.count), ("lo", F.min), ("hi", F.max))], *[F.count_if(F.col(f"shown_{f}").isNull()).alias(f"open_{f}") for f in donors]
+    ).checkpoint()  # read by the verdicts and the dictionaries
+    verdicts = _intervals_verdict(bay_days)
+    for f in donors:
+        verdicts = verdicts.unionByName(_verdict(per_day.where(f"n_{f} >= 2").select(*[F.col(f"{c}_{f}").alias(c) for c in ("n", "lo", "hi")]), "drive,date", f))
+    held = {r["dependent"]: not r["violating_groups"] or r["holds"] for r in verdicts.collect()}  # nothing to refute it: no group has two records
+    for f in donors:
+        per_day = per_day.withColumn(f"m_{f}", (F.col(f"lo_{f}") + F.col(f"hi_{f}")) / 2).withColumn(f"d_{f}", F.when(F.lit(held[f]) & (F.col(f"lo_{f}") == F.col(f"hi_{f}")), F.col(f"hi_{f}")))
     w = Window.partitionBy("drive").orderBy("date")
     before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     near = per_day
     for f in ("9", "187"):
-        shown = F.when(F.col(f"d_{f}").isNotNull(), F.struct(F.col("date").alias("at"), F.col(f"d_{f}").alias("v")))
+        shown = F.when(F.col(f"m_{f}").isNotNull(), F.struct(F.col("date").alias("at"), F.col(f"m_{f}").alias("v")))
         near = near.withColumn(f"a_{f}", F.last(shown, True).over(before)).withColumn(f"b_{f}", F.first(shown, True).over(after))
     out = near.where("open_9 > 0 or open_187 > 0").select("drive", "date", *[_group_value(f, days) for f in ("9", "187")], F.col("d_9"), F.col("d_187"))
     joined = cells.withColumn("open", F.col("shown_9").isNull() | F.col("shown_187").isNull())
@@ -146,7 +189,7 @@ def fill_cells(train: DataFrame, days: int = 7) -> DataFrame:
         full = full.withColumn(c, F.lit(None).cast("double"))
     some = joined.where("open").join(out, ["drive", "date"], "left")
     done = full.unionByName(some)
-    cols = [F.col("row_id"), F.col("date"), F.col("drive").alias("serial_number"), F.col("serial_by_bay").isNotNull().alias("serial_number_filled"), F.when(F.col("serial").isNotNull(), "shown").when(F.col("serial_by_bay").isNotNull(), "fd:bay,interval").alias("serial_number_provenance")]
+    cols = [F.col("row_id"), F.col("date"), F.col("drive").alias("serial_number"), F.col("serial_by_bay").isNotNull().alias("serial_number_filled"), F.when(F.col("serial").isNotNull(), "shown").when(F.col("serial_holds") & F.lit(held["serial"]), "fd:bay,interval").when(F.col("serial_by_bay").isNotNull(), "group:bay").alias("serial_number_provenance")]
     for f in ("9", "187"):
         s, d, g = F.col(f"shown_{f}"), F.col(f"d_{f}"), F.col(f"g_{f}")
         cols += [F.coalesce(s, d, g).alias(f"smart_{f}"), (s.isNull() & F.coalesce(d, g).isNotNull()).alias(f"smart_{f}_filled"), F.when(s.isNotNull(), "shown").when(d.isNotNull(), "fd:drive,date").when(g.isNotNull(), f"group:drive,{days}d").alias(f"smart_{f}_provenance")]
@@ -154,12 +197,12 @@ def fill_cells(train: DataFrame, days: int = 7) -> DataFrame:
 
 
 def _group_value(f: str, days: int) -> Column:
-    """Between two donors within reach by time, else the one within reach; counters are whole, so rounded."""
+    """The middle of the day's own values, else between two donors within reach by time, else the one within reach; counters are whole, so rounded."""
     a, b = F.col(f"a_{f}"), F.col(f"b_{f}")
     da, db = F.datediff("date", a["at"]), F.datediff(b["at"], "date")
     va, vb = F.when(da <= days, a["v"]), F.when(db <= days, b["v"])
     between = va + (vb - va) * da / (da + db)
-    return F.round(F.coalesce(between, va, vb)).alias(f"g_{f}")
+    return F.round(F.coalesce(f"m_{f}", between, va, vb)).alias(f"g_{f}")
 
 
 def filled_cells(train: DataFrame, days: int = 7) -> DataFrame:

@@ -23,9 +23,10 @@ def p1_filled_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    rows = filling.with_drive(table(spark, sf, "train").select("serial_number", "bay", "date", "model", "smart_9", "smart_187"))
+    train = table(spark, sf, "train").select("serial_number", "bay", "date", "model", "smart_9", "smart_187")
+    rows = filling.with_drive(train)
     pairs = [(("serial",), "bay"), (("serial",), "model"), (("bay",), "serial"), (("bay", "date"), "serial"), (("serial", "date"), "smart_9"), (("serial", "date"), "smart_187")]
-    return filling.mine_dependencies(rows, pairs)
+    return filling.mine_dependencies(rows, pairs).unionByName(filling.mine_intervals(filling.with_serial(train).select("bay", "date", "serial")))
 
 
 def p2_flags(spark: SparkSession, sf: str) -> DataFrame:

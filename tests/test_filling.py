@@ -71,3 +71,19 @@ def test_dependencies(spark):
 def test_empty_tables(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert filled_cells(e).count() == 0 and train_anomalies(e).count() == 0
+
+
+def test_violated_groups_give_no_dictionary(spark):
+    data = [(2 * i + k, "S", "b", day(i), 1000.0 + 24 * i, 1.0, 40.0) for i in range(110) for k in (0, 1)]
+    data[101] = (101, "S", "b", day(50), 2210.0, 3.0, 40.0)  # a second value on the day
+    data += [(900, "S", "b", day(50), None, None, 40.0), (901, "S", "b", day(60), None, None, 40.0)]
+    got = {(r.row_id, r.field): (r.value, r.provenance) for r in filled_cells(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == {(900, "smart_9"): ("2205.0", "group:drive,7d"), (900, "smart_187"): ("2.0", "group:drive,7d"), (901, "smart_9"): ("2440.0", "fd:drive,date"), (901, "smart_187"): ("1.0", "fd:drive,date")}
+
+
+def test_refuted_dependencies_give_no_dictionary(spark):
+    data = [(2 * i + k, "S", "b", day(i), 1000.0 + 24 * i + 10 * k, 1.0, 40.0) for i in range(10) for k in (0, 1)]
+    data += [(900, "S", "b", day(12), None, None, 40.0), (901, "S", "b", day(12), 1290.0, 1.0, 40.0)]  # that day alone has one value
+    data += [(100 + i, "S1" if i % 2 else "S2", "b2", day(i), 500.0, 1.0, 40.0) for i in range(8)] + [(910, "", "b2", day(3), 500.0, 1.0, 40.0)]  # drives take turns
+    got = {(r.row_id, r.field): (r.value, r.provenance) for r in filled_cells(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == {(900, "smart_9"): ("1290.0", "group:drive,7d"), (900, "smart_187"): ("1.0", "fd:drive,date"), (910, "serial_number"): ("S2", "group:bay")}
