@@ -31,10 +31,19 @@ def prefix_keys(tokens: Column) -> Column:
     return F.pandas_udf(lambda s: pd.Series([None if v is None else _prefix_keys(v) for v in s]), "array<string>")(tokens)
 
 
-def longest_prefix(queries: DataFrame, stored: DataFrame, query_id: str, tokens: str, key: str, payload_bytes: str, capacity: int) -> DataFrame:
-    """(query, matched length, key) of the longest stored prefix that fits ``capacity`` bytes; none leaves no row."""
+def longest_prefix(queries: DataFrame, stored: DataFrame, query_id: str, tokens: str, key: str, payload_bytes: str, capacity: int, owner: str | None = None) -> DataFrame:
+    """(query, matched length, key) of the longest stored prefix that fits ``capacity`` bytes; none leaves no row.
+
+    With ``owner``, the id of the query an entry comes from, a query's own entries don't count. Each key is joined
+    once, however many entries share it.
+    """
     p = queries.select(query_id, F.posexplode(prefix_keys(F.col(tokens))).alias("_i", key))
-    hit = p.join(stored.where(F.col(payload_bytes) <= capacity).select(key), key)
+    fits = stored.where(F.col(payload_bytes) <= capacity)
+    if owner is None:
+        hit = p.join(fits.select(key).distinct(), key)
+    else:
+        owners = fits.groupBy(key).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi"))
+        hit = p.join(owners, key).where((F.col("_lo") != F.col(query_id)) | (F.col("_hi") != F.col(query_id)))
     return hit.groupBy(query_id).agg((F.max("_i") + 1).alias("matched"), F.max_by(key, "_i").alias(key))
 
 

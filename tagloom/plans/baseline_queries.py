@@ -95,9 +95,9 @@ def binary_chunks(spark, sf):
 
 @query()
 def kv_prefix_match(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 2).cast("int")).alias("tokens"))
-    stored = e.where("vec_id % 3 = 0").select(prefix_keys(F.slice("tokens", 1, 4))[3].alias("key")).distinct().withColumn("n", F.lit(64))
-    return longest_prefix(e, stored, "vec_id", "tokens", "key", "n", 128)
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 2).cast("int")).alias("tokens"))
+    stored = e.select(F.col("vec_id").alias("owner"), F.posexplode(prefix_keys(F.col("tokens"))).alias("i", "key")).select("owner", "key", (4 * (F.col("i") + 1)).alias("n"))  # four bytes per element
+    return longest_prefix(e, stored, "vec_id", "tokens", "key", "n", 128, "owner")
 
 
 @query("select 'lineitem' as t, count(*) as rows from lineitem union all select 'orders', count(*) from orders")

@@ -177,3 +177,18 @@ def test_skew_is_of_the_population(spark):
     m2, m3 = (sum((x - m) ** k for x in v) / 4 for k in (2, 3))
     r = A.moments(spark.createDataFrame([(1, v)], "k int, a array<float>"), "k", "a").first()
     assert abs(r.skew - m3 / m2**1.5) < 1e-9 and abs(r.std - statistics.stdev(v)) < 1e-9
+
+
+def test_prefix_match_against_brute_force(spark, tmp_path):
+    from tagloom.plans.baseline_queries import kv_prefix_match
+
+    rng = np.random.default_rng(5)
+    v = [rng.normal(0, 0.6, 64).tolist() for _ in range(40)]
+    v += [v[0], v[1][:20] + [9.0] + v[1][21:], v[2][:40] + [9.0], [9.5] * 64, []]  # whole, 20 and 40 alike; alone; empty
+    spark.createDataFrame(list(enumerate(v)), "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    toks = [[int(np.floor(np.float32(x) * 2)) for x in e] for e in v]
+    alike = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want = {q: min(32, max(alike(a, b) for j, b in enumerate(toks) if j != q)) for q, a in enumerate(toks)}  # 128 bytes hold 32 elements
+    got = {r.vec_id: (r.matched, r.key) for r in kv_prefix_match(spark, str(tmp_path)).collect()}
+    assert {q: m for q, (m, _) in got.items()} == {q: m for q, m in want.items() if m} and (got[0][0], got[1][0], got[2][0]) == (32, 20, 32)
+    assert all(k == keys._prefix_keys(toks[q])[m - 1] for q, (m, k) in got.items())
