@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.groups import sorted_groups
 from ..functions.readings import NameRule, reading_instant, with_metrics
-from .timelines import split_hot
+from .timelines import hot_keys, split_hot
 
 OK, MISSING, IMPOSSIBLE, SPIKE, STUCK = 0, 1, 2, 3, 4
 STATUS = {MISSING: "missing", IMPOSSIBLE: "impossible", SPIKE: "spike", STUCK: "stuck"}
@@ -54,29 +55,62 @@ def _runs(v: np.ndarray, t: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
     return list(zip(s[hit].tolist(), e[hit].tolist()))
 
 
-def stuck_runs(v: np.ndarray, t: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """The runs that are no habit: outside the run, the source seldom stands still, and few such runs exist.
+Standing = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+
+
+def standing(period: np.ndarray, v: np.ndarray) -> Standing:
+    """Steps between successive periods, and first period, last period and steps of each stretch of equal values; v: the periods' first values."""
+    cut = np.flatnonzero(v[1:] != v[:-1]) + 1
+    s, e = np.append(0, cut), np.append(cut, v.size) - 1
+    more = e > s
+    return max(v.size - 1, 0), period[s[more]], period[e[more]], (e - s)[more]
+
+
+def _first_of_periods(v: np.ndarray, t: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    period = t // rule.step_s
+    first = np.flatnonzero(np.append(True, period[1:] != period[:-1]))
+    return period[first], v[first]
+
+
+def stuck_runs(v: np.ndarray, t: np.ndarray, rule: Rule, whole: Standing | None = None) -> list[tuple[int, int]]:
+    """The runs that are no habit: outside the stretch a run lies in, the source seldom stands still.
 
     Standing still is judged between the first records of successive periods of ``step_s``, so a source that reports
-    more often than its value can move is no different from one that doesn't.
+    more often than its value can move is no different from one that doesn't. ``whole``: of the source's whole
+    timeline where v and t are a segment of it.
     """
     runs = _runs(v, t, rule)
     if not runs:
         return []
-    if len(runs) > max(3, v.size // 2000):
-        return []
-    period = t // rule.step_s
-    first = np.flatnonzero(np.append(True, period[1:] != period[:-1]))
-    same = v[first[1:]] == v[first[:-1]]
+    steps, lo, hi, n = whole or standing(*_first_of_periods(v, t, rule))
+    still = int(n.sum())
     kept = []
     for s, e in runs:
-        rest = same[(first[:-1] < s) | (first[1:] > e)]
-        others = sum(1 for a, b in runs if (a, b) != (s, e))
-        if rest.size >= 3 and rest.mean() < 0.5 and others <= 2:
+        own = int(n[(lo < t[e] // rule.step_s) & (hi > t[s] // rule.step_s)].sum())
+        if steps - own >= 3 and (still - own) / (steps - own) < 0.5:
             kept.append((s, e))
     return kept
 
 
+def standing_of_hot(rows: DataFrame, source: str, ts: str, rules: dict[str, Rule], hot: list[str]) -> dict[tuple[str, str], Standing]:
+    """(source, field) -> standing of whole timelines that are to be cut; a row per period is all that meets in one task."""
+    out = {}
+    for f, rule in rules.items():
+        own = F.col(f).cast("double")
+        some = rows.where(F.col(source).isin(hot) & F.col(ts).isNotNull() & own.between(rule.low, rule.high) & ~own.isin(*rule.fillers))
+        us = F.unix_micros(ts)
+        per = some.groupBy(F.col(source).alias("source"), F.floor(us / (rule.step_s * 1e6)).alias("period")).agg(F.min(F.struct(us.alias("us"), own.alias("v")))["v"].alias("v"))
+
+        def run(df):
+            df = df.sort_values("period")
+            steps, lo, hi, n = standing(df["period"].to_numpy(), df["v"].to_numpy())
+            return pd.DataFrame({"source": [df["source"].iloc[0]], "steps": [steps], "lo": [lo], "hi": [hi], "n": [n]})
+
+        for r in per.groupBy("source").applyInPandas(run, "source string, steps bigint, lo array<bigint>, hi array<bigint>, n array<bigint>").collect():
+            out[r["source"], f] = (r["steps"], *(np.array(r[c], dtype=np.int64) for c in ("lo", "hi", "n")))
+    return out
+
+
 def _level(v: np.ndarray, rule: Rule, skip: np.ndarray) -> np.ndarray:
     """Candidates by a local-level Kalman filter: true where the update was withheld and the level came back."""
     use = v[~skip]
@@ -180,8 +214,8 @@ def usual_pace(v: np.ndarray, h: np.ndarray, reach_h: float = 72.0) -> float:
     return float(np.median((v[j[i]] - v[i]) / (h[j[i]] - h[i])))
 
 
-def assess(v: np.ndarray, t: np.ndarray, rule: Rule) -> np.ndarray:
-    """Status of each of a source's distinct records in order of time; t in seconds, v NaN where missing."""
+def assess(v: np.ndarray, t: np.ndarray, rule: Rule, whole: Standing | None = None) -> np.ndarray:
+    """Status of each of a source's distinct records in order of time; t in seconds, v NaN where missing; whole: see stuck_runs."""
     out = np.zeros(v.size, dtype=np.int8)
     gone = ~np.isfinite(v)
     out[gone] = MISSING
@@ -204,7 +238,7 @@ def assess(v: np.ndarray, t: np.ndarray, rule: Rule) -> np.ndarray:
         return out
     w, u = v[idx], t[idx]
     stuck = np.zeros(w.size, dtype=bool)
-    for s, e in stuck_runs(w, u, rule):
+    for s, e in stuck_runs(w, u, rule, whole):
         stuck[s + 1 : e + 1] = True
     if rule.trend:
         h = (u - u[0]) / 3600
@@ -236,14 +270,14 @@ def assess(v: np.ndarray, t: np.ndarray, rule: Rule) -> np.ndarray:
     return out
 
 
-def assess_records(v: np.ndarray, t: np.ndarray, rule: Rule) -> np.ndarray:
+def assess_records(v: np.ndarray, t: np.ndarray, rule: Rule, whole: Standing | None = None) -> np.ndarray:
     """Like :func:`assess` for records with repeats, sorted by (t, v); repeats share their original's status."""
     same = np.zeros(v.size, dtype=bool)
     if v.size > 1:
         eq = (v[1:] == v[:-1]) | (np.isnan(v[1:]) & np.isnan(v[:-1]))
         same[1:] = eq & (t[1:] == t[:-1])
     first = ~same
-    return assess(v[first], t[first], rule)[np.cumsum(first) - 1]
+    return assess(v[first], t[first], rule, whole)[np.cumsum(first) - 1]
 
 
 def in_range(v: np.ndarray, rule: Rule) -> np.ndarray:
@@ -265,7 +299,9 @@ def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[st
     fields = list(rules)
     rows = rows.select(row_key, source, ts, *fields, *[c for c in carry if c not in (row_key, source, ts, *fields)])
     lone = F.col(source).isNull() | F.col(ts).isNull()
-    split = split_hot(rows, source, ts, sizing, max_rows)
+    hot = hot_keys(sizing, source, max_rows)
+    whole = standing_of_hot(rows, source, ts, rules, hot[0]) if hot[0] else {}
+    split = split_hot(rows, source, ts, sizing, max_rows, hot=hot)
     schema = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("field", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("status", T.StringType())] + [T.StructField(c, rows.schema[c].dataType) for c in carry])
     words = np.array(["ok", *[STATUS[i] for i in range(1, 5)]], dtype=object)
 
@@ -292,7 +328,7 @@ def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[st
                 else:
                     order = np.lexsort((v, t))
                     st = np.empty(v.size, dtype=np.int8)
-                    st[order] = assess_records(v[order], t[order], rules[f])
+                    st[order] = assess_records(v[order], t[order], rules[f], whole.get((src_key, f)))
                 pick = core if everything else core & (st > MISSING)
                 if pick.any():
                     n = int(pick.sum())

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def split_hot(rows: DataFrame, key: str, ts: str, sizing: DataFrame, max_rows: int = 200_000, context_s: int = 3 * 86400, min_segment_s: int = 6 * 86400) -> DataFrame:
+def hot_keys(sizing: DataFrame, key: str, max_rows: int) -> tuple[list[str], int]:
+    """The keys whose timelines are cut, and the number of rows from which on they are."""
+    most = max(max_rows, sizing.count() // 10_000)
+    return [r[0] for r in sizing.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key).collect()], most
+
+
+def split_hot(rows: DataFrame, key: str, ts: str, sizing: DataFrame, max_rows: int = 200_000, context_s: int = 3 * 86400, min_segment_s: int = 6 * 86400, hot: tuple[list[str], int] | None = None) -> DataFrame:
     """Adds ``seg`` (segment of the key's timeline) and ``core`` (whether the row belongs to it or is its context).
 
     Keys of up to ``max_rows`` rows, or of a ten-thousandth of all rows where that is more, have one segment. So at
     most 10,000 keys are hot, which bounds what is collected and joined by broadcast. A hot key's span is cut into
     equal segments of at least ``min_segment_s``; each also gets the rows up to ``context_s`` before and after it.
     ``sizing`` has the same keys and times before any costly step (key and ts columns); only its counts are read
-    unless a key is hot.
+    unless a key is hot. ``hot``: what hot_keys gave, if it was asked before.
     """
-    most = max(max_rows, sizing.count() // 10_000)
-    large = [r[0] for r in sizing.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key).collect()]
+    large, most = hot or hot_keys(sizing, key, max_rows)
     if not large:
         return rows.withColumn("seg", F.lit(0)).withColumn("core", F.lit(True))
     hot = sizing.where(F.col(key).isin(large) & F.col(ts).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi")).collect()

@@ -165,3 +165,17 @@ def test_stuck_runs_of_dense_records():
     assert set(np.flatnonzero(st == STUCK)) == set(np.flatnonzero(frozen)[1:]) and (assess(1000 + np.floor(h), h * 3600, H) == OK).all()
     w = np.round(40 + np.repeat(np.random.default_rng(3).integers(0, 3, 20), 24 * 60) / 10, 1)  # stands still for days: its habit
     assert (assess(w, h * 3600, T) == OK).all()
+
+
+def test_many_stuck_runs_and_habits_of_cut_timelines(spark):
+    rng, t0, n = np.random.default_rng(6), dt.datetime(2024, 1, 1), 3000
+    faulty = np.round(40 + rng.normal(size=n), 2)
+    for i in range(200, n, 560):
+        faulty[i : i + 45] = 41.5 + i / 1000  # five freezes in 125 days
+    steady = np.round(40 + np.repeat(rng.normal(size=n // 50), 50), 2)  # stands still for two days at a time,
+    steady[1000:1400] = np.round(40 + rng.normal(size=400), 2)
+    steady[1150:1200] = 40.0  # which one lively fortnight doesn't change
+    rows = [(k * n + i, s, t0 + dt.timedelta(hours=i), float(v[i])) for k, (s, v) in enumerate((("faulty", faulty), ("steady", steady))) for i in range(n)]
+    df = spark.createDataFrame(rows, "id bigint, src string, ts timestamp, smart_194 double")
+    run = lambda most: {r.row_key for r in statuses(df, "id", "src", "ts", {"smart_194": T}, df.select("src", "ts"), max_rows=most).where("status = 'stuck'").collect()}
+    assert run(10**6) == run(200) == {i + j for i in range(200, n, 560) for j in range(1, 45)}
