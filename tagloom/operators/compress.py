@@ -148,8 +148,8 @@ def reward(d_ratio: Column, d_time: Column, d_psnr: Column) -> Column:
     return -(d_ratio * d_ratio + 0.5 * d_time * d_time + 0.1 * d_psnr * d_psnr)
 
 
-def schedule(blobs: DataFrame, key: str, payload: str, sample: int = 65536) -> DataFrame:
-    """Per blob and codec, the ratio on its first ``sample`` bytes, and whether compressing makes it smaller."""
+def schedule(blobs: DataFrame, key: str, payload: str, sample: int | None = None) -> DataFrame:
+    """Per blob and codec, the ratio on the whole payload (or its first ``sample`` bytes; the reference takes 65,536), and whether to keep the original, since compressing makes it no smaller."""
     names = list(CODECS)
 
     def run(frames):
@@ -159,8 +159,8 @@ def schedule(blobs: DataFrame, key: str, payload: str, sample: int = 65536) -> D
                 raw = bytes(b or b"")[:sample]
                 for i, n in enumerate(names):
                     c = len(CODECS[n][0](raw)) if raw else 0
-                    out.append((k, n, i, len(raw), c, len(raw) / c if c else 1.0))
-            yield pd.DataFrame(out, columns=[key, "codec", "place", "bytes", "packed_bytes", "ratio"])
+                    out.append((k, n, i, len(raw), c, len(raw) / c if c else 1.0, c >= len(raw)))
+            yield pd.DataFrame(out, columns=[key, "codec", "place", "bytes", "packed_bytes", "ratio", "keep_original"])
 
     kind = blobs.schema[key].dataType.simpleString()
-    return blobs.select(key, payload).mapInPandas(run, f"{key} {kind}, codec string, place int, bytes bigint, packed_bytes bigint, ratio double")
+    return blobs.select(key, payload).mapInPandas(run, f"{key} {kind}, codec string, place int, bytes bigint, packed_bytes bigint, ratio double, keep_original boolean")

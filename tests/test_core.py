@@ -192,3 +192,17 @@ def test_prefix_match_against_brute_force(spark, tmp_path):
     got = {r.vec_id: (r.matched, r.key) for r in kv_prefix_match(spark, str(tmp_path)).collect()}
     assert {q: m for q, (m, _) in got.items()} == {q: m for q, m in want.items() if m} and (got[0][0], got[1][0], got[2][0]) == (32, 20, 32)
     assert all(k == keys._prefix_keys(toks[q])[m - 1] for q, (m, k) in got.items())
+
+
+def test_codecs_see_whole_payloads(spark):
+    noise = random.Random(3).randbytes(65536)
+    data = [(1, bytearray(noise + b"a" * 400_000)), (2, bytearray(b"a" * 65536 + noise * 3)), (3, bytearray(noise[:50])), (4, bytearray()), (5, None)]
+    df = spark.createDataFrame(data, "id bigint, payload binary")
+    rows = Z.schedule(df, "id", "payload").collect()
+    raw = {k: bytes(b or b"") for k, b in data}
+    assert len(rows) == 5 * len(Z.CODECS)
+    for r in rows:
+        packed = len(Z.CODECS[r.codec][0](raw[r.id])) if raw[r.id] else 0
+        assert (r.bytes, r.packed_bytes, r.keep_original) == (len(raw[r.id]), packed, packed >= len(raw[r.id]))
+    best = {r.id: r for r in Z.best_codec(Z.schedule(df, "id", "payload"), "id", "ratio", "place", True).collect()}
+    assert best[1].ratio > 5 and not best[1].keep_original and best[3].keep_original
