@@ -135,3 +135,10 @@ def levenberg_marquardt(f, x0: np.ndarray, steps: int = 200, damping: float = 1e
             if damping > 1e12:
                 break
     return x, cost
+
+
+def row_sample(rows: DataFrame, key: str, n: int = 200_000, seed: int = 42) -> DataFrame:
+    """``n`` rows (all, if there are no more) in random order of the unique ``key``, the same for the same seed; wide rows stay where they are."""
+    at = F.struct(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).alias("k"))
+    last = rows.select(at.alias("_at")).orderBy("_at").limit(n).agg(F.max("_at").alias("_last"))
+    return rows.crossJoin(F.broadcast(last)).where(at <= F.col("_last")).drop("_last")

@@ -178,6 +178,11 @@ def array_block_sample(spark, sf):
     return e.select("vec_id", A.block_sample(F.col("embedding"), 7, 4, 8).alias("sample"))
 
 
+@query()
+def row_sample(spark, sf):
+    return E.row_sample(table(spark, sf, "train").select("row_id", "serial_number", "failure", "smart_9"), "row_id")
+
+
 @query()
 def array_groomed(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", Z.groomed(F.col("embedding"), 3).alias("groomed"))

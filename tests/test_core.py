@@ -206,3 +206,12 @@ def test_codecs_see_whole_payloads(spark):
         assert (r.bytes, r.packed_bytes, r.keep_original) == (len(raw[r.id]), packed, packed >= len(raw[r.id]))
     best = {r.id: r for r in Z.best_codec(Z.schedule(df, "id", "payload"), "id", "ratio", "place", True).collect()}
     assert best[1].ratio > 5 and not best[1].keep_original and best[3].keep_original
+
+
+def test_row_sample_is_seeded_and_capped(spark):
+    df = spark.range(5000).withColumn("x", F.col("id") * 2)
+    take = lambda d, *a: {r.id for r in E.row_sample(d, "id", *a).collect()}
+    one = take(df, 1000, 42)
+    assert len(one) == 1000 and one == take(df.repartition(7), 1000, 42) and one != take(df, 1000, 43)
+    assert abs(sum(one) / 1000 - 2500) < 250 and len(take(df, 6000, 42)) == 5000 and not take(df.limit(0), 10, 42)
+    assert E.row_sample(df, "id", 10).columns == ["id", "x"]
