@@ -3,8 +3,8 @@
 Each source's distinct records are forecast one step ahead by a Kalman filter: a level that may wander for
 temperatures, a line with the source's usual pace for counters. An innovation beyond the threshold withholds the
 update; if the records come back within three, they are candidates for spikes, and if not, the level has shifted
-and the filter restarts there. Stuck values are where the innovations of the frozen model (the next value equals
-the last one) lose all variance. Candidates are then held against the surrounding records on both sides.
+and the filter restarts there. Stuck values are found by a plain test, runs of equal neighbours, and not by the
+variance of the filter's innovations; the threshold for counters is in hours, not in deviations. Candidates are then held against the surrounding records on both sides.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ RULES = {"smart_194": Rule(-40.0, 125.0, False, 6.0), "smart_9": Rule(0.0, 300_0
 
 
 def _runs(v: np.ndarray, t: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """[start, end] of the maximal runs in which the frozen model's innovations vanish for long enough."""
+    """[start, end] of the maximal runs of equal values that are long enough."""
     if v.size < rule.run:
         return []
     cut = np.flatnonzero(v[1:] != v[:-1]) + 1
