@@ -4,7 +4,8 @@ Each source's distinct records are forecast one step ahead by a Kalman filter: a
 temperatures, a line with the source's usual pace for counters. An innovation beyond the threshold withholds the
 update; if the records come back within three, they are candidates for spikes, and if not, the level has shifted
 and the filter restarts there. Stuck values are found by a plain test, runs of equal neighbours, and not by the
-variance of the filter's innovations; the threshold for counters is in hours, not in deviations. Candidates are then held against the surrounding records on both sides.
+variance of the filter's innovations; the threshold for counters is in hours, not in deviations. Candidates are then
+held against the surrounding records on both sides.
 """
 
 from __future__ import annotations
