@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..session import spread
 
-_NUMBERED = re.compile(r"^(?:smart|attr|attribute|r|id)[ _.\-]*0*(\d{1,3})(?:[ _.\-]*(?:raw|value))?$", re.I)
+NUMBERED = re.compile(r"^(?:smart|attr|attribute|r|id)[ _.\-]*0*(\d{1,3})(?:[ _.\-]*(?:raw|value))?$", re.I)
 _LEADING_NUMBER = re.compile(r"^\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)")
 
 
@@ -46,8 +46,13 @@ class NameRule:
         self.by_label = {label_key(label): f for f, label in attributes if label}
         self.known = set(self.fields)
 
+    def names(self) -> dict[str, list[str]]:
+        """The names each field goes by: its own and its label."""
+        labels = {f: k for k, f in self.by_label.items()}
+        return {f: [f, *([labels[f]] if f in labels else [])] for f in self.fields}
+
     def __call__(self, name: str) -> str | None:
-        m = _NUMBERED.match(name.strip())
+        m = NUMBERED.match(name.strip())
         if m:
             f = f"smart_{int(m[1])}"
             return f if f in self.known else None
@@ -94,12 +99,13 @@ def loads(text: str | None) -> dict | None:
     return o if isinstance(o, dict) else None
 
 
-def with_metrics(readings: DataFrame, keep: list[str], rule: NameRule, fields: list[str]) -> DataFrame:
+def with_metrics(readings: DataFrame, keep: list[str], rule: NameRule, fields: list[str], lent: str | None = None) -> DataFrame:
     """``keep`` columns, ``readable`` and one double per canonical field; reads only ``keep`` and metrics_json.
 
     A cut-off metrics_json gives readable = false and null fields; of two keys for one field the first number wins.
+    ``lent``: a column with a map from keys to fields, which overrules the names for its row.
     """
-    src = spread(readings.select(*keep, "metrics_json"))
+    src = spread(readings.select(*keep, "metrics_json", *([lent] if lent else [])))
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("readable", T.BooleanType())] + [T.StructField(f, T.DoubleType()) for f in fields])
     col_of = {f: i for i, f in enumerate(fields)}
 
@@ -108,6 +114,7 @@ def with_metrics(readings: DataFrame, keep: list[str], rule: NameRule, fields: l
         width = len(fields)
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
+            own = b.column(len(keep) + 1).to_pylist() if lent else None
             at, values, ok = [], [], np.zeros(len(texts), dtype=bool)
             for i, s in enumerate(texts):
                 o = loads(s)
@@ -115,6 +122,8 @@ def with_metrics(readings: DataFrame, keep: list[str], rule: NameRule, fields: l
                     continue
                 ok[i] = True
                 base = i
+                if own is not None and own[i]:
+                    o = {said.get(k, k): v for said in [dict(own[i])] for k, v in o.items() if said.get(k, "") is not None}
                 for k, v in o.items():
                     j = index.get(k)
                     if j is None:

@@ -66,7 +66,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.unified(table(spark, sf, "drive_readings"), table(spark, sf, "train"), _rule(spark, sf))
+    return drift.unified(table(spark, sf, "drive_readings"), table(spark, sf, "train"), table(spark, sf, "feed_files"), _rule(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_filled_rows, p1_dependencies, p2_found, p2_flags, p3_found, p3_rolling, p4_found, p4_grid, p5_found, p5_changes, p5_unified)}
@@ -83,7 +83,30 @@ _TS = """
   from (select *, trim(reading_ts) as t from drive_readings)
 """
 
+_P5 = """
+with names as (select key, coalesce(max(a.field), max(b.field), key) as field from (select distinct key from keys) k
+    left join smart_attributes a on a.field = 'smart_' || ltrim(nullif(regexp_extract(trim(k.key), '^(?:smart|attr|attribute|r|id)[ _.-]*0*([0-9]{1,3})(?:[ _.-]*(?:raw|value))?$', 1, 'i'), ''), '0')
+    left join smart_attributes b on regexp_replace(lower(b.label), '[^a-z0-9]', '', 'g') = regexp_replace(regexp_replace(lower(k.key), '[^a-z0-9]', '', 'g'), 'raw$', '') group by key),
+f as (select target_table, file_name, field, string_agg(distinct k.key, ',' order by k.key) as keys, bit_or(form) as forms from keys k join names n using (key) where target_table <> 'train' or field = 'smart_5' group by 1, 2, 3),
+v as (select feed, target_table, file_name, lag(file_name) over (partition by feed, target_table order by file_no) as prev from files where file_name in (select file_name from readable)),
+c as (select v.file_name, n.field, n.keys, n.forms, o.field as old, o.keys as old_keys, o.forms as old_forms from v join f n using (file_name) left join f o on o.file_name = v.prev and o.field = n.field where v.prev is not null
+  union all select v.file_name, null, null, null, o.field, o.keys, o.forms from v join f o on o.file_name = v.prev left join f n on n.file_name = v.file_name and n.field = o.field where n.field is null)
+select file_name, field, 'added' as change from c where old is null
+union all select file_name, old, 'removed' from c where field is null
+union all select file_name, field, 'renamed' from c where keys <> old_keys
+union all select file_name, field, 'retyped' from c where forms > 0 and old_forms > 0 and forms <> old_forms
+"""
+_P5_KEYS = """
+with j as (select file_name, metrics_json from drive_readings where file_name is not null and json_valid(metrics_json) and json_type(metrics_json) = 'OBJECT'),
+t as (select file_name, unnest([{'key': 'smart_5_raw', 'v': smart_5_raw}, {'key': 'smart_5', 'v': smart_5}, {'key': 'r_5', 'v': r_5}], recursive := true) from train where file_name is not null),
+keys as (select 'drive_readings' as target_table, file_name, e.key, bit_or(case when e.type = 'NULL' then 0 when e.type = 'OBJECT' then 4 when e.type in ('VARCHAR', 'BOOLEAN', 'ARRAY') then 2 else 1 end) as form from j, json_each(j.metrics_json) e group by 1, 2, 3
+  union all select 'train', file_name, key, bit_or(case when regexp_full_match(trim(v), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)') then 1 when json_valid(v) and v like '{%' then 4 else 2 end) from t where v is not null group by 1, 2, 3),
+readable as (select distinct file_name from j union select distinct file_name from train where file_name is not null),
+files as (select feed, target_table, file_name, file_no from feed_files),
+"""
+
 SQL = {
+    "p5_found": _P5_KEYS + _P5.lstrip().removeprefix("with "),
     "p3_found": f"""
 with r as ({_TS}), d as (select distinct drive_id, ts from r where ts is not null and drive_id is not null),
 c as (select drive_id, cast(ts as date) as day, count(*) as n from d group by 1, 2),
