@@ -1,16 +1,16 @@
 """Implausible measurements per source by state-space forecasting (problem 2).
 
 Each source's distinct records are forecast one step ahead by a Kalman filter: a level that may wander for
-temperatures, a line with the source's usual pace for counters. An innovation beyond the threshold withholds the
-update; if the records come back within three, they are candidates for spikes, and if not, the level has shifted
-and the filter restarts there. Stuck values are found by a plain test, runs of equal neighbours, and not by the
-variance of the filter's innovations; the threshold for counters is in hours, not in deviations. Candidates are then
-held against the surrounding records on both sides.
+temperatures, a line with the source's usual pace for counters. An innovation beyond the threshold in units of its
+own deviation withholds the update; if the records come back within three, they are candidates for spikes, and if
+not, the level has shifted and the filter restarts there. A second filter takes every record at its word (no
+measurement noise, so its forecast is the record before): where the variance of its innovations over a window
+vanishes, the value is stuck. Candidates of either sort are then held against the records around them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.groups import sorted_groups
 from ..functions.readings import NameRule, reading_instant, with_metrics
-from .timelines import hot_keys, split_hot
+from .timelines import Cuts, cuts, split_hot
 
 OK, MISSING, IMPOSSIBLE, SPIKE, STUCK = 0, 1, 2, 3, 4
 STATUS = {MISSING: "missing", IMPOSSIBLE: "impossible", SPIKE: "spike", STUCK: "stuck"}
@@ -46,14 +46,35 @@ class Rule:
 RULES = {"smart_194": Rule(-40.0, 125.0, False, 6.0), "smart_9": Rule(0.0, 300_000.0, True, 200.0)}
 
 
+def innovation_variance(v: np.ndarray, t: np.ndarray, window: int) -> np.ndarray:
+    """Mean square of the last ``window`` standardised innovations of the filter without measurement noise, at each record from the ``window``-th on.
+
+    Its gain is 1 and its state's variance grows with the time passed, so the innovation is the step from the record
+    before and its deviation the root of that time. Innovations count up to 1,000 deviations, which keeps running
+    sums exact enough for small ones.
+    """
+    e = np.diff(v) / np.sqrt(np.maximum(np.diff(t), 1.0) / 3600)
+    total = np.append(0.0, np.cumsum(np.minimum(e * e, 1e6)))
+    return (total[window:] - total[:-window]) / window
+
+
 def _runs(v: np.ndarray, t: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """[start, end] of the maximal runs of equal values that are long enough."""
+    """[start, end] of the maximal runs of equal values that are long enough: where the innovations' variance vanishes, and exactly then."""
+    w = rule.run - 1
     if v.size < rule.run:
         return []
-    cut = np.flatnonzero(v[1:] != v[:-1]) + 1
-    s, e = np.append(0, cut), np.append(cut, v.size) - 1
-    hit = (e - s + 1 >= rule.run) & (t[e] - t[s] >= rule.run_s)
-    return list(zip(s[hit].tolist(), e[hit].tolist()))
+    gone = np.flatnonzero(innovation_variance(v, t, w) <= 1e-12)
+    if not gone.size:
+        return []
+    cut = np.flatnonzero(np.diff(gone) > 1) + 1
+    out = []
+    for part in np.split(gone, cut):
+        s, e = int(part[0]), int(part[-1]) + w
+        equal = np.flatnonzero(v[s + 1 : e + 1] != v[s:e]) + s + 1
+        for a, b in zip([s, *equal.tolist()], [*(equal - 1).tolist(), e]):
+            if b - a + 1 >= rule.run and t[b] - t[a] >= rule.run_s:
+                out.append((a, b))
+    return out
 
 
 Standing = tuple[int, np.ndarray, np.ndarray, np.ndarray]
@@ -93,23 +114,27 @@ def stuck_runs(v: np.ndarray, t: np.ndarray, rule: Rule, whole: Standing | None
     return kept
 
 
-def standing_of_hot(rows: DataFrame, source: str, ts: str, rules: dict[str, Rule], hot: list[str]) -> dict[tuple[str, str], Standing]:
-    """(source, field) -> standing of whole timelines that are to be cut; a row per period is all that meets in one task."""
-    out = {}
+def _standing_frame(df: pd.DataFrame) -> pd.DataFrame:
+    df = df.sort_values("period")
+    steps, lo, hi, n = standing(df["period"].to_numpy(), df["v"].to_numpy())
+    return pd.DataFrame({"source": [df["source"].iloc[0]], "steps": [steps], "lo": [lo], "hi": [hi], "n": [n]})
+
+
+def standing_of_hot(rows: DataFrame, source: str, ts: str, rules: dict[str, Rule], hot: Cuts) -> DataFrame:
+    """(source, seg, whole): each segment's copy of its timeline's standing, per field; a row per period is all that meets in one task."""
+    out = None
+    mine = rows.join(F.broadcast(hot.table.select(source)) if hot.few else hot.table.select(source), source, "left_semi")
     for f, rule in rules.items():
         own = F.col(f).cast("double")
-        some = rows.where(F.col(source).isin(hot) & F.col(ts).isNotNull() & own.between(rule.low, rule.high) & ~own.isin(*rule.fillers))
+        some = mine.where(F.col(ts).isNotNull() & own.between(rule.low, rule.high) & ~own.isin(*rule.fillers))
         us = F.unix_micros(ts)
         per = some.groupBy(F.col(source).alias("source"), F.floor(us / (rule.step_s * 1e6)).alias("period")).agg(F.min(F.struct(us.alias("us"), own.alias("v")))["v"].alias("v"))
 
-        def run(df):
-            df = df.sort_values("period")
-            steps, lo, hi, n = standing(df["period"].to_numpy(), df["v"].to_numpy())
-            return pd.DataFrame({"source": [df["source"].iloc[0]], "steps": [steps], "lo": [lo], "hi": [hi], "n": [n]})
-
-        for r in per.groupBy("source").applyInPandas(run, "source string, steps bigint, lo array<bigint>, hi array<bigint>, n array<bigint>").collect():
-            out[r["source"], f] = (r["steps"], *(np.array(r[c], dtype=np.int64) for c in ("lo", "hi", "n")))
-    return out
+        one = per.groupBy("source").applyInPandas(_standing_frame, "source string, steps bigint, lo array<bigint>, hi array<bigint>, n array<bigint>").withColumn("field", F.lit(f))
+        out = one if out is None else out.unionByName(one)
+    each = out.groupBy("source").agg(F.collect_list(F.struct("field", "steps", "lo", "hi", "n")).alias("whole"))
+    segs = hot.table.select(F.col(source).alias("source"), F.explode(F.sequence(F.lit(0), F.col("n_seg") - 1)).alias("seg"))
+    return segs.join(each, "source")
 
 
 def _level(v: np.ndarray, rule: Rule, skip: np.ndarray) -> np.ndarray:
@@ -145,7 +170,12 @@ def _level(v: np.ndarray, rule: Rule, skip: np.ndarray) -> np.ndarray:
 
 
 def _line(v: np.ndarray, h: np.ndarray, rule: Rule, skip: np.ndarray, pace: float) -> np.ndarray:
-    """Candidates by a Kalman filter of (value, pace); h: hours of the records."""
+    """Candidates by a Kalman filter of (value, pace); h: hours of the records.
+
+    The gate is four deviations of the innovation. Its noise is set by the rule: a settled filter's gate is three
+    quarters of ``min_dev``, and no gap widens it beyond that, since the usual pace holds over gaps too; so whatever
+    is further off than ``min_dev`` is a candidate.
+    """
     out = np.zeros(v.size, dtype=bool)
     vals, hours, skips = v.tolist(), h.tolist(), skip.tolist()
     good = [i for i in range(len(vals)) if not skips[i]]
@@ -154,27 +184,31 @@ def _line(v: np.ndarray, h: np.ndarray, rule: Rule, skip: np.ndarray, pace: floa
     first = good[: min(7, len(good))]
     x = float(np.median([vals[i] - pace * (hours[i] - hours[good[0]]) for i in first]))
     last, y = hours[good[0]], pace
-    p00, p01, p11 = 25.0, 0.0, 1e-6
-    r, qv, qp = 9.0, 0.05, 1e-9
+    gate = 4.0
+    r = (0.15 * rule.min_dev) ** 2
+    qv, qp, p0, p1 = r / 180, 1e-9, r / 36, 1e-6
+    p00, p01, p11 = p0, 0.0, p1
     held: list[int] = []
     for i in good:
         dt = hours[i] - last
         e = vals[i] - (x + y * dt)
-        if (e if e >= 0 else -e) > rule.min_dev:
+        near = dt if dt < 24.0 else 24.0
+        f00 = p00 + 2 * near * p01 + near * near * p11 + qv * near
+        s = f00 + r
+        if e * e > gate * gate * s:
             held.append(i)
             if len(held) > 3:
                 x, last, y = float(np.median([vals[j] - pace * (hours[j] - hours[i]) for j in held])), hours[i], pace
-                p00, p01, p11 = 25.0, 0.0, 1e-6
+                p00, p01, p11 = p0, 0.0, p1
                 held = []
             continue
         if held:
             out[held] = True
             held = []
         x += y * dt
-        p00 += 2 * dt * p01 + dt * dt * p11 + qv * dt
-        p01 += dt * p11
-        p11 += qp * dt
-        s = p00 + r
+        p00 = f00
+        p01 += near * p11
+        p11 += qp * near
         k0, k1 = p00 / s, p01 / s
         x += k0 * e
         y += k1 * e
@@ -289,70 +323,129 @@ def in_range(v: np.ndarray, rule: Rule) -> np.ndarray:
     return out
 
 
-def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[str, Rule], sizing: DataFrame, everything: bool = False, max_rows: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(row_key, field, value, status) of the records that aren't ordinary, or of all with ``everything``.
+CONTEXT_S, SEGMENT_S = 3 * 86400, 6 * 86400  # of a cut timeline: rows taken along on either side, least width
+
+
+@dataclass
+class Group:
+    """One segment of a source's timeline in order of time: t in seconds, a column per field, the columns carried along."""
+
+    source: str | None
+    t: np.ndarray
+    core: np.ndarray
+    rows: pa.Array
+    values: list[np.ndarray]
+    carried: pa.Table
+    whole: dict[str, Standing]
+
 
-    rows: row_key BIGINT, source STRING, ts TIMESTAMP and a DOUBLE per field; ``sizing``: see split_hot. Rows
-    without source or time are only held against the possible range; they are spread over 64 groups. Ties in time
-    are ordered by value; repeats of a record share its status. The rows are read once and shuffled once; the
-    columns in ``carry`` come along, which saves a join. Other columns are dropped.
+def by_source(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[str, Rule], hot: Cuts | None, work: Callable[[Group], pa.RecordBatch | None], schema: T.StructType, carry: tuple[str, ...] = (), context_s: int = CONTEXT_S) -> DataFrame:
+    """Runs ``work`` on every source's timeline, or segment of it; the rows are read once and shuffled once.
+
+    Rows without source or time belong to no timeline: they come in pieces as they arrive, with source None, and no
+    task gathers them. ``whole`` tells of the whole timeline where it is cut, and is empty else.
     """
     fields = list(rules)
     rows = rows.select(row_key, source, ts, *fields, *[c for c in carry if c not in (row_key, source, ts, *fields)])
+    split = split_hot(rows, source, ts, hot, context_s)
     lone = F.col(source).isNull() | F.col(ts).isNull()
-    hot = hot_keys(sizing, source, max_rows)
-    whole = standing_of_hot(rows, source, ts, rules, hot[0]) if hot[0] else {}
-    split = split_hot(rows, source, ts, sizing, max_rows, hot=hot)
-    schema = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("field", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("status", T.StringType())] + [T.StructField(c, rows.schema[c].dataType) for c in carry])
-    words = np.array(["ok", *[STATUS[i] for i in range(1, 5)]], dtype=object)
+    seg = F.when(lone, F.pmod(F.xxhash64(row_key), F.lit(1 << 20)).cast("int")).otherwise(F.col("seg"))
+    src = split.select(F.when(~lone, F.col(source)).alias("source"), seg.alias("seg"), F.unix_micros(ts).alias("us"), "core", F.col(row_key).alias("row_key"), *fields, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    if hot is not None:  # one more row heads each segment; it sorts before the others
+        empty = [F.lit(None).cast(src.schema[c].dataType).alias(c) for c in src.columns[4:]]
+        head = standing_of_hot(rows, source, ts, rules, hot).select("source", "seg", F.lit(-(1 << 63)).alias("us"), F.lit(False).alias("core"), *empty, "whole")
+        src = src.withColumn("whole", F.lit(None).cast(head.schema["whole"].dataType)).unionByName(head)
+    n = len(fields)
+
+    def group(key: str | None, tab: pa.Table) -> pa.RecordBatch | None:
+        whole: dict[str, Standing] = {}
+        if hot_names and key is not None and tab.column(2)[0].as_py() == -(1 << 63):
+            for x in tab.column(tab.num_columns - 1)[0].as_py() or []:
+                whole[x["field"]] = (x["steps"], *(np.array(x[c], dtype=np.int64) for c in ("lo", "hi", "n")))
+            tab = tab.slice(1)
+        if not tab.num_rows:
+            return None
+        t = tab.column(2).to_numpy() / 1e6
+        values = [tab.column(5 + j).to_numpy().astype(float) for j in range(n)]
+        return work(Group(key, t, tab.column(3).to_numpy().astype(bool), tab.column(4).combine_chunks(), values, tab.select(range(5 + n, 5 + n + len(carry))), whole))
+
+    hot_names = hot is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, names, vals, stats, extra, held = [], [], [], [], [], 0
-
-        def emit() -> pa.RecordBatch:
-            x = np.concatenate(vals)
-            more = pa.concat_tables(extra).combine_chunks() if carry else None
-            along = [more.column(i).chunk(0) for i in range(len(carry))] if carry else []
-            b = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names), type=pa.string()), pa.array(x, mask=np.isnan(x)), pa.array(np.concatenate(stats), type=pa.string()), *along], names=schema.names)
-            for part in (keys, names, vals, stats, extra):
-                part.clear()
-            return b
-
-        for (src_key, _), tab in sorted_groups(batches, 2):
-            t = tab.column(2).to_numpy() / 1e6
-            core = tab.column(3).to_numpy().astype(bool)
-            row = tab.column(4).to_numpy()
-            for j, f in enumerate(fields):
-                v = tab.column(5 + j).to_numpy().astype(float)
-                if src_key is None:
-                    st = in_range(v, rules[f])
-                else:
-                    order = np.lexsort((v, t))
-                    st = np.empty(v.size, dtype=np.int8)
-                    st[order] = assess_records(v[order], t[order], rules[f], whole.get((src_key, f)))
-                pick = core if everything else core & (st > MISSING)
-                if pick.any():
-                    n = int(pick.sum())
-                    keys.append(row[pick])
-                    names.append(np.full(n, f, dtype=object))
-                    vals.append(v[pick])
-                    stats.append(words[st[pick]])
-                    if carry:
-                        extra.append(tab.select(range(5 + len(fields), tab.num_columns)).filter(pa.array(pick)))
-                    held += n
+        ready: list[pa.RecordBatch] = []
+        held = 0
+
+        def timed() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            for b in batches:
+                gone = b.column(0).is_null()
+                if b.column(0).null_count:
+                    out = group(None, pa.Table.from_batches([b.filter(gone)]))
+                    if out is not None:
+                        ready.append(out)
+                        held += out.num_rows
+                    b = b.filter(b.column(0).is_valid())
+                yield b
+
+        for (key, _), tab in sorted_groups(timed(), 2):
+            out = group(key, tab)
+            if out is not None:
+                ready.append(out)
+                held += out.num_rows
             if held >= 20_000:
-                yield emit()
-                held = 0
-        if held:
-            yield emit()
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                ready, held = [], 0
+        if ready:
+            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
 
-    seg = F.when(lone, F.pmod(F.xxhash64(row_key), F.lit(64)).cast("int")).otherwise(F.col("seg"))
-    src = split.select(F.when(~lone, F.col(source)).alias("source"), seg.alias("seg"), F.unix_micros(ts).alias("us"), "core", F.col(row_key).alias("row_key"), *fields, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     return src.repartition("source", "seg").sortWithinPartitions("source", "seg", "us").mapInArrow(run, schema)
 
 
+_WORDS = np.array(["ok", *[STATUS[i] for i in range(1, 5)]], dtype=object)
+
+
+def group_statuses(g: Group, rules: dict[str, Rule]) -> list[np.ndarray]:
+    """Status codes of a group's rows, per field. Ties in time are ordered by value; repeats share their original's status."""
+    out = []
+    for v, (f, rule) in zip(g.values, rules.items()):
+        if g.source is None:
+            out.append(in_range(v, rule))
+            continue
+        order = np.lexsort((v, g.t))
+        st = np.empty(v.size, dtype=np.int8)
+        st[order] = assess_records(v[order], g.t[order], rule, g.whole.get(f))
+        out.append(st)
+    return out
+
+
+def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[str, Rule], sizing: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """(row_key, field, value, status) of the records that aren't ordinary.
+
+    rows: row_key BIGINT, source STRING, ts TIMESTAMP and a DOUBLE per field; ``sizing`` has the same sources and
+    times before any costly step. Rows without source or time are only held against the possible range. Timelines of
+    more than ``max_rows`` rows are cut. Other columns are dropped.
+    """
+    fields = list(rules)
+    schema = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("field", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("status", T.StringType())])
+
+    def work(g: Group) -> pa.RecordBatch | None:
+        keys, names, vals, stats = [], [], [], []
+        for f, v, st in zip(fields, g.values, group_statuses(g, rules)):
+            pick = np.flatnonzero(g.core & (st > MISSING))
+            if pick.size:
+                keys.append(g.rows.take(pa.array(pick)))
+                names += [f] * pick.size
+                vals.append(v[pick])
+                stats.append(_WORDS[st[pick]])
+        if not keys:
+            return None
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(names, pa.string()), pa.array(np.concatenate(vals)), pa.array(np.concatenate(stats), pa.string())], names=schema.names)
+
+    return by_source(rows, row_key, source, ts, rules, cuts(sizing, source, ts, max_rows, SEGMENT_S), work, schema)
+
+
 def reading_anomalies(readings: DataFrame, names: NameRule, max_rows: int = 200_000) -> DataFrame:
     """Anomalies of smart_194 and smart_9 in JSON readings."""
-    parsed = with_metrics(readings, ["id", "drive_id", "reading_ts"], names, ["smart_194", "smart_9"])
-    rows = parsed.select("id", "drive_id", reading_instant(F.col("reading_ts")).alias("ts"), "smart_194", "smart_9").where("smart_194 is not null or smart_9 is not null")
+    parsed = with_metrics(readings.select("id", "drive_id", reading_instant(F.col("reading_ts")).alias("ts"), "metrics_json"), ["id", "drive_id", "ts"], names, ["smart_194", "smart_9"])
+    rows = parsed.where("smart_194 is not null or smart_9 is not null")
     return statuses(rows, "id", "drive_id", "ts", RULES, readings.select("drive_id", reading_instant(F.col("reading_ts")).alias("ts")), max_rows=max_rows)

@@ -1,27 +1,35 @@
 """Missing cells filled from records of the same drive or bay (problem 1).
 
-Functional dependencies are mined from complete records (which determinants show one value of a dependent field,
-with support and violations). Those that hold become dictionaries: (bay, stretch of dates between two showings of
-the same serial number) -> serial_number, and (drive, date) -> value. Missing cells are filled by left joins with
-them; cells without an entry, of a violated group or of a refuted dependency fall back to their group: the bay's
-showings around the date, the drive's nearest plausible values within seven days. Every filled cell carries its provenance. Dictionaries have one row per bay and day or drive and day, so a hot bay
-or drive adds no more rows than it has days.
+Functional dependencies are mined from complete records: each candidate's determinants are grouped and held against
+the dependent field, with support and violations. The candidates, in order: (bay, interval) -> serial_number, where
+an interval lies between two showings of the same serial number; (drive, date) -> value; (drive, interval) -> value,
+where an interval lies between two days of the same value at most a week off. Only those that hold become
+dictionaries that missing cells look their value up in, and groups that violate them give none. What no dictionary
+gives falls back to the group: the bay's showings around the date, the drive's nearest plausible values within seven
+days. Every filled cell carries its provenance. The serial dictionary has one row per bay and day; values are looked
+up within the drive's sorted timeline, cut where it is long, so that no task holds more than a segment.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .anomaly import RULES, Rule, statuses
+from .anomaly import CONTEXT_S, MISSING, OK, RULES, SEGMENT_S, Group, Rule, by_source, group_statuses, statuses
+from .timelines import cuts
 
 # Spellings that stand for no text, and codes that stand for no number.
 TEXT_FILLERS = ("", "-", "--", "?", "n/a", "na", "nan", "nil", "none", "null", "unknown", "unk", "missing", "not available", "tbd")
 NUMBER_FILLERS = (-1.0, 0.0, -9.0, -99.0, -999.0, -9999.0, 255.0, 999.0, 9999.0, 32767.0, 65535.0, 99999.0, 999999.0, 9999999.0, 2147483647.0, 4294967295.0)
-RECURS = 3  # drives or bays that show a code before it counts as a fixed filler
+# A value that recurs in places that have nothing to do with each other is a code: in this share of them, and in so many.
+CODE_SHARE = 0.002
+NUMBER_PLACES, TEXT_PLACES = 3, 8
 
 
 def text_or_null(c: Column) -> Column:
@@ -30,19 +38,32 @@ def text_or_null(c: Column) -> Column:
     return F.when(~F.lower(t).isin(*TEXT_FILLERS) & ~t.rlike(r"^[\W_0]*$"), t)
 
 
-def recurring_texts(rows: DataFrame, field: str, place: str, least: int = 8) -> list[str]:
-    """Values of ``field`` that show up in at least ``least`` places: codes, since a drive sits in one place and seldom moves."""
-    per = rows.where(F.col(field).isNotNull() & F.col(place).isNotNull()).groupBy(field).agg(F.approx_count_distinct(place).alias("n"))
-    return [r[0] for r in per.where(F.col("n") >= least).select(field).collect()]
+@dataclass(frozen=True)
+class Codes:
+    """Codes mined from a table: serial numbers that are none, and numbers outside their field's range, per field."""
 
+    serials: tuple[str, ...]
+    numbers: dict[str, tuple[float, ...]]
 
-def mine_number_fillers(train: DataFrame, ranges: dict[str, tuple[float, float]]) -> dict[str, list[float]]:
-    """Per field, the values outside its range that recur across at least RECURS drives (as shown); one pass."""
+
+def mine_codes(train: DataFrame, ranges: dict[str, tuple[float, float]]) -> Codes:
+    """What stands in place of a value by recurring: serial numbers across bays, and numbers out of range across drives; one pass.
+
+    A code shows up in CODE_SHARE of all bays (drives), and in at least TEXT_PLACES (NUMBER_PLACES) of them: a drive
+    sits in one place and seldom moves, and two drives seldom share a reading that no drive can have. The share also
+    bounds what is collected.
+    """
     drive = text_or_null(F.col("serial_number"))
-    odd = lambda f, lo, hi: F.when(~F.isnan(f) & ((F.col(f) < lo) | (F.col(f) > hi)), F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")))
-    each = train.select(drive.alias("drive"), F.inline(F.array_compact(F.array(*[odd(f, lo, hi) for f, (lo, hi) in ranges.items()]))))
-    hits = each.where("drive is not null").groupBy("f", "v").agg(F.countDistinct("drive").alias("n")).where(F.col("n") >= RECURS).collect()
-    return {f: [r["v"] for r in hits if r["f"] == f] for f in ranges}
+    e = lambda kind, text, number, place: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"), number.cast("double").alias("number"), place.alias("place"))
+    none = F.lit(None)
+    each = [F.when(drive.isNotNull() & F.col("bay").isNotNull(), e("serial", drive, none, F.col("bay")))]
+    each += [F.when(drive.isNotNull() & ~F.isnan(f) & ((F.col(f) < lo) | (F.col(f) > hi)), e(f, none, F.col(f), drive)) for f, (lo, hi) in ranges.items()]
+    seen = train.select(F.inline(F.array_compact(F.array(*each)))).groupBy("kind", "text", "number", "place").agg(F.lit(1).alias("_"))
+    places = seen.where("kind = 'serial'").agg(F.countDistinct("place").alias("bays"), F.countDistinct("text").alias("drives"))
+    hits = seen.groupBy("kind", "text", "number").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("kind") == "serial", TEXT_PLACES).otherwise(NUMBER_PLACES))
+    least = F.when(F.col("kind") == "serial", F.col("bays")).otherwise(F.col("drives")) * CODE_SHARE
+    found = hits.crossJoin(F.broadcast(places)).where(F.col("n") >= least).select("kind", "text", "number").collect()  # places is one row
+    return Codes(tuple(sorted(r["text"] for r in found if r["kind"] == "serial")), {f: tuple(sorted(r["number"] for r in found if r["kind"] == f)) for f in ranges})
 
 
 HOLDS = 0.99  # share of the groups with one value from which on a dependency holds
@@ -96,11 +117,11 @@ def serial_dictionary(bay_days: DataFrame) -> DataFrame:
     return bay_days.where("open > 0").select("bay", "date", "serial_by_bay", holds.alias("serial_holds"))
 
 
-def with_serial(train: DataFrame) -> DataFrame:
-    """Adds ``serial``: the serial number as shown, fillers and codes as null."""
-    clean = train.withColumn("serial", text_or_null(F.col("serial_number")))
-    codes = recurring_texts(clean.select("serial", "bay", "date"), "serial", "bay")
-    return clean.withColumn("serial", F.when(~F.col("serial").isin(codes), F.col("serial"))) if codes else clean
+def with_serial(train: DataFrame, serials: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds ``serial``: the serial number as shown, fillers and codes as null; ``serials``: the mined codes, if at hand."""
+    serials = mine_codes(train, {}).serials if serials is None else serials
+    t = text_or_null(F.col("serial_number"))
+    return train.withColumn("serial", F.when(~t.isin(*serials), t) if serials else t)
 
 
 def _by_bay(clean: DataFrame, bay_days: DataFrame) -> DataFrame:
@@ -111,18 +132,18 @@ def _by_bay(clean: DataFrame, bay_days: DataFrame) -> DataFrame:
     return shown.unionByName(lost).withColumn("drive", F.coalesce("serial", "serial_by_bay"))
 
 
-def with_drive(train: DataFrame) -> DataFrame:
+def with_drive(train: DataFrame, serials: tuple[str, ...] | None = None) -> DataFrame:
     """Adds ``serial`` (fillers as null), ``serial_by_bay`` (filled) and ``drive`` (shown or filled)."""
-    clean = with_serial(train)
+    clean = with_serial(train, serials)
     return _by_bay(clean, _bay_days(clean.select("bay", "date", "serial"))).drop("serial_holds")
 
 
-def shown_serials(train: DataFrame, *columns: str) -> DataFrame:
-    """The daily rows' drive as shown, before any filling: what fillers are mined from and timelines sized by."""
-    return train.select(text_or_null(F.col("serial_number")).alias("drive"), F.col("date").cast("timestamp").alias("ts"), *columns)
+def shown_serials(train: DataFrame) -> DataFrame:
+    """The daily rows' drive as shown, before any filling: what timelines are sized by."""
+    return train.select(text_or_null(F.col("serial_number")).alias("drive"), F.col("date").cast("timestamp").alias("ts"))
 
 
-def hours_rule(mined: list[float]) -> Rule:
+def hours_rule(mined: tuple[float, ...]) -> Rule:
     """The rule of smart_9 with its filler codes: the conventional ones and those that recur across drives."""
     return replace(RULES["smart_9"], fillers=tuple(sorted({*NUMBER_FILLERS, *mined})))
 
@@ -131,80 +152,142 @@ HOURS_RANGE = (RULES["smart_9"].low, RULES["smart_9"].high)
 ERRORS_RANGE = (0.0, 1000.0)
 
 
-def train_rows(train: DataFrame) -> DataFrame:
-    """row_id, drive, ts and the two measured fields of daily rows, with filled serial numbers."""
-    return with_drive(train.select("row_id", "serial_number", "bay", "date", "smart_194", "smart_9")).select("row_id", "drive", F.col("date").cast("timestamp").alias("ts"), F.col("smart_194").cast("double").alias("smart_194"), F.col("smart_9").cast("double").alias("smart_9"))
-
-
 def train_anomalies(train: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Anomalies of smart_194 and smart_9 in daily rows (see anomaly.statuses); fillers aren't anomalies."""
-    return statuses(train_rows(train), "row_id", "drive", "ts", {"smart_194": RULES["smart_194"], "smart_9": hours_rule(mine_number_fillers(train, {"smart_9": HOURS_RANGE})["smart_9"])}, shown_serials(train), max_rows=max_rows)
+    """Anomalies of smart_194 and smart_9 in daily rows (see anomaly.statuses), with filled serial numbers; fillers aren't anomalies."""
+    codes = mine_codes(train, {"smart_9": HOURS_RANGE})
+    rows = with_drive(train.select("row_id", "serial_number", "bay", "date", "smart_194", "smart_9"), codes.serials).select("row_id", "drive", F.col("date").cast("timestamp").alias("ts"), F.col("smart_194").cast("double").alias("smart_194"), F.col("smart_9").cast("double").alias("smart_9"))
+    return statuses(rows, "row_id", "drive", "ts", {"smart_194": RULES["smart_194"], "smart_9": hours_rule(codes.numbers["smart_9"])}, shown_serials(train), max_rows=max_rows)
 
 
-def errors_value(mined: list[float]) -> Column:
+def errors_value(mined: tuple[float, ...]) -> Column:
     """smart_187 with missing ones as null: not a number, negative, or a code of at least 255 that recurs or is conventional."""
     v = F.col("smart_187").cast("double")
-    codes = sorted({c for c in NUMBER_FILLERS if c >= 255} | set(mined))
-    return F.when(~F.isnan(v) & (v >= 0) & ~v.isin(codes), v)
+    return F.when(~F.isnan(v) & (v >= 0) & ~v.isin(*sorted({c for c in NUMBER_FILLERS if c >= 255} | set(mined))), v)
+
+
+def _days_of(clean: DataFrame, codes: Codes) -> DataFrame:
+    """Per shown drive and day, of each field's plausible values the number (n_), least (lo_) and largest (hi_)."""
+    hours = F.col("smart_9").cast("double")
+    complete = {"smart_9": F.when(hours.between(*HOURS_RANGE) & ~hours.isin(*hours_rule(codes.numbers["smart_9"]).fillers), hours), "smart_187": errors_value(codes.numbers["smart_187"])}
+    known = clean.where("serial is not null and date is not null").select("serial", "date", *[v.alias(f"_{f}") for f, v in complete.items()])
+    return known.groupBy("serial", "date").agg(*[a(f"_{f}").alias(f"{n}_{f}") for f in complete for n, a in (("n", F.count), ("lo", F.min), ("hi", F.max))])
+
+
+def fill_dependencies(bay_days: DataFrame, clean: DataFrame, codes: Codes, days: int = 7) -> DataFrame:
+    """mine_dependencies' rows of the candidates that fill_cells fills from, over complete records.
+
+    (drive, date): do a drive's records of one day show one value? (drive, interval): does a day between two days of
+    one value, each at most ``days`` off, show it too? A candidate without any group has nothing to hold by.
+    """
+    per_day = _days_of(clean, codes)
+    w = Window.partitionBy("serial").orderBy("date")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    near, cells = per_day, []
+    for f in ("smart_9", "smart_187"):
+        shown = F.when(F.col(f"n_{f}") > 0, F.struct(F.col("date").alias("at"), F.col(f"lo_{f}").alias("lo"), F.col(f"hi_{f}").alias("hi")))
+        near = near.withColumn(f"a_{f}", F.last(shown, True).over(before)).withColumn(f"b_{f}", F.first(shown, True).over(after))
+        n, lo, hi, a, b = (F.col(f"{c}_{f}") for c in ("n", "lo", "hi", "a", "b"))
+        one = (a["lo"] == a["hi"]) & (b["lo"] == b["hi"]) & (a["lo"] == b["lo"]) & (F.datediff("date", a["at"]) <= days) & (F.datediff(b["at"], "date") <= days)
+        cells.append(F.when(n >= 2, F.struct(F.lit("drive,date").alias("determinant"), F.lit(f).alias("dependent"), n.alias("n"), (lo != hi).alias("bad"))))
+        cells.append(F.when((n >= 1) & one, F.struct(F.lit("drive,interval").alias("determinant"), F.lit(f).alias("dependent"), n.alias("n"), ((lo != a["lo"]) | (hi != a["lo"])).alias("bad"))))
+    seen = near.select(F.inline(F.array_compact(F.array(*cells))))
+    each = seen.groupBy("determinant", "dependent").agg(F.count("*").alias("groups"), F.sum("n").alias("support"), F.count_if("bad").alias("violating_groups"))
+    each = each.select("*", (1 - F.col("violating_groups") / F.col("groups")).alias("confidence")).withColumn("holds", F.col("confidence") >= HOLDS)
+    return _intervals_verdict(bay_days).unionByName(each)
 
 
-def fill_cells(train: DataFrame, days: int = 7) -> DataFrame:
-    """All rows: row_id, drive, date, and per field the value after filling, ``_filled`` and ``_provenance``.
+def fill_values(day: np.ndarray, shown: np.ndarray, donor: np.ndarray, days: int, by_date: bool, by_interval: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(value, provenance) of each record of a drive in order of its day: shown, looked up, from its group, or none (NaN).
+
+    ``by_date``, ``by_interval``: whether these dependencies hold. The group's value is the middle of the day's own
+    values, else between the nearest donors on either side by time, else the one within reach; counters are whole.
+    """
+    value, said = shown.copy(), np.where(np.isnan(shown), None, "shown").astype(object)
+    open_ = np.flatnonzero(np.isnan(shown))
+    if not open_.size or not donor.any():
+        return value, said
+    dates, at = np.unique(day[donor], return_inverse=True)
+    lo, hi = np.full(dates.size, np.inf), np.full(dates.size, -np.inf)
+    np.minimum.at(lo, at, shown[donor])
+    np.maximum.at(hi, at, shown[donor])
+    mid = (lo + hi) / 2
+    left = np.searchsorted(dates, day[open_], side="left")
+    own = (left < dates.size) & (dates[np.minimum(left, dates.size - 1)] == day[open_])
+    right = left + own
+    for i, k, b, has in zip(open_.tolist(), (left - 1).tolist(), right.tolist(), own.tolist()):
+        if has:
+            j = k + 1
+            value[i], said[i] = (hi[j], "fd:drive,date") if by_date and lo[j] == hi[j] else (_whole(mid[j]), f"group:drive,{days}d")
+            continue
+        a_ok, b_ok = k >= 0 and day[i] - dates[k] <= days, b < dates.size and dates[b] - day[i] <= days
+        if a_ok and b_ok:
+            if by_interval and lo[k] == hi[k] == lo[b] == hi[b]:
+                value[i], said[i] = hi[k], "fd:drive,interval"
+                continue
+            got = mid[k] + (mid[b] - mid[k]) * (day[i] - dates[k]) / (dates[b] - dates[k])
+        elif a_ok or b_ok:
+            got = mid[k] if a_ok else mid[b]
+        else:
+            continue
+        value[i], said[i] = _whole(got), f"group:drive,{days}d"
+    return value, said
+
+
+def _whole(x: float) -> float:
+    return float(np.copysign(np.floor(abs(x) + 0.5), x))
+
+
+_FIELDS = ("smart_9", "smart_187")
+
+
+def fill_cells(train: DataFrame, days: int = 7, max_rows: int = 200_000) -> DataFrame:
+    """All rows: row_id, date, and per field the value after filling, ``_filled`` and ``_provenance``.
 
     Null dates or bays leave serial numbers unfilled; a row without drive keeps its other cells. Repeated rows each
     get their own filled cell. Provenance: ``shown``, ``fd:bay,interval``, ``fd:drive,date`` (another record of the
-    day), ``group:bay`` and ``group:drive,7d`` (nearest plausible values around that date), or null where nothing
-    fills the cell. ``fd`` needs a dependency that the complete records don't refute, and a group that doesn't
-    violate it: the showings of the bay's date, the values of the drive's day.
+    day), ``fd:drive,interval`` (between two equal values), ``group:bay`` and ``group:drive,7d`` (nearest plausible
+    values around that date), or null where nothing fills the cell. ``fd`` needs a dependency that holds on the
+    complete records, and a group that doesn't violate it: the showings of the bay's date, the values of the drive's
+    day.
     """
-    mined = mine_number_fillers(train, {"smart_9": HOURS_RANGE, "smart_187": ERRORS_RANGE})
-    clean = with_serial(train.select("row_id", "serial_number", "bay", "date", "smart_9", "smart_187"))
+    codes = mine_codes(train, {"smart_9": HOURS_RANGE, "smart_187": ERRORS_RANGE})
+    clean = with_serial(train.select("row_id", "serial_number", "bay", "date", *_FIELDS), codes.serials)
     ensure_checkpoint_dir(train.sparkSession)
     bay_days = _bay_days(clean.select("bay", "date", "serial")).checkpoint()  # read by the verdict and the dictionary
-    timed = _by_bay(clean, bay_days).select("row_id", "serial", "serial_by_bay", "serial_holds", "drive", "date", F.col("date").cast("timestamp").alias("ts"), F.col("smart_9").cast("double").alias("smart_9"), errors_value(mined["smart_187"]).alias("shown_187"))
-    assessed = statuses(timed, "row_id", "drive", "ts", {"smart_9": hours_rule(mined["smart_9"])}, shown_serials(train), everything=True, carry=("serial", "serial_by_bay", "serial_holds", "drive", "date", "shown_187"))
-    cells = assessed.select(
-        F.col("row_key").alias("row_id"), "serial", "serial_by_bay", "serial_holds", "drive", "date", F.when(F.col("status") != "missing", F.col("value")).alias("shown_9"), (F.col("status") == "ok").alias("ok_9"), "shown_187"
-    ).checkpoint()  # read three times below; the assessment isn't to run three times
-    donors = {"9": F.when(F.col("ok_9"), F.col("shown_9")), "187": F.col("shown_187")}
-    per_day = cells.where(F.col("drive").isNotNull() & F.col("date").isNotNull()).groupBy("drive", "date").agg(
-        *[a(d).alias(f"{n}_{f}") for f, d in donors.items() for n, a in (("n", F.count), ("lo", F.min), ("hi", F.max))], *[F.count_if(F.col(f"shown_{f}").isNull()).alias(f"open_{f}") for f in donors]
-    ).checkpoint()  # read by the verdicts and the dictionaries
-    verdicts = _intervals_verdict(bay_days)
-    for f in donors:
-        verdicts = verdicts.unionByName(_verdict(per_day.where(f"n_{f} >= 2").select(*[F.col(f"{c}_{f}").alias(c) for c in ("n", "lo", "hi")]), "drive,date", f))
-    held = {r["dependent"]: not r["violating_groups"] or r["holds"] for r in verdicts.collect()}  # nothing to refute it: no group has two records
-    for f in donors:
-        per_day = per_day.withColumn(f"m_{f}", (F.col(f"lo_{f}") + F.col(f"hi_{f}")) / 2).withColumn(f"d_{f}", F.when(F.lit(held[f]) & (F.col(f"lo_{f}") == F.col(f"hi_{f}")), F.col(f"hi_{f}")))
-    w = Window.partitionBy("drive").orderBy("date")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    near = per_day
-    for f in ("9", "187"):
-        shown = F.when(F.col(f"m_{f}").isNotNull(), F.struct(F.col("date").alias("at"), F.col(f"m_{f}").alias("v")))
-        near = near.withColumn(f"a_{f}", F.last(shown, True).over(before)).withColumn(f"b_{f}", F.first(shown, True).over(after))
-    out = near.where("open_9 > 0 or open_187 > 0").select("drive", "date", *[_group_value(f, days) for f in ("9", "187")], F.col("d_9"), F.col("d_187"))
-    joined = cells.withColumn("open", F.col("shown_9").isNull() | F.col("shown_187").isNull())
-    full = joined.where("not open")
-    for c in ("g_9", "g_187", "d_9", "d_187"):
-        full = full.withColumn(c, F.lit(None).cast("double"))
-    some = joined.where("open").join(out, ["drive", "date"], "left")
-    done = full.unionByName(some)
-    cols = [F.col("row_id"), F.col("date"), F.col("drive").alias("serial_number"), F.col("serial_by_bay").isNotNull().alias("serial_number_filled"), F.when(F.col("serial").isNotNull(), "shown").when(F.col("serial_holds") & F.lit(held["serial"]), "fd:bay,interval").when(F.col("serial_by_bay").isNotNull(), "group:bay").alias("serial_number_provenance")]
-    for f in ("9", "187"):
-        s, d, g = F.col(f"shown_{f}"), F.col(f"d_{f}"), F.col(f"g_{f}")
-        cols += [F.coalesce(s, d, g).alias(f"smart_{f}"), (s.isNull() & F.coalesce(d, g).isNotNull()).alias(f"smart_{f}_filled"), F.when(s.isNotNull(), "shown").when(d.isNotNull(), "fd:drive,date").when(g.isNotNull(), f"group:drive,{days}d").alias(f"smart_{f}_provenance")]
+    held = {(r["determinant"], r["dependent"]) for r in fill_dependencies(bay_days, clean, codes, days).collect() if r["holds"]}
+    rules = {"smart_9": hours_rule(codes.numbers["smart_9"]), "smart_187": Rule(0.0, float("inf"), False, 0.0)}
+    timed = _by_bay(clean, bay_days).select("row_id", "serial", "serial_by_bay", "serial_holds", "drive", "date", F.col("date").cast("timestamp").alias("ts"), F.col("smart_9").cast("double").alias("smart_9"), errors_value(codes.numbers["smart_187"]).alias("smart_187"))
+    carry = ("date", "drive", "serial", "serial_by_bay", "serial_holds")
+    schema = T.StructType(
+        [T.StructField("row_id", T.LongType())] + [T.StructField(c, timed.schema[c].dataType) for c in carry] + [T.StructField(f"{f}{e}", t) for f in _FIELDS for e, t in (("", T.DoubleType()), ("_provenance", T.StringType()))]
+    )
+    fixed = {f: (("drive,date", f) in held, ("drive,interval", f) in held) for f in _FIELDS}
+
+    def work(g: Group) -> pa.RecordBatch | None:
+        status = group_statuses(Group(g.source, g.t, g.core, g.rows, g.values[:1], g.carried, g.whole), {"smart_9": rules["smart_9"]})[0]
+        day = np.floor(np.nan_to_num(g.t) / 86400).astype(np.int64)
+        hours, errors = np.where(status == MISSING, np.nan, g.values[0]), g.values[1]
+        pick = pa.array(g.core)
+        out = [g.rows.filter(pick), *[c.combine_chunks() for c in g.carried.filter(pick).columns]]
+        for f, shown, donor in (("smart_9", hours, status == OK), ("smart_187", errors, ~np.isnan(errors))):
+            if g.source is None:
+                value, said = shown, np.where(np.isnan(shown), None, "shown").astype(object)
+            else:
+                value, said = fill_values(day, shown, donor, days, *fixed[f])
+            value, said = value[g.core], said[g.core]
+            out += [pa.array(value, mask=np.isnan(value)), pa.array(said, pa.string())]
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks == 1 else c for c in out], names=schema.names)
+
+    reach = days * 86400 + CONTEXT_S
+    done = by_source(timed, "row_id", "drive", "ts", rules, cuts(shown_serials(train), "drive", "ts", max_rows, max(SEGMENT_S, 2 * reach)), work, schema, carry, reach)
+    by_bay = ("bay,interval", "serial") in held
+    cols = [F.col("row_id"), F.col("date"), F.col("drive").alias("serial_number"), F.col("serial_by_bay").isNotNull().alias("serial_number_filled"), F.when(F.col("serial").isNotNull(), "shown").when(F.col("serial_holds") & F.lit(by_bay), "fd:bay,interval").when(F.col("serial_by_bay").isNotNull(), "group:bay").alias("serial_number_provenance")]
+    for f in _FIELDS:
+        said = F.col(f"{f}_provenance")
+        cols += [F.col(f), (said.isNotNull() & (said != "shown")).alias(f"{f}_filled"), said]
     return done.select(*cols)
 
 
-def _group_value(f: str, days: int) -> Column:
-    """The middle of the day's own values, else between two donors within reach by time, else the one within reach; counters are whole, so rounded."""
-    a, b = F.col(f"a_{f}"), F.col(f"b_{f}")
-    da, db = F.datediff("date", a["at"]), F.datediff(b["at"], "date")
-    va, vb = F.when(da <= days, a["v"]), F.when(db <= days, b["v"])
-    between = va + (vb - va) * da / (da + db)
-    return F.round(F.coalesce(f"m_{f}", between, va, vb)).alias(f"g_{f}")
-
-
 def filled_cells(train: DataFrame, days: int = 7) -> DataFrame:
     """(row_id, field, value, provenance) of each filled cell, values as text."""
     done = fill_cells(train, days)

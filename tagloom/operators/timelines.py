@@ -2,39 +2,59 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MANY = 10_000  # hot keys up to which their table is sent to every task (some 100 bytes each)
+SALTS = 16
+
+
+@dataclass
+class Cuts:
+    """Hot keys' timelines: (key, t0, width, n_seg); ``few``: at most MANY of them, in a local table."""
+
+    table: DataFrame
+    few: bool
 
-def hot_keys(sizing: DataFrame, key: str, max_rows: int) -> tuple[list[str], int]:
-    """The keys whose timelines are cut, and the number of rows from which on they are."""
-    most = max(max_rows, sizing.count() // 10_000)
-    return [r[0] for r in sizing.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key).collect()], most
+
+def cuts(sizing: DataFrame, key: str, ts: str, max_rows: int, width_s: int, many: int = MANY) -> Cuts | None:
+    """The keys with more than ``max_rows`` rows and how they are cut, None where there are none.
+
+    Counts are taken first, from the key column alone; ends of time only of the keys that are hot. A hot key's span
+    is cut into equal segments of about ``max_rows`` rows, but of no less than ``width_s`` seconds. Up to ``many``
+    keys the table is a local one, beyond them it stays distributed.
+    """
+    n = sizing.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max_rows)
+    found = [r[0] for r in n.select(key).limit(many + 1).collect()]
+    if not found:
+        return None
+    few = len(found) <= many
+    some = sizing.where(F.col(key).isin(found)) if few else sizing.join(n.select(key), key, "left_semi")
+    ends = some.where(F.col(ts).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(F.unix_seconds(ts)).alias("t0"), F.max(F.unix_seconds(ts)).alias("t1"))
+    span = F.col("t1") - F.col("t0") + 1
+    n_seg = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / max_rows), F.floor(span / width_s))).cast("int")
+    table = ends.select(key, "t0", F.ceil(span / n_seg).cast("bigint").alias("width"), n_seg.alias("n_seg"))
+    return Cuts(sizing.sparkSession.createDataFrame(table.collect(), table.schema) if few else table, few)
 
 
-def split_hot(rows: DataFrame, key: str, ts: str, sizing: DataFrame, max_rows: int = 200_000, context_s: int = 3 * 86400, min_segment_s: int = 6 * 86400, hot: tuple[list[str], int] | None = None) -> DataFrame:
+def split_hot(rows: DataFrame, key: str, ts: str, hot: Cuts | None, context_s: int) -> DataFrame:
     """Adds ``seg`` (segment of the key's timeline) and ``core`` (whether the row belongs to it or is its context).
 
-    Keys of up to ``max_rows`` rows, or of a ten-thousandth of all rows where that is more, have one segment. So at
-    most 10,000 keys are hot, which bounds what is collected and joined by broadcast. A hot key's span is cut into
-    equal segments of at least ``min_segment_s``; each also gets the rows up to ``context_s`` before and after it.
-    ``sizing`` has the same keys and times before any costly step (key and ts columns); only its counts are read
-    unless a key is hot. ``hot``: what hot_keys gave, if it was asked before.
+    Keys that aren't hot have one segment. Each segment also gets the rows up to
+    ``context_s`` before and after it. A local table is broadcast, since it has at most MANY rows; a distributed one
+    is joined by key and one of SALTS salts.
     """
-    large, most = hot or hot_keys(sizing, key, max_rows)
-    if not large:
+    if hot is None:
         return rows.withColumn("seg", F.lit(0)).withColumn("core", F.lit(True))
-    hot = sizing.where(F.col(key).isin(large) & F.col(ts).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi")).collect()
-    spark = rows.sparkSession
-    cuts = []
-    for r in hot:
-        span = max(int((r["hi"] - r["lo"]).total_seconds()) + 1, 1)
-        n = max(1, min(-(-r["n"] // most), span // min_segment_s))
-        cuts.append((r[key], int(r["lo"].timestamp()), -(-span // n), n))
-    table = spark.createDataFrame(cuts, f"`{key}` string, t0 bigint, width bigint, n_seg int")
     at = F.unix_seconds(ts) - F.col("t0")
     seg = lambda x: F.greatest(F.lit(0), F.least(F.col("n_seg") - 1, F.floor(x / F.col("width")))).cast("int")
-    joined = rows.join(F.broadcast(table), key, "left")
+    if hot.few:
+        joined = rows.join(F.broadcast(hot.table), key, "left")
+    else:
+        salted = hot.table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("_salt", F.pmod(F.xxhash64(ts), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
     one = F.col("n_seg").isNull() | F.col(ts).isNull()
     joined = joined.withColumn("own", F.when(one, 0).otherwise(seg(at)))
     spread = joined.withColumn("seg", F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.sequence(seg(at - context_s), seg(at + context_s)))))

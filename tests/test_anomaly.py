@@ -2,11 +2,13 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tagloom.functions.readings import NameRule
-from tagloom.operators.anomaly import IMPOSSIBLE, MISSING, OK, RULES, SPIKE, STUCK, _around, assess, assess_records, reading_anomalies, statuses
-from tagloom.operators.timelines import split_hot
+from tagloom.operators.anomaly import IMPOSSIBLE, MISSING, OK, RULES, SPIKE, STUCK, _around, _runs, assess, assess_records, innovation_variance, reading_anomalies, statuses
+from tagloom.operators.timelines import cuts, split_hot
 
 T, H = RULES["smart_194"], RULES["smart_9"]
 DAY = 86400.0
@@ -132,8 +134,10 @@ def test_split_timelines_give_the_same_flags(spark):
 
 def test_split_segments_cover_each_row_once(spark):
     df = _frame(spark).drop("seg", "core")
-    s = split_hot(df, "src", "ts", df.select("src", "ts"), 200)
-    assert s.where("core").count() == df.count() and s.select("seg").distinct().count() > 5
+    for many in (10_000, 0):  # a local table of hot keys, and a distributed one
+        hot = cuts(df.select("src", "ts"), "src", "ts", 200, 6 * 86400, many)
+        s = split_hot(df, "src", "ts", hot, 3 * 86400)
+        assert hot.few == bool(many) and s.where("core").count() == df.count() and s.select("seg").distinct().count() > 5
 
 
 def test_readings_and_empty_tables(spark):
@@ -179,3 +183,48 @@ def test_many_stuck_runs_and_habits_of_cut_timelines(spark):
     df = spark.createDataFrame(rows, "id bigint, src string, ts timestamp, smart_194 double")
     run = lambda most: {r.row_key for r in statuses(df, "id", "src", "ts", {"smart_194": T}, df.select("src", "ts"), max_rows=most).where("status = 'stuck'").collect()}
     assert run(10**6) == run(200) == {i + j for i in range(200, n, 560) for j in range(1, 45)}
+
+
+@pytest.mark.parametrize("many", [4, 40])
+def test_any_number_of_stuck_runs(many):
+    rng, n = np.random.default_rng(9), 2500
+    v, t = np.round(40 + rng.normal(size=n), 1), np.arange(n) * 6 * 3600.0
+    at = [20 + i * (n // (many + 1)) for i in range(many)]
+    for i in at:
+        v[i : i + 12] = 70.0 + i / 1000
+    assert list(np.flatnonzero(assess(v, t, T) == STUCK)) == [i + j for i in at for j in range(1, 12)]
+
+
+def test_vanishing_innovations():
+    rng = np.random.default_rng(2)
+    v, t = np.round(40 + rng.normal(size=400), 1), np.cumsum(rng.integers(1, 9, 400)) * 3600.0
+    v[100:120], v[300:309], v[200:207] = 41.0, 42.5, 43.0
+    gone = innovation_variance(v, t, 7) == 0
+    assert list(np.flatnonzero(gone)) == [*range(100, 113), 300, 301]
+    for rule in (T, H):
+        want, s = [], 0
+        for i in range(1, v.size + 1):
+            if i == v.size or v[i] != v[s]:
+                if i - s >= rule.run and t[i - 1] - t[s] >= rule.run_s:
+                    want.append((s, i - 1))
+                s = i
+        assert _runs(v, t, rule) == want
+
+
+@given(st.integers(0, 10**6), st.sampled_from([1, 24, 500]), st.floats(201, 5000), st.booleans())
+@settings(max_examples=80, deadline=None)
+def test_whatever_leaves_the_line_by_more_than_200_hours_is_withheld(seed, gap, off, down):
+    """The gate is in deviations, yet none of them is so large that a case passes it."""
+    from tagloom.operators.anomaly import _line
+
+    rng = np.random.default_rng(seed)
+    h = np.cumsum(rng.exponential(gap, 60)) + 1
+    v = 50_000 + h + rng.normal(0, 2, 60)
+    i = int(rng.integers(8, 57))
+    v[i] += -off if down else off
+    assert _line(v, h, H, np.zeros(60, bool), 1.0)[i]
+
+
+def test_rows_without_a_source_need_no_group(spark):
+    df = spark.range(5000).select(F.col("id"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("timestamp").alias("ts"), F.when(F.col("id") % 100 == 0, 900.0).otherwise(40.0).alias("smart_194"))
+    assert statuses(df, "id", "src", "ts", {"smart_194": T}, df.select("src", "ts")).count() == 50

@@ -29,9 +29,9 @@ def test_cells_filled_and_left(spark):
     df = spark.createDataFrame(rows(), SCHEMA).withColumn("serial", F.lit("clash")).withColumn("drive", F.lit("clash"))
     got = {(r.row_id, r.field): (r.value, r.provenance) for r in filled_cells(df).collect()}
     assert got.pop((5, "serial_number")) == ("S1", "fd:bay,interval") and got.pop((9, "serial_number")) == ("S1", "fd:bay,interval")
-    assert got.pop((9, "smart_9")) == ("1216.0", "group:drive,7d") and got.pop((9, "smart_187")) == ("0.0", "group:drive,7d")
+    assert got.pop((9, "smart_9")) == ("1216.0", "group:drive,7d") and got.pop((9, "smart_187")) == ("0.0", "fd:drive,interval")
     for k in (12, 142):
-        assert got.pop((k, "smart_9")) == ("1288.0", "group:drive,7d") and got.pop((k, "smart_187")) == ("0.0", "group:drive,7d")
+        assert got.pop((k, "smart_9")) == ("1288.0", "group:drive,7d") and got.pop((k, "smart_187")) == ("0.0", "fd:drive,interval")
     assert not got
 
 
@@ -44,7 +44,7 @@ def test_every_row_comes_out_once(spark):
 
 
 def test_same_day_dictionary(spark):
-    data = [(1, "S", "b", day(0), 10.0, 1.0, 40.0), (2, "S", "b", day(0), None, None, 40.0), (3, "S", "b", day(2), 58.0, 1.0, 40.0)]
+    data = [(1, "S", "b", day(0), 10.0, 1.0, 40.0), (2, "S", "b", day(0), None, None, 40.0), (3, "S", "b", day(2), 58.0, 1.0, 40.0), (4, "S", "b", day(2), 58.0, 1.0, 40.0)]
     got = {(r.row_id, r.field): (r.value, r.provenance) for r in filled_cells(spark.createDataFrame(data, SCHEMA)).collect()}
     assert got == {(2, "smart_9"): ("10.0", "fd:drive,date"), (2, "smart_187"): ("1.0", "fd:drive,date")}
 
@@ -87,3 +87,33 @@ def test_refuted_dependencies_give_no_dictionary(spark):
     data += [(100 + i, "S1" if i % 2 else "S2", "b2", day(i), 500.0, 1.0, 40.0) for i in range(8)] + [(910, "", "b2", day(3), 500.0, 1.0, 40.0)]  # drives take turns
     got = {(r.row_id, r.field): (r.value, r.provenance) for r in filled_cells(spark.createDataFrame(data, SCHEMA)).collect()}
     assert got == {(900, "smart_9"): ("1290.0", "group:drive,7d"), (900, "smart_187"): ("1.0", "fd:drive,date"), (910, "serial_number"): ("S2", "group:bay")}
+
+
+def test_cut_timelines_fill_the_same(spark):
+    import random
+
+    rnd = random.Random(3)
+    data = [(i, "hot" if rnd.random() > 0.05 else None, "b", day(i // 3), None if rnd.random() < 0.3 else 900.0 + 8 * i, None if rnd.random() < 0.3 else float(i // 200), 40.0) for i in range(900) if rnd.random() > 0.2]
+    df = spark.createDataFrame(data, SCHEMA)
+    run = lambda most: sorted(map(tuple, fill_cells(df, max_rows=most).collect()), key=str)
+    assert run(10**6) == run(60)
+
+
+def test_each_candidate_is_judged(spark):
+    from tagloom.operators.filling import _bay_days, fill_dependencies, mine_codes, with_serial, HOURS_RANGE, ERRORS_RANGE
+
+    data = [(2 * i + k, "S", "b", day(i), 1000.0 + 24 * i, float(i % 2) if i > 15 else 1.0, 40.0) for i in range(30) for k in (0, 1)]
+    df = spark.createDataFrame(data, SCHEMA)
+    codes = mine_codes(df, {"smart_9": HOURS_RANGE, "smart_187": ERRORS_RANGE})
+    clean = with_serial(df, codes.serials)
+    r = {(x.determinant, x.dependent): x for x in fill_dependencies(_bay_days(clean), clean, codes).collect()}
+    assert r["bay,interval", "serial"].holds and r["drive,date", "smart_9"].holds and r["drive,date", "smart_187"].holds
+    assert ("drive,interval", "smart_9") not in r and not r["drive,interval", "smart_187"].holds and r["drive,interval", "smart_187"].violating_groups == 13
+
+
+def test_codes_are_a_share(spark):
+    from tagloom.operators.filling import mine_codes
+
+    data = [(i, f"S{i}", f"b{i}", day(0), -7.0 if i < 5 else 1.0, 0.0, 40.0) for i in range(3000)]
+    assert mine_codes(spark.createDataFrame(data, SCHEMA), {"smart_9": (0.0, 300_000.0)}).numbers["smart_9"] == ()  # five of 3,000 drives
+    assert mine_codes(spark.createDataFrame(data[:900], SCHEMA), {"smart_9": (0.0, 300_000.0)}).numbers["smart_9"] == (-7.0,)
