@@ -418,11 +418,11 @@ def group_statuses(g: Group, rules: dict[str, Rule]) -> list[np.ndarray]:
     return out
 
 
-def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[str, Rule], sizing: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[str, Rule], sizing: DataFrame, max_rows: int = 200_000, counts: DataFrame | None = None) -> DataFrame:
     """(row_key, field, value, status) of the records that aren't ordinary.
 
     rows: row_key BIGINT, source STRING, ts TIMESTAMP and a DOUBLE per field; ``sizing`` has the same sources and
-    times before any costly step. Rows without source or time are only held against the possible range. Timelines of
+    times before any costly step, ``counts`` the rows of each source, if at hand. Rows without source or time are only held against the possible range. Timelines of
     more than ``max_rows`` rows are cut. Other columns are dropped.
     """
     fields = list(rules)
@@ -441,7 +441,7 @@ def statuses(rows: DataFrame, row_key: str, source: str, ts: str, rules: dict[st
             return None
         return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(names, pa.string()), pa.array(np.concatenate(vals)), pa.array(np.concatenate(stats), pa.string())], names=schema.names)
 
-    return by_source(rows, row_key, source, ts, rules, cuts(sizing, source, ts, max_rows, SEGMENT_S), work, schema)
+    return by_source(rows, row_key, source, ts, rules, cuts(sizing, source, ts, max_rows, SEGMENT_S, counts=counts), work, schema)
 
 
 def reading_anomalies(readings: DataFrame, names: NameRule, max_rows: int = 200_000) -> DataFrame:

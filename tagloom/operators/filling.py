@@ -30,6 +30,7 @@ NUMBER_FILLERS = (-1.0, 0.0, -9.0, -99.0, -999.0, -9999.0, 255.0, 999.0, 9999.0,
 # A value that recurs in places that have nothing to do with each other is a code: in this share of them, and in so many.
 CODE_SHARE = 0.002
 NUMBER_PLACES, TEXT_PLACES = 3, 8
+_FIELDS = ("smart_9", "smart_187")
 
 
 def text_or_null(c: Column) -> Column:
@@ -40,10 +41,11 @@ def text_or_null(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class Codes:
-    """Codes mined from a table: serial numbers that are none, and numbers outside their field's range, per field."""
+    """Codes mined from a table: serial numbers that are none, and numbers outside their field's range, per field; ``drives``: (drive, n) as shown."""
 
     serials: tuple[str, ...]
     numbers: dict[str, tuple[float, ...]]
+    drives: DataFrame
 
 
 def mine_codes(train: DataFrame, ranges: dict[str, tuple[float, float]]) -> Codes:
@@ -53,17 +55,19 @@ def mine_codes(train: DataFrame, ranges: dict[str, tuple[float, float]]) -> Code
     sits in one place and seldom moves, and two drives seldom share a reading that no drive can have. The share also
     bounds what is collected.
     """
+    ensure_checkpoint_dir(train.sparkSession)
     drive = text_or_null(F.col("serial_number"))
-    e = lambda kind, text, number, place: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"), number.cast("double").alias("number"), place.alias("place"))
+    e = lambda kind, text, number, place: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"), number.cast("double").alias("number"), place.cast("string").alias("place"))
     none = F.lit(None)
-    each = [F.when(drive.isNotNull() & F.col("bay").isNotNull(), e("serial", drive, none, F.col("bay")))]
+    each = [F.when(drive.isNotNull(), e("serial", drive, none, F.col("bay"))), F.when(drive.isNotNull() & F.col("bay").isNotNull(), e("bay", F.col("bay"), none, none))]
     each += [F.when(drive.isNotNull() & ~F.isnan(f) & ((F.col(f) < lo) | (F.col(f) > hi)), e(f, none, F.col(f), drive)) for f, (lo, hi) in ranges.items()]
-    seen = train.select(F.inline(F.array_compact(F.array(*each)))).groupBy("kind", "text", "number", "place").agg(F.lit(1).alias("_"))
-    places = seen.where("kind = 'serial'").agg(F.countDistinct("place").alias("bays"), F.countDistinct("text").alias("drives"))
-    hits = seen.groupBy("kind", "text", "number").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("kind") == "serial", TEXT_PLACES).otherwise(NUMBER_PLACES))
-    least = F.when(F.col("kind") == "serial", F.col("bays")).otherwise(F.col("drives")) * CODE_SHARE
-    found = hits.crossJoin(F.broadcast(places)).where(F.col("n") >= least).select("kind", "text", "number").collect()  # places is one row
-    return Codes(tuple(sorted(r["text"] for r in found if r["kind"] == "serial")), {f: tuple(sorted(r["number"] for r in found if r["kind"] == f)) for f in ranges})
+    per_place = train.select(F.inline(F.array_compact(F.array(*each)))).groupBy("kind", "text", "number", "place").agg(F.count("*").alias("n"))
+    seen = per_place.groupBy("kind", "text", "number").agg(F.sum("n").alias("n"), F.count("place").alias("places")).checkpoint()  # one row per drive, bay and odd number; read three times
+    bays, drives = seen.agg(F.count_if(F.col("kind") == "bay"), F.count_if(F.col("kind") == "serial")).first()
+    is_serial = F.col("kind") == "serial"
+    least = F.when(is_serial, max(TEXT_PLACES, bays * CODE_SHARE)).otherwise(max(NUMBER_PLACES, drives * CODE_SHARE))
+    found = seen.where((F.col("kind") != "bay") & (F.col("places") >= least)).select("kind", "text", "number").collect()
+    return Codes(tuple(sorted(r["text"] for r in found if r["kind"] == "serial")), {f: tuple(sorted(r["number"] for r in found if r["kind"] == f)) for f in ranges}, seen.where(is_serial).select(F.col("text").alias("drive"), "n"))
 
 
 HOLDS = 0.99  # share of the groups with one value from which on a dependency holds
@@ -90,12 +94,16 @@ def mine_dependencies(rows: DataFrame, candidates: list[tuple[tuple[str, ...], s
     return out
 
 
+def _before_and_after(key: str) -> list:
+    """Windows of a key's earlier dates in order, and of its later dates in reverse: the last of either is the nearest, and both only grow."""
+    return [Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("date"), F.desc("date"))]
+
+
 def _bay_days(clean: DataFrame) -> DataFrame:
     """(bay, date, open, lo, hi, serial_by_bay) where the nearest earlier and later dates that show a serial number show the same one."""
     days = clean.where(F.col("bay").isNotNull() & F.col("date").isNotNull()).groupBy("bay", "date").agg(F.min("serial").alias("lo"), F.max("serial").alias("hi"), F.count("serial").alias("n"), F.count_if(F.col("serial").isNull()).alias("open"))
     shown = F.when(F.col("lo").isNotNull(), F.struct("lo", "hi"))
-    w = Window.partitionBy("bay").orderBy("date")
-    near = days.select("*", F.last(shown, True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("a"), F.first(shown, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("b"))
+    near = days.select("*", *[F.last(shown, True).over(w).alias(c) for c, w in zip("ab", _before_and_after("bay"))])
     one = (F.col("a.lo") == F.col("a.hi")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.lo") == F.col("b.hi"))
     return near.where(one).select("bay", "date", "n", "open", "lo", "hi", F.col("a.lo").alias("serial_by_bay"))
 
@@ -156,7 +164,7 @@ def train_anomalies(train: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Anomalies of smart_194 and smart_9 in daily rows (see anomaly.statuses), with filled serial numbers; fillers aren't anomalies."""
     codes = mine_codes(train, {"smart_9": HOURS_RANGE})
     rows = with_drive(train.select("row_id", "serial_number", "bay", "date", "smart_194", "smart_9"), codes.serials).select("row_id", "drive", F.col("date").cast("timestamp").alias("ts"), F.col("smart_194").cast("double").alias("smart_194"), F.col("smart_9").cast("double").alias("smart_9"))
-    return statuses(rows, "row_id", "drive", "ts", {"smart_194": RULES["smart_194"], "smart_9": hours_rule(codes.numbers["smart_9"])}, shown_serials(train), max_rows=max_rows)
+    return statuses(rows, "row_id", "drive", "ts", {"smart_194": RULES["smart_194"], "smart_9": hours_rule(codes.numbers["smart_9"])}, shown_serials(train), max_rows=max_rows, counts=codes.drives)
 
 
 def errors_value(mined: tuple[float, ...]) -> Column:
@@ -180,12 +188,14 @@ def fill_dependencies(bay_days: DataFrame, clean: DataFrame, codes: Codes, days:
     one value, each at most ``days`` off, show it too? A candidate without any group has nothing to hold by.
     """
     per_day = _days_of(clean, codes)
-    w = Window.partitionBy("serial").orderBy("date")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    near, cells = per_day, []
-    for f in ("smart_9", "smart_187"):
+    before, after = _before_and_after("serial")
+    plain = []
+    for f in _FIELDS:
         shown = F.when(F.col(f"n_{f}") > 0, F.struct(F.col("date").alias("at"), F.col(f"lo_{f}").alias("lo"), F.col(f"hi_{f}").alias("hi")))
-        near = near.withColumn(f"a_{f}", F.last(shown, True).over(before)).withColumn(f"b_{f}", F.first(shown, True).over(after))
+        plain += [(f"a_{f}", F.last(shown, True).over(before)), (f"b_{f}", F.last(shown, True).over(after))]
+    near = per_day.select("*", *[c.alias(n) for n, c in plain])
+    cells = []
+    for f in _FIELDS:
         n, lo, hi, a, b = (F.col(f"{c}_{f}") for c in ("n", "lo", "hi", "a", "b"))
         one = (a["lo"] == a["hi"]) & (b["lo"] == b["hi"]) & (a["lo"] == b["lo"]) & (F.datediff("date", a["at"]) <= days) & (F.datediff(b["at"], "date") <= days)
         cells.append(F.when(n >= 2, F.struct(F.lit("drive,date").alias("determinant"), F.lit(f).alias("dependent"), n.alias("n"), (lo != hi).alias("bad"))))
@@ -237,9 +247,6 @@ def _whole(x: float) -> float:
     return float(np.copysign(np.floor(abs(x) + 0.5), x))
 
 
-_FIELDS = ("smart_9", "smart_187")
-
-
 def fill_cells(train: DataFrame, days: int = 7, max_rows: int = 200_000) -> DataFrame:
     """All rows: row_id, date, and per field the value after filling, ``_filled`` and ``_provenance``.
 
@@ -279,7 +286,7 @@ def fill_cells(train: DataFrame, days: int = 7, max_rows: int = 200_000) -> Data
         return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks == 1 else c for c in out], names=schema.names)
 
     reach = days * 86400 + CONTEXT_S
-    done = by_source(timed, "row_id", "drive", "ts", rules, cuts(shown_serials(train), "drive", "ts", max_rows, max(SEGMENT_S, 2 * reach)), work, schema, carry, reach)
+    done = by_source(timed, "row_id", "drive", "ts", rules, cuts(shown_serials(train), "drive", "ts", max_rows, max(SEGMENT_S, 2 * reach), counts=codes.drives), work, schema, carry, reach)
     by_bay = ("bay,interval", "serial") in held
     cols = [F.col("row_id"), F.col("date"), F.col("drive").alias("serial_number"), F.col("serial_by_bay").isNotNull().alias("serial_number_filled"), F.when(F.col("serial").isNotNull(), "shown").when(F.col("serial_holds") & F.lit(by_bay), "fd:bay,interval").when(F.col("serial_by_bay").isNotNull(), "group:bay").alias("serial_number_provenance")]
     for f in _FIELDS:

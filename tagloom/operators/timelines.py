@@ -19,14 +19,14 @@ class Cuts:
     few: bool
 
 
-def cuts(sizing: DataFrame, key: str, ts: str, max_rows: int, width_s: int, many: int = MANY) -> Cuts | None:
+def cuts(sizing: DataFrame, key: str, ts: str, max_rows: int, width_s: int, many: int = MANY, counts: DataFrame | None = None) -> Cuts | None:
     """The keys with more than ``max_rows`` rows and how they are cut, None where there are none.
 
     Counts are taken first, from the key column alone; ends of time only of the keys that are hot. A hot key's span
     is cut into equal segments of about ``max_rows`` rows, but of no less than ``width_s`` seconds. Up to ``many``
-    keys the table is a local one, beyond them it stays distributed.
+    keys the table is a local one, beyond them it stays distributed. ``counts``: (key, n), if they are at hand.
     """
-    n = sizing.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max_rows)
+    n = (sizing.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts).where(F.col("n") > max_rows)
     found = [r[0] for r in n.select(key).limit(many + 1).collect()]
     if not found:
         return None
