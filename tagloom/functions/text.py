@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,42 +35,40 @@ def literal_of(pattern: str) -> str | None:
 
 
 def required_literals(pattern: str, least: int = 3) -> list[str]:
-    """Literal runs that every match contains, from the top level of a pattern without alternatives."""
-    if "|" in pattern or "(?" in pattern:
+    """Literal runs that every match contains, read off the pattern's parse tree.
+
+    Only of patterns that mean the same to this parser and to the one that runs them: none with inline flags or
+    look-around, escapes by number, ``\\v``, classes within classes, or anything the parser refuses.
+    """
+    if "(?" in pattern.replace("(?:", "") or re.search(r"\\[0-9vQE]|&&|\[[^\]]*\[", pattern):
+        return []
+    try:
+        tree = _parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
         return []
-    runs, run, depth, i = [], [], 0, 0
+    runs: list[str] = []
+    run: list[str] = []
 
-    def close(drop_last: bool = False) -> None:
-        if drop_last and run:
-            run.pop()
+    def close() -> None:
         if len(run) >= least:
             runs.append("".join(run))
         run.clear()
 
-    while i < len(pattern):
-        c = pattern[i]
-        step, lit = 1, None
-        if c == "\\":
-            nxt = pattern[i + 1 : i + 2]
-            step, lit = 2, (nxt if nxt and not nxt.isalnum() else None)
-        elif c == "[":
-            end = pattern.find("]", i + 2)
-            step = (end - i + 1) if end > 0 else len(pattern) - i
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c not in ".^$*+?{}":
-            lit = c
-        if c in "*?{":
-            close(drop_last=True)
-            if c == "{":
-                step = pattern.find("}", i) - i + 1 or 1
-        elif c == "+":
-            close()
-        elif lit is not None and depth == 0:
-            run.append(lit)
-        else:
-            close()
-        i += max(step, 1)
+    def walk(nodes) -> None:
+        for op, arg in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                run.append(chr(arg))
+            elif name == "SUBPATTERN":
+                walk(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
+                walk(arg[2])  # the first time round it follows what stands before it
+                if arg[:2] != (1, 1):
+                    close()
+            elif name != "AT":  # anchors take no room
+                close()
+
+    walk(tree)
     close()
     return runs
 
@@ -159,6 +158,15 @@ def duration_s(c: Column) -> Column:
     return F.when(c.rlike(r"^[0-9]+(\.[0-9]+)?$"), c.try_cast("double")).when(c.rlike(rf"^(?:{part})+$"), total)
 
 
+def seconds_of(text: str) -> float:
+    """duration_s of one text."""
+    if re.fullmatch(r"[0-9]+(\.[0-9]+)?", text):
+        return float(text)
+    if not re.fullmatch(r"(?:[0-9]+(?:\.[0-9]+)?[dhms])+", text):
+        raise ValueError(f"no duration: {text!r}")
+    return sum(float(n) * {"d": 86400, "h": 3600, "m": 60, "s": 1}[u] for n, u in re.findall(r"([0-9]+(?:\.[0-9]+)?)([dhms])", text))
+
+
 def expand_hosts(text: str) -> list[str]:
     """``a[00-02,10]-x;b`` -> a00-x a01-x a02-x a10-x b; numbers keep their width where both ends have the same."""
     out: list[str] = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ancestors
 from .catalog import DIR_MARK
 
 
@@ -44,8 +45,11 @@ def xattr_remove(attrs: Column, name: str) -> Column:
 
 
 def stat(blobs: DataFrame) -> DataFrame:
-    """Per path: whether it is a directory (the marker or children), its size and latest time."""
-    return blobs.groupBy(F.col("tag_name").alias("path")).agg(F.max(F.col("blob_name") == DIR_MARK).alias("is_dir"), F.sum("size").alias("size"), F.max("last_modified").alias("last_modified"))
+    """Per absolute path, also of directories that only their children name: whether it is a directory (the marker or children), its own size and latest time."""
+    path = F.concat(F.when(~F.col("tag_name").startswith("/"), F.lit("/")).otherwise(F.lit("")), "tag_name")
+    each = blobs.where("tag_name is not null").select(path.alias("_own"), F.explode(ancestors(path)).alias("path"), "blob_name", "size", "last_modified")
+    mine = F.col("_own") == F.col("path")
+    return each.groupBy("path").agg(F.max(F.coalesce(~mine | (F.col("blob_name") == DIR_MARK), F.lit(False))).alias("is_dir"), F.coalesce(F.sum(F.when(mine, F.col("size"))), F.lit(0)).alias("size"), F.max(F.when(mine, F.col("last_modified"))).alias("last_modified"))
 
 
 def merge_replicas(parts: DataFrame, key: str) -> DataFrame:
@@ -70,5 +74,6 @@ def one_hot(c: Column, names: list[str], prefix: str) -> list[Column]:
 
 def slice_array(rows: DataFrame, key: str, array: str, start: int, stop: int, step: int = 1) -> DataFrame:
     """(key, index, value) of a range of each array; out of range leaves nothing."""
-    e = rows.select(key, F.posexplode(array).alias("index", "value"))
-    return e.where((F.col("index") >= start) & (F.col("index") < stop) & ((F.col("index") - start) % step == 0))
+    last = F.least(F.size(array), F.lit(stop)) - 1
+    at = F.when((F.size(array) > 0) & (last >= start), F.sequence(F.lit(start), last, F.lit(step)))
+    return rows.select(key, F.explode(F.transform(at, lambda i: F.struct(i.alias("index"), F.get(array, i).alias("value")))).alias("e")).select(key, "e.*")

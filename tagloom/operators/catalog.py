@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, parent_path
+from .ranges import numbered
 
 PAGE = 1 << 20
 DIR_MARK = ".__dir__"
 
 
 def blobs_of(documents: DataFrame) -> DataFrame:
-    """tag_name, blob_name, doc_id, payload, size in bytes, last_modified; texts that are null have size 0."""
-    return documents.select("tag_name", "blob_name", "doc_id", F.col("text").alias("payload"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), "last_modified")
+    """tag_name, blob_name, doc_id, payload (bytes), size in bytes, last_modified; texts that are null have size 0."""
+    return documents.select("tag_name", "blob_name", "doc_id", F.col("text").cast("binary").alias("payload"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), "last_modified")
 
 
 def tags_of(blobs: DataFrame) -> DataFrame:
@@ -39,7 +40,28 @@ def put_status(name: Column, data: Column, score: Column) -> Column:
     return F.when(F.coalesce(F.length(name), F.lit(0)) == 0, 4).when(data.isNull(), 3).when(F.length(data) == 0, 2).when(score > 1, 5).otherwise(0)
 
 
+def put_blobs(blobs: DataFrame, puts: DataFrame) -> DataFrame:
+    """The catalog after (tag_name, blob_name, data, offset, score, replace), at most one put of a blob.
+
+    Puts that put_status refuses change nothing. A score below 0 (or none) keeps the blob's, or is 1 for a new one;
+    every put counts as an access. Catalogs without score or accesses get them.
+    """
+    old = blobs
+    for c, v in (("score", F.lit(1.0)), ("access_count", F.lit(0).cast("bigint"))):
+        if c not in old.columns:
+            old = old.withColumn(c, v)
+    rc = put_status(F.col("blob_name"), F.col("data"), F.coalesce("score", F.lit(-1.0)))
+    good = puts.where((rc == 0) & F.col("tag_name").isNotNull()).select("tag_name", "blob_name", "data", F.coalesce("offset", F.lit(0)).alias("_off"), F.col("score").alias("_score"), F.coalesce("replace", F.lit(False)).alias("_rep"))
+    j = old.join(good, ["tag_name", "blob_name"], "full")
+    hit = F.col("data").isNotNull()
+    new = F.when(F.col("_rep"), put_blob(F.col("payload"), F.col("data"), F.col("_off"), True)).otherwise(put_blob(F.col("payload"), F.col("data"), F.col("_off")))
+    j = j.withColumn("payload", F.when(hit, new).otherwise(F.col("payload"))).withColumn("size", F.when(hit, F.length("payload").cast("bigint")).otherwise(F.col("size")))
+    j = j.withColumn("score", F.when(hit & (F.col("_score") >= 0), F.col("_score")).otherwise(F.coalesce("score", F.lit(1.0)))).withColumn("access_count", F.coalesce("access_count", F.lit(0)) + hit.cast("bigint"))
+    return j.withColumn("last_modified", F.when(hit, F.current_timestamp()).otherwise(F.col("last_modified"))).select(*old.columns)
+
+
 def get_blob(payload: Column, offset: Column, size: Column) -> Column:
+    """``size`` bytes from ``offset`` on; less at the end."""
     return F.substring(payload, offset + 1, size)
 
 
@@ -65,6 +87,17 @@ def rename_subtree(rows: DataFrame, path: str, old: str, new: str) -> DataFrame:
     return rows.withColumn(path, F.when(p == old, F.lit(new)).when(p.startswith(old + "/"), F.concat(F.lit(new), F.substring(p, len(old) + 1, 1 << 30))).otherwise(p))
 
 
+def insert_paths(paths: DataFrame, new: DataFrame, path: str = "path") -> DataFrame:
+    """The paths with ``new`` ones and the directories above them, each once."""
+    return paths.select(path).unionByName(new.select(F.explode(ancestors(F.col(path))).alias(path))).distinct()
+
+
+def prune_empty(rows: DataFrame, path: str, leaf: Column) -> DataFrame:
+    """Without the directories that no leaf lies below (or is): what remains when a deletion empties their ancestors."""
+    held = rows.where(leaf).select(F.explode(ancestors(F.col(path))).alias(path)).distinct()
+    return rows.join(held, path, "left_semi")
+
+
 def delete_subtree(rows: DataFrame, path: str, root: str) -> DataFrame:
     p = F.col(path)
     return rows.where(~((p == root) | p.startswith(root + "/")))
@@ -86,9 +119,13 @@ def page_spans(rows: DataFrame, offset: str, size: str, page: int = PAGE) -> Dat
 
 
 def append_layout(entries: DataFrame, tag: str, order: list[str], size: str) -> DataFrame:
-    """Deferred appends in their order, with the sequence number and the offset each gets at the file's tail."""
-    w = Window.partitionBy(tag).orderBy(*order)
-    return entries.withColumn("seq", F.row_number().over(w)).withColumn("offset", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Deferred appends in their order, with the sequence number and the offset each gets at the file's tail.
+
+    The entries are sorted by range over all tasks, so a hot file is many parts; each part sums on its own, and the
+    few files that go on from one part to the next get the totals of the parts before (a row for each such part).
+    """
+    rows, _ = numbered(entries, tag, order, size)
+    return rows.select(*entries.columns, F.col("_n").cast("int").alias("seq"), F.col("_off").alias("offset"))
 
 
 def file_bytes(pages: DataFrame, file: str, page: str, payload: str, size: int, page_size: int = PAGE) -> DataFrame:

@@ -10,17 +10,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weibull (shape, scale in days) where too few failures are known.
+from .ranges import in_parts, numbered
+
+# Weibull (shape, scale in days) where too few failures are known.
 DEFAULT_WEIBULL = {"hdd": (2.1, 1730.0), "ssd": (1.8, 2400.0)}
 
 
 def lag_difference(rows: DataFrame, key: str, order: list[str], fields: list[str], lag: int = 7) -> DataFrame:
-    """Difference of each field against ``lag`` rows earlier in the key's order; rows without one are left out."""
-    w = Window.partitionBy(key).orderBy(*order)
-    out = rows
-    for f in fields:
-        out = out.withColumn(f"{f}_d{lag}", F.col(f) - F.lag(f, lag).over(w))
-    return out.withColumn("_i", F.row_number().over(w)).where(F.col("_i") > lag).drop("_i")
+    """Difference of each field against ``lag`` rows earlier in the key's order; rows without one are left out.
+
+    The rows are sorted by range over all tasks. Where a key goes on from one part to the next, the next one gets
+    copies of the ``lag`` rows before it, so no task needs a key's whole timeline.
+    """
+    own, carried = numbered(rows, key, order)
+    own = own.withColumn("_core", F.lit(True))
+    at = F.broadcast(carried.select("_key", "_p", "_n0"))  # at most a row per part
+    copies = own.join(at, F.col("_key").eqNullSafe(F.col(key)) & F.col("_n").between(F.col("_n0") - lag + 1, F.col("_n0"))).withColumn("_part", F.col("_p")).withColumn("_core", F.lit(False))
+    both = own.unionByName(copies.select(*own.columns))
+    w = Window.partitionBy("_part", key).orderBy("_n")
+    out = both.select("*", *[(F.col(f) - F.lag(f, lag).over(w)).alias(f"{f}_d{lag}") for f in fields])
+    return out.where(F.col("_core") & (F.col("_n") > lag)).select(*rows.columns, *[f"{f}_d{lag}" for f in fields])
 
 
 def failure_label(day: Column, failed: Column, days: int = 30) -> Column:
@@ -84,29 +93,43 @@ def online_cost(tasks: DataFrame, key: str, order: list[str], compute: str, real
     """Per key, the cost coefficient and the running error after its tasks in order.
 
     Prediction a * (compute + 1); then a -= rate * (prediction - real) / (compute + 1). The error is a moving
-    average of the absolute share, updated where real > 0. Keys are streamed from sorted partitions, row by row.
+    average of the absolute share, updated where real > 0. Both steps are linear in what they update, so the tasks
+    are cut into parts by range: each part gives its step of a as one linear map, the maps of a key are chained over
+    its parts (a row per part), and with the a that a part starts from it gives its step of the error likewise.
     """
     kind = tasks.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, a, err, n, out = None, 1.0, 0.0, 0, []
+    def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(part, key, n, scale and shift of a; with a start: a, scale and shift of the error) of each stretch of one key."""
+        cur, n, a, out = None, 0, (1.0, 0.0, 0.0, 1.0, 0.0), []
         for df in frames:
-            for k, c, r in zip(df[key], df[compute], df[real]):
-                if k != cur:
+            for p, k, c, r, s in zip(df["_part"], df[key], df[compute], df[real], df["_start"]):
+                if (p, k) != cur:
                     if n:
-                        out.append((cur, a, err, n))
-                    cur, a, err, n = k, 1.0, 0.0, 0
-                p = a * (c + 1)
+                        out.append((*cur, n, *a))
+                    cur, n, a = (p, k), 0, (1.0, 0.0, s, 1.0, 0.0)
+                scale, shift, at, e_scale, e_shift = a
                 if r > 0:
-                    err += rate * (abs(p - r) / r - err)
-                a -= rate * (p - r) / (c + 1)
+                    e_scale, e_shift = (1 - rate) * e_scale, e_shift + rate * (abs(at * (c + 1) - r) / r - e_shift)
+                x = r / (c + 1)
+                a = ((1 - rate) * scale, shift - rate * (shift - x), at - rate * (at - x), e_scale, e_shift)
                 n += 1
         if n:
-            out.append((cur, a, err, n))
-        yield pd.DataFrame(out, columns=[key, "coefficient", "error", "n"])
-
-    src = tasks.where(F.col(key).isNotNull() & F.col(compute).isNotNull() & F.col(real).isNotNull())
-    return src.select(key, *order, compute, real).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{key} {kind}, coefficient double, error double, n bigint")
+            out.append((*cur, n, *a))
+        yield pd.DataFrame(out, columns=names)
+
+    names = ["_part", key, "n", "scale", "shift", "a", "e_scale", "e_shift"]
+    schema = f"_part int, {key} {kind}, n bigint, scale double, shift double, a double, e_scale double, e_shift double"
+    src = tasks.where(F.col(key).isNotNull() & F.col(compute).isNotNull() & F.col(real).isNotNull()).select(key, *order, compute, real)
+    parts = in_parts(src, key, order)
+    sort = lambda df: df.sortWithinPartitions("_part", key, *order).select("_part", key, compute, real, "_start").mapInPandas(steps, schema)
+    first = sort(parts.withColumn("_start", F.lit(1.0)))
+    w = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    maps = first.select("_part", key, F.collect_list(F.struct("scale", "shift")).over(w).alias("m")).where(F.size("m") > 0)
+    starts = maps.select(F.col("_part").alias("_p"), F.col(key).alias("_key"), F.aggregate("m", F.lit(1.0), lambda a, x: x["scale"] * a + x["shift"]).alias("_start"))
+    with_start = parts.join(F.broadcast(starts), (F.col("_p") == F.col("_part")) & (F.col("_key") == F.col(key)), "left").withColumn("_start", F.coalesce("_start", F.lit(1.0)))  # at most a row per part
+    done = sort(with_start).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_part", "n", "a", "e_scale", "e_shift"))).alias("m"))
+    return done.select(key, F.element_at("m", -1)["a"].alias("coefficient"), F.aggregate("m", F.lit(0.0), lambda e, x: x["e_scale"] * e + x["e_shift"]).alias("error"), F.aggregate("m", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("n"))
 
 
 def levenberg_marquardt(f, x0: np.ndarray, steps: int = 200, damping: float = 1e-3, tol: float = 1e-8) -> tuple[np.ndarray, float]:

@@ -34,7 +34,7 @@ def label_blobs(blobs: DataFrame, rules: list[tuple[str, str]], context: int = 2
         for df in frames:
             out = []
             for tag, name, text, prompt in zip(df["tag_name"], df["blob_name"], df["payload"], df["prompt"]):
-                raw, n, labels = text.encode(), chunk_bytes(context, prompt), []
+                raw, n, labels = bytes(text), chunk_bytes(context, prompt), []
                 for i in range(0, len(raw), n):
                     try:
                         labels.append(label_fn(prompt, raw[i : i + n].decode("utf-8", "ignore")))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
+
+# The sizes, half-life, weights and bounds below.
 BIG = 32768  # from so many bytes on, bandwidth decides, below latency
 
 
@@ -86,7 +89,7 @@ def allocate(ordered: DataFrame, size: int, slab: int = 4096, small: int = 65536
 def flush_candidates(blocks: DataFrame, targets: DataFrame, level: int) -> DataFrame:
     """Blobs with at least one block on a target below the persistence level, with their bytes and such blocks."""
     low = F.col("persistence") < level
-    j = blocks.join(targets.select("target", "persistence"), "target", "left")
+    j = blocks.join(small(targets.select("target", "persistence")), "target", "left")
     per = j.groupBy("tag_name", "blob_name").agg(F.sum("bytes").alias("bytes"), F.count_if(low).alias("volatile_blocks"))
     return per.where("volatile_blocks > 0 and bytes > 0")
 
@@ -94,14 +97,21 @@ def flush_candidates(blocks: DataFrame, targets: DataFrame, level: int) -> DataF
 def io_time(blocks: DataFrame, targets: DataFrame, bw: str, lat: str, default_bw: float, default_lat: float) -> DataFrame:
     """Nanoseconds of each blob: over its targets the longest of latency plus bytes by bandwidth.
 
-    Unknown targets, and figures of 0, count as the defaults (MB/s, microseconds).
+    Unknown targets, and figures of 0, count as the defaults (MB/s, microseconds). The blocks are exchanged once, by
+    blob, which serves the sums per target as well.
     """
-    j = blocks.join(targets.select("target", F.nullif(F.col(bw), F.lit(0.0)).alias("_bw"), F.nullif(F.col(lat), F.lit(0.0)).alias("_lat")), "target", "left")
-    per = j.groupBy("tag_name", "blob_name", "target").agg(F.sum("bytes").alias("bytes"), F.coalesce(F.max("_bw"), F.lit(default_bw)).alias("bw"), F.coalesce(F.max("_lat"), F.lit(default_lat)).alias("lat"))
+    j = blocks.join(small(targets.select("target", F.nullif(F.col(bw), F.lit(0.0)).alias("_bw"), F.nullif(F.col(lat), F.lit(0.0)).alias("_lat"))), "target", "left")
+    per = j.repartition("tag_name", "blob_name").groupBy("tag_name", "blob_name", "target").agg(F.sum("bytes").alias("bytes"), F.coalesce(F.max("_bw"), F.lit(default_bw)).alias("bw"), F.coalesce(F.max("_lat"), F.lit(default_lat)).alias("lat"))
     ns = F.col("lat") * 1e3 + F.col("bytes") / (F.col("bw") * 1048576) * 1e9
     return per.groupBy("tag_name", "blob_name").agg(F.max(ns).alias("ns"))
 
 
+def drain_candidates(blocks: DataFrame, targets: DataFrame) -> DataFrame:
+    """Blobs with a block on a target that is to be drained."""
+    bad = targets.where(to_drain(F.col("ttl_days"), F.col("persistence"))).select("target")
+    return blocks.join(small(bad), "target", "left_semi").select("tag_name", "blob_name").distinct()
+
+
 def consumers(reads: DataFrame, tag: str, node: str, order: str, cap: int) -> DataFrame:
     """Distinct readers of each tag in the order they first came, the first ``cap``; ``last`` marks the last of them."""
     first = reads.groupBy(tag, node).agg(F.min(order).alias("first_seen"))

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import regex_predicate
-from ..session import spread
+from ..functions.text import regex_predicate, seconds_of
+from ..session import ensure_checkpoint_dir, spread
 
 K1, B = 1.5, 0.75
 
@@ -31,31 +31,30 @@ def blob_query(blobs: DataFrame, tag_pattern: str, blob_pattern: str, max_blobs:
     return (out.limit(max_blobs) if max_blobs else out).select("tag_name", "blob_name", total)
 
 
-def _count_of(text: Column, term: str) -> Column:
-    """Occurrences of a lower-case ASCII term as a whole token; ``(?i)`` folds ASCII letters only."""
-    return F.regexp_count(text, F.lit(f"(?i)(?<![A-Za-z0-9]){term}(?![A-Za-z0-9])"))
-
-
-def bm25(blobs: DataFrame, query: str, k: int = 10) -> DataFrame:
+def bm25(blobs: DataFrame, query: str, k: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """(tag_name, blob_name, score) of the best k (0: all) of the given blobs; those without a query word score 0.
 
-    Statistics are over the given blobs of more than no bytes. One pass counts, per blob, its length and the query
-    words' frequencies as columns, so nothing is exploded; the corpus totals are one row.
+    Statistics are over the given blobs of more than no bytes. The payloads are read once: one pass takes, per blob,
+    its length and all query words at once, and keeps these numbers (with the columns ``keep``) for the totals and
+    the scores.
     """
     terms = sorted({t.lower() for t in re.findall("[A-Za-z0-9]{2,}", query)})
-    base = spread(blobs.where("size > 0").select("tag_name", "blob_name", "payload"))
-    tf = [_count_of(F.col("payload"), t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = base.select("tag_name", "blob_name", F.regexp_count("payload", F.lit("[A-Za-z0-9]{2,}")).alias("dl"), *tf)
-    stats = [F.count("*").cast("double").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))]]
-    scored = counted.withColumn("_s", counted.agg(F.struct(*stats)).scalar())
-    avg = F.when(F.col("_s.avgdl") > 0, F.col("_s.avgdl")).otherwise(1.0)
+    ensure_checkpoint_dir(blobs.sparkSession)
+    base = spread(blobs.where("size > 0").select("tag_name", "blob_name", *keep, F.col("payload").cast("string").alias("_t")))
+    hits = F.regexp_extract_all("_t", F.lit(f"(?i)(?<![A-Za-z0-9])(?:{'|'.join(terms)})(?![A-Za-z0-9])"), F.lit(0)) if terms else F.array().cast("array<string>")  # folds ASCII letters only
+    found = base.select("tag_name", "blob_name", *keep, F.regexp_count("_t", F.lit("[A-Za-z0-9]{2,}")).alias("dl"), hits.alias("_h"))
+    is_term = lambda t: lambda x: F.lower(x) == t
+    tf = [F.size(F.filter("_h", is_term(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = found.select("tag_name", "blob_name", *keep, "dl", *tf).checkpoint()
+    stats = counted.agg(F.count("*").cast("double"), F.coalesce(F.avg("dl"), F.lit(1.0)), *[F.count_if(F.col(f"tf{i}") > 0).cast("double") for i in range(len(terms))]).first()
+    n, avg = stats[0], stats[1] if stats[1] > 0 else 1.0
     score = F.lit(0.0)
     for i in range(len(terms)):
-        df = F.col(f"_s.df{i}")
-        idf = F.log((F.col("_s.n") - df + 0.5) / (df + 0.5) + 1.0)
+        df = F.lit(stats[2 + i])
+        idf = F.log((F.lit(n) - df + 0.5) / (df + 0.5) + 1.0)
         f = F.col(f"tf{i}").cast("double")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / avg))
-    out = scored.select("tag_name", "blob_name", score.alias("score")).orderBy(F.desc("score"), "blob_name", "tag_name")
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(avg)))
+    out = counted.select("tag_name", "blob_name", *keep, score.alias("score")).orderBy(F.desc("score"), "blob_name", "tag_name")
     return out.limit(k) if k else out
 
 
@@ -76,6 +75,11 @@ def temporal(blobs: DataFrame, begin: int = 0, end: int = 0, max_rows: int = 0)
     return hit.limit(max_rows) if max_rows else hit
 
 
+def temporal_since(blobs: DataFrame, since: str, now_ns: int, max_rows: int = 0) -> DataFrame:
+    """temporal over the last ``since`` (such as 3d or 1h30m) before ``now_ns``."""
+    return temporal(blobs, begin=now_ns - int(seconds_of(since) * 1_000_000_000), max_rows=max_rows)
+
+
 def packed(ranked: DataFrame, rank: str, size: str, budget: int) -> DataFrame:
     """Rows in order of rank as long as they fit the budget together; the first that doesn't ends the packing.
 
@@ -121,12 +125,31 @@ def context_query(blobs: DataFrame, tag_pattern: str, blob_pattern: str, max_res
 def context_retrieve(blobs: DataFrame, tag_pattern: str, blob_pattern: str, prompt: str, budget: int = 256 << 20, max_results: int = 1024) -> DataFrame:
     """(rank, tag_name, blob_name, size) of the answers that fit the budget; payloads are joined by the caller."""
     hit = blobs.where(regex_predicate(F.col("tag_name"), tag_pattern) & regex_predicate(F.col("blob_name"), blob_pattern))
-    best = bm25(hit, prompt, max_results)
+    best = bm25(hit, prompt, max_results, ("size",))
     w = Window.orderBy(F.desc("score"), "blob_name", "tag_name")  # at most max_results rows
-    ranked = best.withColumn("rank", F.row_number().over(w)).join(hit.select("tag_name", "blob_name", "size"), ["tag_name", "blob_name"])
+    ranked = best.withColumn("rank", F.row_number().over(w))
     return packed(ranked.select("rank", "tag_name", "blob_name", "size"), "rank", "size", budget)
 
 
+def index_insert(index: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """The postings with those of ``names``; names that are there stay as they are."""
+    new = names.select(key).distinct().join(index.select(key).distinct(), key, "left_anti")
+    return index.unionByName(trigram_index(new, key).select(*index.columns))
+
+
+def index_delete(index: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    return index.join(names.select(key), key, "left_anti").select(*index.columns)
+
+
+def index_rename(index: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """One name for another, in its place if it is there already; without the old one nothing changes."""
+    if old == new or index.where(F.col(key) == old).isEmpty():
+        return index
+    rest = index.where(~F.col(key).isin(old, new))
+    one = trigram_index(index.sparkSession.createDataFrame([(new,)], f"`{key}` string"), key)
+    return rest.unionByName(one.select(*index.columns))
+
+
 def trigram_index(rows: DataFrame, key: str) -> DataFrame:
     """(trigram, key) postings for substring and regex candidates."""
     n = F.length(key)

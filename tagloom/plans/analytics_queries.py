@@ -118,8 +118,7 @@ def flush_candidates(spark, sf):
 
 @query(f"with {_T}, {_B} select distinct tag_name, blob_name from bl where target in (select name from t where ttl_days < 1 or (ttl_days <= 7 and persistence >= 2))")
 def drain_candidates(spark, sf):
-    bad = _targets(spark).where(P.to_drain(F.col("ttl_days"), F.col("persistence"))).select(F.col("name").alias("target"))
-    return _blocks(spark, sf).join(bad, "target", "left_semi").select("tag_name", "blob_name").distinct()
+    return P.drain_candidates(_blocks(spark, sf), _targets(spark).withColumnRenamed("name", "target"))
 
 
 @query(f"with {_T}, {_B}, p as (select tag_name, blob_name, target, sum(bytes) as bytes, coalesce(max(write_bw), 80) as bw, coalesce(max(write_lat), 1200) as lat from bl left join t on t.name = bl.target group by 1, 2, 3) select tag_name, blob_name, round(max(lat * 1e3 + bytes / (bw * 1048576) * 1e9), 3) as ns from p group by 1, 2")
@@ -155,10 +154,10 @@ def array_psnr(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(A.mse(a, q), 8).alias("mse"), F.round(A.psnr(a, q), 5).alias("psnr"))
 
 
-@query()
+@query(_EMB + ", r as (select vec_id, a, list_transform(a, lambda x: round(x, 1)) as b, len(a) as n from e), m as (select *, list_sum(a) / n as ma, list_sum(b) / n as mb, list_max(a) - list_min(a) as span from r), v as (select *, list_sum(list_transform(a, lambda x: pow(x - ma, 2))) / n as va, list_sum(list_transform(b, lambda x: pow(x - mb, 2))) / n as vb, list_sum(list_transform(range(1, n + 1), lambda i: (a[i] - ma) * (b[i] - mb))) / n as cov, pow(1e-2 * span, 2) as c1, pow(3e-2 * span, 2) as c2 from m) select vec_id, round((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2)), 6) as ssim, round(list_max(list_transform(range(1, n + 1), lambda i: abs(a[i] - b[i]))), 8) as max_error from v")
 def array_ssim(spark, sf):
     a = A.doubles(F.col("embedding"))
-    return table(spark, sf, "embeddings").select("vec_id", F.round(A.ssim(a, F.transform(a, lambda x: F.round(x, 1))), 6).alias("ssim"))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(A.ssim(a, F.transform(a, lambda x: F.round(x, 1))), 6).alias("ssim"), F.round(A.max_error(a, F.transform(a, lambda x: F.round(x, 1))), 8).alias("max_error"))
 
 
 @query(_EMB + ", x as (select vec_id, unnest(list_transform(a, lambda x: sign(x))) as s, unnest(range(1, len(a) + 1)) as i from e), g as (select vec_id, s, i - row_number() over (partition by vec_id, s order by i) as g from x), r as (select vec_id, count(*) as n from g group by vec_id, s, g) select vec_id, cast(max(n) as int) as run from r group by 1")
@@ -216,6 +215,22 @@ def qtable_predict(spark, sf):
     return p.select("l_orderkey", "l_linenumber", F.round("tax", 8).alias("tax"), "known")
 
 
+_LOST = "with s as (select cast(floor(l_quantity / 5) as bigint) as qb, l_linenumber as ln, avg(l_tax) as tax, count(*) as n from lineitem where l_discount < 0.05 and floor(l_quantity / 5) % 2 = 0 group by 1, 2), g as (select sum(tax * n) / sum(n) as tax from s), q as (select distinct cast(floor(l_quantity / 5) as bigint) as qb, l_linenumber as ln from lineitem where l_discount >= 0.05), d as (select q.qb, q.ln, s.tax, row_number() over (partition by q.qb, q.ln order by sqrt(pow(q.qb - s.qb, 2) + pow(q.ln - s.ln, 2)), s.qb, s.ln) as place from q cross join s), m as (select qb, ln, avg(tax) as tax from d where place <= 5 group by 1, 2)"
+
+
+@query(_LOST + " select l_orderkey, l_linenumber, round(coalesce(s.tax, m.tax, g.tax), 8) as tax, s.tax is not null as known from lineitem l left join s on s.qb = cast(floor(l.l_quantity / 5) as bigint) and s.ln = l.l_linenumber left join m on m.qb = cast(floor(l.l_quantity / 5) as bigint) and m.ln = l.l_linenumber cross join g where l.l_discount >= 0.05")
+def qtable_neighbours(spark, sf):
+    t = table(spark, sf, "lineitem").withColumn("qb", F.floor(F.col("l_quantity") / 5)).withColumn("ln", F.col("l_linenumber"))
+    states = Z.train_states(t.where("l_discount < 0.05D and qb % 2 = 0").withColumnRenamed("l_tax", "tax"), ["qb", "ln"], ["tax"])
+    p = Z.predict_states(t.where("l_discount >= 0.05D").select("l_orderkey", "l_linenumber", "qb", "ln"), states.select("qb", "ln", "tax", "n"), ["qb", "ln"], ["tax"], 5)
+    return p.select("l_orderkey", "l_linenumber", F.round("tax", 8).alias("tax"), "known")
+
+
+@query("select * from (values " + ", ".join(f"('{n}', {w}, {b}, {str(s).lower()})" for n, w, b, s in Z.REGISTRY) + ") v(name, wire_id, base_id, single_mode)")
+def codec_registry(spark, sf):
+    return Z.registry(spark).drop("available")
+
+
 _KNN_S = "st as (select cast(p_size as bigint) * 1000 + cast(floor(p_retailprice / 100) as bigint) as sid, p_size as a, cast(floor(p_retailprice / 100) as int) as b from part group by 1, 2, 3)"
 
 
@@ -283,10 +298,10 @@ def history_stats(spark, sf):
     return table(spark, sf, "drive_readings").where("drive_id is not null").groupBy("drive_id").agg(n.alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.when(n >= 7, "rolling").otherwise("static").alias("model"))
 
 
-@query()
+@query("with recursive e as (select event_type as k, cast(user_id % 50 as double) as c, value as r, row_number() over (partition by event_type order by event_id) as i from events where event_type is not null and value is not null), t as (select k, 0 as i, cast(1 as double) as a, cast(0 as double) as err from (select distinct k from e) union all select t.k, t.i + 1, a - 2e-1 * (a * (c + 1) - r) / (c + 1), case when r > 0 then err + 2e-1 * (abs(a * (c + 1) - r) / r - err) else err end from t join e on e.k = t.k and e.i = t.i + 1) select k, round(arg_max(a, i), 8) as coefficient, round(arg_max(err, i), 8) as error, cast(max(i) as bigint) as n from t group by 1")
 def online_cost(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("k"), "event_id", (F.col("user_id") % 50).cast("double").alias("c"), F.col("value").alias("r"))
-    return E.online_cost(e, "k", ["event_id"], "c", "r")
+    return E.online_cost(e, "k", ["event_id"], "c", "r").select("k", F.round("coefficient", 8).alias("coefficient"), F.round("error", 8).alias("error"), "n")
 
 
 @query("select event_type, user_id % 4 as node, count(*) as tasks, round(sum(value), 4) as load from events group by 1, 2")

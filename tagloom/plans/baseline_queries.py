@@ -86,11 +86,11 @@ def stream_promotions(spark, sf):
     return telemetry.run_to_table(telemetry.promotions(s, "user_id")).select("user_id")
 
 
-@query("select doc_id, 'chunk_' || i as blob_name, length(t[i * 256 + 1 : i * 256 + 256]) as n from (select doc_id, t, unnest(range(0, cast(ceil(length(t) / 256.0) as bigint))) as i from (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as t from documents where text is not null) where length(t) > 0) union all select doc_id, 'description', length('binary<size=' || length(t) || ', offset=0>') from (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as t from documents where text is not null) where length(t) > 0")
+@query("with t as (select doc_id, hex(encode(text)) as h, strlen(text) as n from documents where strlen(text) > 0) select doc_id, 'chunk_' || i as blob_name, h[i * 512 + 1 : i * 512 + 512] as bytes from (select doc_id, h, unnest(range(0, cast(ceil(n / 256.0) as bigint))) as i from t) union all select doc_id, 'description', hex(encode('binary<size=' || n || ', offset=0>')) from t")
 def binary_chunks(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("tag"), F.regexp_replace("text", "[^ -~]", "").cast("binary").alias("content"))
+    d = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("tag"), F.col("text").cast("binary").alias("content"))
     c = ingest.chunks(d.withColumn("length", F.length("content")), "tag", "content", "length", 256)
-    return c.select(F.col("tag_name").cast("bigint").alias("doc_id"), "blob_name", F.length("payload").cast("bigint").alias("n"))
+    return c.select(F.col("tag_name").cast("bigint").alias("doc_id"), "blob_name", F.hex("payload").alias("bytes"))
 
 
 @query()

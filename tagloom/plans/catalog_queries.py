@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..api import Catalog
 from ..functions import text as X
 from ..operators import catalog as C
 from ..operators import search as S
+from ..operators.files import FileTree
 from ..session import table
 
 QUERIES: dict = {}
@@ -43,6 +45,13 @@ def tag_query_literal(spark, sf):
     return S.tag_query(_blobs(spark, sf).select("tag_name").distinct(), "^ops_journal$")
 
 
+@query("with t as (select distinct tag_name from documents where regexp_full_match(tag_name, '[o]ps_(j|k)ournal|x') or regexp_full_match(tag_name, '\\x6fps_j[\\]xo]+urnal') or regexp_full_match(tag_name, '(?:drive_notes/)[^]x/]+-0[0-9]{2}')) select tag_name from t")
+def tag_query_escapes(spark, sf):
+    t = _blobs(spark, sf).select("tag_name").distinct()
+    p = [X.regex_predicate(F.col("tag_name"), x) for x in ("[o]ps_(j|k)ournal|x", r"\x6fps_j[\]xo]+urnal", r"(?:drive_notes/)[^]x/]+-0[0-9]{2}")]
+    return t.where(p[0] | p[1] | p[2])
+
+
 @query("select distinct tag_name from documents where tag_name is not null order by 1")
 def tag_names(spark, sf):
     return _blobs(spark, sf).where("tag_name is not null").select("tag_name").distinct().orderBy("tag_name")
@@ -105,7 +114,10 @@ def retrieve_budget(spark, sf):
     return S.context_retrieve(_blobs(spark, sf), ".*", ".*", "aligned rack", 20_000)
 
 
-@query()
+@query("""with recursive r as (select row_number() over (order by last_modified, tag_name, blob_name) as rank, tag_name, blob_name, cast(strlen(text) as bigint) as size from documents where strlen(text) > 0 and last_modified is not null order by last_modified, tag_name, blob_name limit 1024),
+t as (select 1 as i, case when size <= 60000 then size else 0 end as used, case when size > 60000 then 0 else -1 end as closed, size <= 60000 as kept from r where rank = 1
+  union all select i + 1, used + case when closed <> i // 32 and used + size <= 60000 then size else 0 end, case when closed <> i // 32 and used + size > 60000 then i // 32 else closed end, closed <> i // 32 and used + size <= 60000 from t join r on r.rank = t.i + 1)
+select cast(r.rank as int) as rank, tag_name, blob_name, size from r join t on t.i = r.rank where kept""")
 def retrieve_by_batch(spark, sf):
     hit = _blobs(spark, sf).where("size > 0 and last_modified is not null")
     ranked = hit.orderBy("last_modified", "tag_name", "blob_name").limit(1024).withColumn("rank", F.row_number().over(Window.orderBy("last_modified", "tag_name", "blob_name")))
@@ -122,22 +134,21 @@ def contained_blobs(spark, sf):
     return _blobs(spark, sf).where("tag_name = 'ops_journal'").select("blob_name")
 
 
-@query("select blob_name, substr(text, 11, 40) as part from documents where tag_name = 'ops_journal' and text is not null")
+@query("select blob_name, substr(hex(encode(text)), 21, 80) as part from documents where tag_name = 'ops_journal' and text is not null")
 def get_blob_range(spark, sf):
-    return _blobs(spark, sf).where("tag_name = 'ops_journal' and payload is not null").select("blob_name", C.get_blob(F.col("payload"), F.lit(10), F.lit(40)).alias("part"))
+    return _blobs(spark, sf).where("tag_name = 'ops_journal' and payload is not null").select("blob_name", F.hex(C.get_blob(F.col("payload"), F.lit(10), F.lit(40))).alias("part"))
 
 
-@query("select doc_id, hex(case when length(t) >= 8 then t[1:8] else t || repeat(chr(0), 8 - length(t)) end || 'PATCH' || t[14:]) as patched, case when length(t) = 0 then 2 else 0 end as rc from (select doc_id, coalesce(regexp_replace(text, '[^ -~]', '', 'g'), '') as t from documents)")
+@query("select doc_id, case when n >= 8 then h[1:16] else h || repeat('00', 8 - n) end || '5041544348' || h[27:] as patched, case when n = 0 then 2 else 0 end as rc from (select doc_id, h, length(h) // 2 as n from (select doc_id, coalesce(hex(encode(text)), '') as h from documents))")
 def put_blob_overlay(spark, sf):
-    ascii_ = F.coalesce(F.regexp_replace("payload", "[^ -~]", ""), F.lit("")).cast("binary")
-    b = _blobs(spark, sf).select("doc_id", ascii_.alias("t"))
+    b = _blobs(spark, sf).select("doc_id", F.coalesce("payload", F.lit(b"")).alias("t"))
     return b.select("doc_id", F.hex(C.put_blob(F.col("t"), F.lit(b"PATCH"), F.lit(8))).alias("patched"), C.put_status(F.lit("n"), F.col("t"), F.lit(0.5)).alias("rc"))
 
 
-@query("select doc_id, hex(case when length(t) >= 300 then t[1:300] else t || repeat(chr(0), 300 - length(t)) end) as cut from (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as t from documents where text is not null)")
+@query("select doc_id, case when length(h) >= 600 then h[1:600] else h || repeat('00', 300 - length(h) // 2) end as cut from (select doc_id, hex(encode(text)) as h from documents where text is not null)")
 def truncate_blob(spark, sf):
-    b = _blobs(spark, sf).where("payload is not null").select("doc_id", F.regexp_replace("payload", "[^ -~]", "").cast("binary").alias("t"))
-    return b.select("doc_id", F.hex(C.truncate_blob(F.col("t"), F.lit(300))).alias("cut"))
+    b = _blobs(spark, sf).where("payload is not null").select("doc_id", "payload")
+    return b.select("doc_id", F.hex(C.truncate_blob(F.col("payload"), F.lit(300))).alias("cut"))
 
 
 @query("""with p as (select distinct '/' || tag_name || '/' || blob_name as path from documents where tag_name is not null and blob_name is not null),
@@ -201,12 +212,12 @@ def glob_filter(spark, sf):
 @query("select doc_id, case when regexp_matches(text, 'ERROR|WARN') then 'log' when regexp_matches(text, 'bdev_type:') then 'config' when regexp_matches(text, 'return out') then 'code' end as label from documents where text is not null")
 def label_rules_first_match(spark, sf):
     rules = [("ERROR|WARN", "log"), ("(unclosed", "never"), ("bdev_type:", "config"), ("return out", "code")]
-    return _blobs(spark, sf).where("payload is not null").select("doc_id", X.first_rule(F.col("payload"), rules).alias("label"))
+    return _blobs(spark, sf).where("payload is not null").select("doc_id", X.first_rule(F.col("payload").cast("string"), rules).alias("label"))
 
 
 @query("select doc_id, len(list_transform(regexp_extract_all(text, '[A-Za-z0-9]{2,}'), lambda x: lower(x))) as n_tokens, list_transform(regexp_extract_all(text, '[A-Za-z0-9]{2,}'), lambda x: lower(x))[1] as first_token from documents where text is not null")
 def token_counts(spark, sf):
-    t = X.tokens(F.col("payload"))
+    t = X.tokens(F.col("payload").cast("string"))
     return _blobs(spark, sf).where("payload is not null").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.try_element_at(t, F.lit(1)).alias("first_token"))
 
 
@@ -250,3 +261,81 @@ def expand_hosts(spark, sf):
 @query("select distinct tag_name, regexp_replace(tag_name, '([.\\[\\](){}+*?\\\\^$|])', '\\\\\\1', 'g') as escaped, (cast(doc_id as bigint) << 32) | 7 as packed from documents")
 def escaped_and_packed(spark, sf):
     return table(spark, sf, "documents").select("tag_name", X.regex_escape(F.col("tag_name")).alias("escaped"), X.packed_id(F.col("doc_id"), F.lit(7)).alias("packed")).distinct()
+
+
+def _tree(spark, sf):
+    """Every document as a file in pages of 64 bytes."""
+    b = _blobs(spark, sf).where("tag_name is not null and blob_name is not null")
+    return FileTree.of_blobs(b, F.concat(F.lit("/"), "tag_name", F.lit("/"), "blob_name"), F.col("doc_id"), 64)
+
+
+_FILES = "with f as (select doc_id, '/' || tag_name || '/' || blob_name as path, coalesce(hex(encode(text)), '') as h from documents where tag_name is not null and blob_name is not null)"
+
+
+@query(_FILES + ", w as (select *, doc_id % 300 as o, repeat('57', cast(doc_id % 100 + 1 as int)) as d from f where doc_id % 3 = 0), a as (select path, case when length(h) >= o * 2 then h[1:o * 2] else h || repeat('00', cast(o - length(h) // 2 as int)) end || d || h[o * 2 + length(d) + 1:] as h from w), b as (select path, h[1:20] || '2121' || h[25:] as h from a where length(h) >= 24 union all select path, rpad(h, 20, '0') || '2121' from a where length(h) < 24) select path, case when b.path is null then f.h else b.h end as content from f left join b using (path)")
+def file_write(spark, sf):
+    t = _tree(spark, sf)
+    docs = _blobs(spark, sf).where("doc_id % 3 = 0 and tag_name is not null and blob_name is not null").select(F.concat(F.lit("/"), "tag_name", F.lit("/"), "blob_name").alias("path"), "doc_id")
+    first = docs.select("path", F.lit(1).alias("seq"), (F.col("doc_id") % 300).alias("offset"), F.repeat(F.lit("W"), (F.col("doc_id") % 100 + 1).cast("int")).cast("binary").alias("data"), F.lit(1).cast("bigint").alias("mtime_us"))
+    then = docs.select("path", F.lit(2).alias("seq"), F.lit(10).cast("bigint").alias("offset"), F.lit(b"!!").alias("data"), F.lit(2).cast("bigint").alias("mtime_us"))
+    return t.write(first.unionByName(then)).read().select("path", F.hex("payload").alias("content"))
+
+
+@query(_FILES + " select path, case when doc_id % 2 = 0 then rpad(h[1:300], 300, '0') else h end as content from f")
+def file_truncate(spark, sf):
+    t = _tree(spark, sf)
+    sizes = t.nodes.where("kind = 'file' and ino % 2 = 0").select("path", F.lit(150).alias("size"))
+    return t.truncate(sizes).read().select("path", F.hex("payload").alias("content"))
+
+
+@query(_FILES + " select path, substr(h, 141, 200) as content from f")
+def file_read_range(spark, sf):
+    return _tree(spark, sf).read(70, 100).select("path", F.hex("payload").alias("content"))
+
+
+@query("""with p as (select distinct '/' || tag_name || '/' || blob_name as path from documents where tag_name is not null and blob_name is not null), a as (select min(path) as path from p where not starts_with(path, '/drive_notes/')),
+n as (select case when starts_with(path, '/drive_notes/') then '/kept/old/notes' || path[13:] else path end as path, 'file' as kind from p union all select '/kept/alias', 'file' union all select '/kept/pointer', 'link'),
+e as (select distinct case when i = 0 then '/' else '/' || array_to_string(list_slice(parts, 1, i), '/') end as path from (select parts, unnest(range(0, len(parts))) as i from (select string_split(path[2:], '/') as parts from n)))
+select path, kind from n union all select path, 'dir' from e""")
+def link_rename(spark, sf):
+    t = _tree(spark, sf)
+    first = t.nodes.where("kind = 'file' and not startswith(path, '/drive_notes/')").agg(F.min("path")).first()[0]
+    moved = t.rename("/drive_notes", "/kept/old/notes").link(first, "/kept/alias").symlink(first, "/kept/pointer")
+    return moved.nodes.select("path", "kind")
+
+
+@query("select tag_name, blob_name, case when doc_id % 3 <> 0 then h when doc_id % 2 = 0 then case when length(h) >= o * 2 then h[1:o * 2] else h || repeat('00', cast(o - length(h) // 2 as int)) end || '505554' else case when length(h) >= o * 2 then h[1:o * 2] else h || repeat('00', cast(o - length(h) // 2 as int)) end || '505554' || h[o * 2 + 7:] end as content, case when doc_id % 3 = 0 and doc_id % 5 <> 0 then 0.25::double else 1.0 end as score, cast(case when doc_id % 3 = 0 then 1 else 0 end as bigint) as access_count from (select *, coalesce(hex(encode(text)), '') as h, doc_id % 50 as o from documents where tag_name is not null and blob_name is not null) union all select 'fresh', 'blob', '0000505554', 1.0, 1")
+def put_at_offset(spark, sf):
+    b = _blobs(spark, sf).where("tag_name is not null and blob_name is not null")
+    puts = b.where("doc_id % 3 = 0").select("tag_name", "blob_name", F.lit(b"PUT").alias("data"), (F.col("doc_id") % 50).cast("int").alias("offset"), F.when(F.col("doc_id") % 5 == 0, -1.0).otherwise(0.25).alias("score"), (F.col("doc_id") % 2 == 0).alias("replace"))
+    new = spark.createDataFrame([("fresh", "blob", bytearray(b"PUT"), 2, -1.0, False), ("fresh", "refused", bytearray(b"PUT"), 0, 1.5, False), ("fresh", "", bytearray(b"PUT"), 0, 0.5, False)], puts.schema)
+    return C.put_blobs(b, puts.unionByName(new)).select("tag_name", "blob_name", F.hex(F.coalesce("payload", F.lit(b""))).alias("content"), "score", "access_count")
+
+
+@query("select tag_name, blob_name, epoch_us(last_modified) * 1000 as last_modified_ns from documents where epoch_us(last_modified) * 1000 >= 1717200000000000000 - 129600000000000 order by 3, 1, 2 limit 400")
+def search_since(spark, sf):
+    return S.temporal_since(_blobs(spark, sf), "1d12h", 1717200000000000000, 400)
+
+
+@query("""select '{"tag_name":"' || tag_name || '","blob_name":"' || blob_name || '","size":' || coalesce(strlen(text), 0) || '}' as answer from documents where tag_name = 'ops_journal'""")
+def tool_list_blobs(spark, sf):
+    return Catalog(_blobs(spark, sf)).tag("ops_journal").rows.select(F.to_json(F.struct("tag_name", "blob_name", "size")).alias("answer"))
+
+
+@query("with n as (select distinct case when tag_name = 'ops_journal' then 'ops_diary' else tag_name end as name from documents where tag_name is not null and not starts_with(tag_name, 'bench_logs') union select 'fresh_tag'), g as (select distinct name, name[i:i + 2] as trigram from (select name, unnest(range(1, length(name) - 1)) as i from n)) select name, trigram from g")
+def index_changes(spark, sf):
+    tags = _blobs(spark, sf).where("tag_name is not null").select(F.col("tag_name").alias("name")).distinct()
+    i = S.trigram_index(tags, "name")
+    i = S.index_delete(i, "name", tags.where(F.col("name").startswith("bench_logs")))
+    i = S.index_insert(i, "name", spark.createDataFrame([("fresh_tag",), ("ops_journal",)], "name string"))
+    return S.index_rename(i, "name", "ops_journal", "ops_diary").select("name", "trigram")
+
+
+@query("""with p as (select distinct '/' || tag_name || '/' || blob_name as path from documents where tag_name is not null and blob_name is not null and not starts_with(tag_name, 'drive_notes/')),
+e as (select distinct case when i = 0 then '/' else '/' || array_to_string(list_slice(parts, 1, i), '/') end as path from (select parts, unnest(range(0, len(parts) + 1)) as i from (select string_split(path[2:], '/') as parts from p)))
+select path from e""")
+def delete_and_prune(spark, sf):
+    paths = _blobs(spark, sf).where("tag_name is not null and blob_name is not null").select(F.concat(F.lit("/"), "tag_name", F.lit("/"), "blob_name").alias("path"))
+    nodes = C.materialized_paths(paths, "path").select("path").join(paths.distinct().withColumn("leaf", F.lit(True)), "path", "left")
+    left = nodes.where(~(F.col("path").startswith("/drive_notes/") & F.col("leaf")) | F.col("leaf").isNull())
+    return C.prune_empty(left, "path", F.coalesce("leaf", F.lit(False))).select("path")

@@ -33,9 +33,11 @@ def _blobs(spark, sf):
     return C.blobs_of(table(spark, sf, "documents"))
 
 
-@query("select tag_name as path, false as is_dir, cast(sum(coalesce(strlen(text), 0)) as bigint) as size, epoch_us(max(last_modified)) as last_us from documents group by 1")
+@query("""with p as (select '/' || tag_name as own, coalesce(strlen(text), 0) as size, last_modified from documents where tag_name is not null),
+e as (select own, case when i = 0 then '/' else '/' || array_to_string(list_slice(parts, 1, i), '/') end as path, size, last_modified from (select own, size, last_modified, parts, unnest(range(0, len(parts) + 1)) as i from (select *, string_split(own[2:], '/') as parts from p)))
+select path, bool_or(own <> path) as is_dir, cast(coalesce(sum(size) filter (own = path), 0) as bigint) as size, epoch_us(max(last_modified) filter (own = path)) as last_us from e group by 1""")
 def stat_paths(spark, sf):
-    return T.stat(_blobs(spark, sf)).select("path", F.coalesce("is_dir", F.lit(False)).alias("is_dir"), "size", F.unix_micros("last_modified").alias("last_us"))
+    return T.stat(_blobs(spark, sf)).select("path", "is_dir", "size", F.unix_micros("last_modified").alias("last_us"))
 
 
 @query("select tag_name, count(*) filter (doc_id % 10 = 0) as n_aliases from documents where tag_name is not null group by 1")
@@ -66,10 +68,9 @@ def array_slice(spark, sf):
     return T.slice_array(table(spark, sf, "embeddings"), "vec_id", "embedding", 2, 10, 3)
 
 
-@query("select b, count(*) as n from (select ascii(unnest(string_split(regexp_replace(text, '[^ -~]', '', 'g'), ''))) as b from documents where text is not null) where b > 0 group by 1")
+@query("with h as (select hex(encode(text)) as h from documents where text is not null), c as (select lower(unnest(regexp_extract_all(h, '..'))) as x from h), n as (select x, count(*) as n from c group by 1) select cast(i as int) as byte, cast(coalesce(n, 0) as bigint) as n from range(256) r(i) left join n on x = lower(lpad(to_hex(i), 2, '0'))")
 def byte_histogram(spark, sf):
-    t = table(spark, sf, "documents").where("text is not null").select(F.explode(F.split(F.regexp_replace("text", "[^ -~]", ""), "")).alias("c"))
-    return t.where("c <> ''").groupBy(F.ascii("c").alias("b")).agg(F.count("*").alias("n"))
+    return A.byte_histogram(_blobs(spark, sf), "payload")
 
 
 @query("select l_orderkey, l_linenumber from lineitem where l_discount <= 0 or l_discount * 1000 >= 50")
@@ -89,16 +90,18 @@ def compression_ratio(spark, sf):
     return table(spark, sf, "events").where("value is not null").select("event_id", Z.ratio(F.col("value"), F.lit(0.0)).alias("ratio_none"), F.round(Z.ratio(F.col("user_id"), v), 6).alias("ratio"))
 
 
-@query("select doc_id, text from documents where text is not null")
+@query("select doc_id, text, 16 + (strlen(text) // 16 + 1) * 16 as cipher_bytes, false as shows from documents where text is not null")
 def encrypted_round_trip(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null")
-    return d.select("doc_id", keys.decrypt(keys.encrypt(F.col("text").cast("binary"), "secret"), "secret").cast("string").alias("text"))
+    d = table(spark, sf, "documents").where("text is not null").withColumn("c", keys.encrypt(F.col("text").cast("binary"), "secret"))
+    shows = (F.length("text") > 0) & F.contains(F.hex("c"), F.hex(F.col("text").cast("binary")))
+    return d.select("doc_id", keys.decrypt(F.col("c"), "secret").cast("string").alias("text"), F.length("c").alias("cipher_bytes"), shows.alias("shows"))
 
 
-@query("select doc_id, text from documents where text is not null")
+@query("select doc_id, text, strlen(text) > 0 as packs, true as marked from documents where text is not null")
 def codec_round_trip(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null")
-    return d.select("doc_id", Z.decompress(Z.compress(F.col("text").cast("binary"), "zlib"), "zlib").cast("string").alias("text"))
+    """Of the text and of forty copies of it in a row, which any codec packs; the format's mark comes first."""
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text", Z.compress(F.col("text").cast("binary"), "zlib", "best").alias("c"), Z.compress(F.repeat("text", F.lit(40)).cast("binary"), "zlib").alias("many"))
+    return d.select("doc_id", Z.decompress(F.col("c"), "zlib").cast("string").alias("text"), (F.length("many") * 2 < 40 * F.octet_length("text")).alias("packs"), F.hex("c").startswith("78DA").alias("marked"))
 
 
 @query("select blob_name from documents where epoch_us(last_modified) >= (select max(epoch_us(last_modified)) from documents) - 86400000000 * 3")

@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -40,7 +41,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/tagloom-che
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
+    sc.setCheckpointDir(folder or fallback)
+
+
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The table marked for broadcast if it has at most ``rows`` rows, counted up to there; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -141,33 +141,86 @@ def read_string(spark: SparkSession, t: Transfer) -> DataFrame:
     return spark.createDataFrame([(tag, blob, t.data.encode())], BLOB_SCHEMA)
 
 
+STEP = 3 << 19  # bytes of a chunk of a dataset
+
+
 def read_hdf5(spark: SparkSession, path: str, tag: str, include: list[str], exclude: list[str]) -> DataFrame:
-    """Datasets as tags of 1.5 MiB chunks; needs h5py on the executors."""
+    """Datasets as tags of 1.5 MiB chunks; needs h5py on the executors.
+
+    A first pass only lists each file's datasets with their shapes; then every chunk is a row of its own, spread over
+    all tasks, which reads just the slab of rows it lies in.
+    """
     try:
         import h5py  # noqa: F401
     except ImportError as e:
         raise IngestError("h5py isn't installed") from e
 
-    step = 3 << 19
-
-    def run(frames):
+    def find(frames):
         import h5py
         import pandas as pd
 
         for df in frames:
             for p in df["path"]:
-                out = []
+                out: list[tuple] = []
+
+                def visit(name, o, out=out, p=p):
+                    if isinstance(o, h5py.Dataset):
+                        out.append((p, name, f"tensor<{o.dtype.name}, {', '.join(map(str, o.shape))}>", int(o.size) * o.dtype.itemsize))
+
+                with h5py.File(p, "r") as f:
+                    f.visititems(visit)
+                yield pd.DataFrame(out, columns=["path", "dataset", "description", "bytes"])
+
+    def load(frames):
+        import h5py
+        import pandas as pd
+
+        for df in frames:
+            out = []
+            for p, name, i in zip(df["path"], df["dataset"], df["chunk"]):
                 with h5py.File(p, "r") as f:
-                    names: list[str] = []
-                    f.visititems(lambda n, o: names.append(n) if isinstance(o, h5py.Dataset) else None)
-                    for n in names:
-                        raw = f[n][()].tobytes()
-                        out.append((f"{tag}/{n}", n, "description", f"tensor<{f[n].dtype.name}, {', '.join(map(str, f[n].shape))}>".encode()))
-                        out += [(f"{tag}/{n}", n, f"chunk_{i // step}", raw[i : i + step]) for i in range(0, len(raw), step)]
-                yield pd.DataFrame(out, columns=["tag_name", "dataset", "blob_name", "payload"])
+                    d = f[name]
+                    if not d.shape:
+                        raw, at = d[()].tobytes(), i * STEP
+                    else:
+                        row = max(1, int(d.size) // max(d.shape[0], 1) * d.dtype.itemsize)
+                        first = i * STEP // row
+                        raw, at = d[first : -(-(i + 1) * STEP // row)].tobytes(), i * STEP - first * row
+                out.append((f"{tag}/{name}", f"chunk_{i}", raw[at : at + STEP]))
+            yield pd.DataFrame(out, columns=["tag_name", "blob_name", "payload"])
+
+    listed = spark.createDataFrame([(path,)], "path string").mapInPandas(find, "path string, dataset string, description string, bytes bigint").where(glob_filter(F.col("dataset"), include, exclude))
+    about = listed.select(F.concat(F.lit(f"{tag}/"), "dataset").alias("tag_name"), F.lit("description").alias("blob_name"), F.col("description").cast("binary").alias("payload"))
+    parts = listed.where("bytes > 0").select("path", "dataset", F.explode(F.sequence(F.lit(0), F.ceil(F.col("bytes") / STEP) - 1)).alias("chunk")).repartition("path", "dataset", "chunk")
+    return about.unionByName(parts.mapInPandas(load, BLOB_SCHEMA))
+
+
+READERS: dict = {}
 
-    rows = spark.createDataFrame([(path,)], "path string").mapInPandas(run, "tag_name string, dataset string, blob_name string, payload binary")
-    return rows.where(glob_filter(F.col("dataset"), include, exclude)).drop("dataset")
+
+def reader(*kinds: str):
+    """Registers a function (spark, transfer, kind, rest, tag) -> blobs for formats or protocols; later ones win."""
+
+    def add(f):
+        READERS.update(dict.fromkeys(kinds, f))
+        return f
+
+    return add
+
+
+@reader("string")
+def _string_reader(spark, t, kind, rest, tag):
+    return read_string(spark, t)
+
+
+@reader("hdf5")
+def _hdf5_reader(spark, t, kind, rest, tag):
+    return read_hdf5(spark, rest, tag, t.include, t.exclude)
+
+
+@reader("binary", "file", "s3", "s3a", "gs", "gcs")
+def _binary_reader(spark, t, kind, rest, tag):
+    return read_binary(spark, rest if kind == "file" else f"{ {'s3': 's3a', 'gcs': 'gs'}.get(kind, kind) }://{rest}", tag, t.range_off, t.range_size, t.include, t.exclude)
 
 
 def ingest(spark: SparkSession, transfers: list[Transfer]) -> DataFrame:
@@ -179,12 +232,7 @@ def ingest(spark: SparkSession, transfers: list[Transfer]) -> DataFrame:
         try:
             kind, rest = protocol(t.src)
             tag = protocol(t.dst, target=True)[1]
-            if kind == "string":
-                part = read_string(spark, t)
-            elif t.format == "hdf5" or kind == "hdf5":
-                part = read_hdf5(spark, rest, tag, t.include, t.exclude)
-            else:
-                part = read_binary(spark, rest if kind == "file" else f"{ {'s3': 's3a', 'gcs': 'gs'}.get(kind, kind) }://{rest}", tag, t.range_off, t.range_size, t.include, t.exclude)
+            part = (READERS["string"] if kind == "string" else READERS.get(t.format) or READERS[kind])(spark, t, kind, rest, tag)
         except IngestError as e:
             raise IngestError(str(e), e.code, i) from e
         out = out.unionByName(part)
@@ -219,27 +267,37 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def export_records(blobs: DataFrame, path: str) -> int:
-    """Blobs as binary records (name length, name, data length, data), one file per task; returns the bytes of data.
+    """Blobs as binary records (u32 name length, name, u64 data length, data) in ``part-*.rec`` files below ``path``; returns the bytes of data.
 
-    Blobs without bytes are skipped. The files carry a ``.rec`` name below ``path``, which all tasks must reach.
+    Blobs without bytes are skipped. ``path`` is a folder or URI that all tasks reach. A task streams into a file of
+    its attempt and moves it into place when done, so a task that runs twice leaves its file once.
     """
-
-    def run(frames):
-        import pandas as pd
-
-        for df in frames:
-            out = bytearray()
-            n = 0
-            for name, data in zip(df["blob_name"], df["payload"]):
-                raw, label = bytes(data), name.encode()
-                out += struct.pack("<I", len(label)) + label + struct.pack("<Q", len(raw)) + raw
-                n += len(raw)
-            yield pd.DataFrame([(bytes(out).hex(), n)], columns=["record", "n"])
-
-    kept = blobs.where(F.col("blob_name").isNotNull() & (F.length("payload") > 0)).select("blob_name", "payload")
-    made = kept.mapInPandas(run, "record string, n bigint")
-    made.select("record", "n").write.mode("overwrite").parquet(path)
-    return blobs.sparkSession.read.parquet(path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    path = path.rstrip("/")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        where.create_dir(root, recursive=True)
+        me = TaskContext.get()
+        spot, n = f"{root}/.attempt-{me.taskAttemptId()}", 0
+        with where.open_output_stream(spot) as f:
+            for b in batches:
+                for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    label = name.encode()
+                    f.write(struct.pack("<I", len(label)) + label + struct.pack("<Q", len(raw)))
+                    f.write(raw)
+                    n += len(raw)
+        if n:
+            where.move(spot, f"{root}/part-{me.partitionId():05d}.rec")
+        else:
+            where.delete_file(spot)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    kept = blobs.where(F.col("blob_name").isNotNull() & (F.length("payload") > 0)).select("blob_name", F.col("payload").cast("binary").alias("payload"))
+    return kept.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -249,9 +307,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         import pandas as pd
 
         for df in frames:
-            out = []
-            for text in df["record"]:
-                b, i = bytes.fromhex(text), 0
+            for b in df["content"]:
+                out, i = [], 0
                 while i < len(b):
                     (k,) = struct.unpack_from("<I", b, i)
                     name = b[i + 4 : i + 4 + k].decode()
@@ -259,9 +316,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     i += 12 + k
                     out.append((name, b[i : i + n]))
                     i += n
-            yield pd.DataFrame(out, columns=["blob_name", "payload"])
+                yield pd.DataFrame(out, columns=["blob_name", "payload"])
 
-    return spark.read.parquet(path).select("record").mapInPandas(run, "blob_name string, payload binary")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.rec").load(path).select("content").mapInPandas(run, "blob_name string, payload binary")
 
 
 def save_snapshot(tags: DataFrame, blobs: DataFrame, path: str) -> None:

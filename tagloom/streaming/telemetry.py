@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.catalog import append_layout
 
 
 def source(spark: SparkSession, path: str, schema, per_batch: int = 16) -> DataFrame:
@@ -38,28 +39,34 @@ def sessions(stream: DataFrame, ts: str, keys: list[str], gap: str, late: str) -
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
 
 
-def batches_from_first(stream: DataFrame, key: str, ts: str, width_s: int) -> DataFrame:
+def batches_from_first(stream: DataFrame, key: str, ts: str, width_s: int, late: str = "0 seconds") -> DataFrame:
     """Tumbling batches per key that open with the first event after the last batch; one row per closed batch.
 
-    State: start, end and size of the open batch. Within a micro-batch a key's events are taken in order of time.
+    State: start and size of the open batch. Within a micro-batch a key's events are taken in order of time. A batch
+    closes with the key's first event beyond its end, or when the watermark (the latest event of any key less
+    ``late``) passes its end, so the last one comes out too.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, n = state.get if state.exists else (0, 0)
         out = []
-        times = sorted(int(t.timestamp() * 1e6) for f in frames for t in f[ts])
-        for t in times:
-            if n and t >= start + width_s * 1_000_000:
-                out.append((k[0], start, n))
-                n = 0
-            if not n:
-                start = t
-            n += 1
-        state.update((start, n))
+        if state.hasTimedOut:
+            out.append((k[0], start, n))
+            state.remove()
+        else:
+            for t in sorted(int(t.value // 1000) for f in frames for t in f[ts]):
+                if n and t >= start + width_s * 1_000_000:
+                    out.append((k[0], start, n))
+                    n = 0
+                if not n:
+                    start = t
+                n += 1
+            state.update((start, n))
+            state.setTimeoutTimestamp(max(start // 1000 + width_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "start_us", "n"])
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, ts).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start_us bigint, n bigint", "start bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, ts).withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start_us bigint, n bigint", "start bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def barrier(stream: DataFrame, key: str, member: str, size: int) -> DataFrame:
@@ -96,13 +103,28 @@ def promotions(stream: DataFrame, key: str, least: int = 7) -> DataFrame:
     return stream.select(key).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n bigint", "n bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_batches(stream: DataFrame, tag: str, order: list[str], size: str, out: str, checkpoint: str):
-    """Deferred appends, laid out in order within each micro-batch and written once per batch."""
+def appended(stream: DataFrame, tag: str, order: list[str], size: str) -> DataFrame:
+    """Deferred appends with their sequence number and offset; each file goes on where its last micro-batch ended.
+
+    State: the file's tail, as bytes and entries. Within a micro-batch a file's entries are taken in their order.
+    """
+    schema = T.StructType([*stream.schema.fields, T.StructField("seq", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        append_layout(batch, tag, order, size).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        end, seq = state.get if state.exists else (0, 0)
+        df = pd.concat(list(frames)).sort_values(order, kind="stable")
+        sizes = df[size].fillna(0).astype("int64")
+        df["seq"] = range(seq + 1, seq + 1 + len(df))
+        df["offset"] = end + sizes.cumsum() - sizes
+        state.update((end + int(sizes.sum()), seq + len(df)))
+        yield df
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.groupBy(tag).applyInPandasWithState(step, schema, "tail bigint, entries bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def append_batches(stream: DataFrame, tag: str, order: list[str], size: str, out: str, checkpoint: str):
+    """Runs :func:`appended` over what is there now and writes it, each micro-batch once."""
+    return appended(stream, tag, order, size).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def run_to_table(stream: DataFrame, folder: str | None = None, mode: str = "append") -> DataFrame:
@@ -112,7 +134,9 @@ def run_to_table(stream: DataFrame, folder: str | None = None, mode: str = "appe
     """
     spark = stream.sparkSession
     base = folder or spark.conf.get("spark.checkpoint.dir", None)
-    spot = f"{base.rstrip('/')}/stream-{spark._jvm.java.util.UUID.randomUUID()}" if base else tempfile.mkdtemp(prefix="tagloom-")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
+    spot = f"{base.rstrip('/')}/stream-{uuid.uuid4()}" if base else tempfile.mkdtemp(prefix="tagloom-")
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{spot}/out").option("checkpointLocation", f"{spot}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{spot}/out")

@@ -1,10 +1,16 @@
+import bz2
 import fnmatch
+import lzma
+import math
 import random
 import re
 import statistics
+import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tagloom.functions import keys, parity
@@ -200,9 +206,9 @@ def test_codecs_see_whole_payloads(spark):
     df = spark.createDataFrame(data, "id bigint, payload binary")
     rows = Z.schedule(df, "id", "payload").collect()
     raw = {k: bytes(b or b"") for k, b in data}
-    assert len(rows) == 5 * len(Z.CODECS)
+    assert len(rows) == 5 * 3
     for r in rows:
-        packed = len(Z.CODECS[r.codec][0](raw[r.id])) if raw[r.id] else 0
+        packed = len(Z.CODECS[r.codec][0][1](raw[r.id])) if raw[r.id] else 0
         assert (r.bytes, r.packed_bytes, r.keep_original) == (len(raw[r.id]), packed, packed >= len(raw[r.id]))
     best = {r.id: r for r in Z.best_codec(Z.schedule(df, "id", "payload"), "id", "ratio", "place", True).collect()}
     assert best[1].ratio > 5 and not best[1].keep_original and best[3].keep_original
@@ -215,3 +221,115 @@ def test_row_sample_is_seeded_and_capped(spark):
     assert len(one) == 1000 and one == take(df.repartition(7), 1000, 42) and one != take(df, 1000, 43)
     assert abs(sum(one) / 1000 - 2500) < 250 and len(take(df, 6000, 42)) == 5000 and not take(df.limit(0), 10, 42)
     assert E.row_sample(df, "id", 10).columns == ["id", "x"]
+
+
+PIECES = [r"\x6f", "ops", r"\.", "[abc]", r"[\]x]", "[^]a]", "(?:ab|cd)", "(xyz)+", "(de)?", "f{2,3}", "g*", "hij", r"\d", ".", r"[\w-]", "k+l", "^", "$", "(m|n)o", r"\\", "(?:pq){2}r", "[s-u]{1,2}vwx"]
+
+
+@given(st.lists(st.sampled_from(PIECES), min_size=1, max_size=7), st.randoms(use_true_random=False))
+@settings(max_examples=300, deadline=None)
+def test_no_match_lacks_a_required_literal(parts, rnd):
+    """Strings made from a pattern, and those it matches, hold every literal that is demanded."""
+    pattern = "".join(parts)
+    made = {r"\x6f": ["o"], "ops": ["ops"], r"\.": ["."], "[abc]": "abc", r"[\]x]": "]x", "[^]a]": "bz", "(?:ab|cd)": ["ab", "cd"], "(xyz)+": ["xyz", "xyzxyz"], "(de)?": ["", "de"], "f{2,3}": ["ff", "fff"], "g*": ["", "gg"], "hij": ["hij"], r"\d": "07", ".": "q.", r"[\w-]": "w-", "k+l": ["kl", "kkl"], "^": [""], "$": [""], "(m|n)o": ["mo", "no"], r"\\": ["\\"], "(?:pq){2}r": ["pqpqr"], "[s-u]{1,2}vwx": ["svwx", "tuvwx"]}
+    for _ in range(5):
+        s = "".join(rnd.choice(list(made[p])) for p in parts)
+        if re.fullmatch(pattern, s):
+            assert all(r in s for r in X.required_literals(pattern)), (pattern, s)
+
+
+def test_literals_that_must_not_be_demanded():
+    assert X.required_literals(r"\x6fps_journal") == ["ops_journal"] and X.required_literals(r"[\]xyz]+foo") == ["foo"] and X.required_literals("[^]ab]cde") == ["cde"]
+    assert X.required_literals("(?i)abc") == X.required_literals(r"\Qa.c\Ebcd") == X.required_literals("[a[b]]cde") == X.required_literals(r"\vabc") == X.required_literals("abc(") == X.required_literals(r"\101bcd") == []
+
+
+def test_byte_features_by_hand(spark):
+    rng = np.random.default_rng(5)
+    arrays = [rng.normal(size=64), rng.uniform(size=64), rng.exponential(size=40), np.zeros(12), [], None, [1.0, float("nan")] * 8]
+    df = spark.createDataFrame([(i, None if a is None else [float(np.float32(x)) for x in a]) for i, a in enumerate(arrays)], "k int, a array<float>")
+    for r in A.byte_features(df, "k", "a").collect():
+        if arrays[r.k] is None:
+            assert r.entropy is None and r.family is None
+            continue
+        raw = np.asarray(arrays[r.k], dtype="<f4").tobytes()
+        h = [raw.count(bytes([b])) for b in range(256)]
+        want = -sum(x / len(raw) * math.log2(x / len(raw)) for x in h if x)
+        assert abs(r.entropy - want) < 1e-9 and abs(r.zero_ratio - (h[0] / len(raw) if raw else 0)) < 1e-12 and abs(r.freq_variance - np.var(h)) < 1e-9
+        v = np.asarray(arrays[r.k], dtype="<f4").astype(float)
+        assert (r.family, r.confidence) == A.classify(v)
+    x = np.linspace(-4, 4, 101)
+    assert np.abs(A._erf(x) - np.array([math.erf(t) for t in x])).max() < 2e-7
+
+
+@pytest.mark.parametrize("values", [list(range(1000)), [1.0] * 500 + [2.0] * 3 + [9.0], [5.0], [3.0, 1.0, 2.0] * 40, []])
+def test_percentile_edges_are_exact(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    want = sorted({sorted(values)[i * len(values) // 15] for i in range(1, 15)}) if values else []
+    for accuracy in (100_000, 20):  # rough brackets are widened
+        assert [(r.bin, r.edge) for r in Z.percentile_edges(df, "v", 15, accuracy).orderBy("bin").collect()] == list(enumerate(want))
+
+
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    s = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 9, (90, 2)))], "sid int, a int, b int")
+    q = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 9, (30, 2)))], "qid int, a double, b double")
+    run = lambda block: sorted(map(tuple, Z.nearest_states(q, s, "qid", ["a", "b"], "sid", 4, block).collect()))
+    assert run(1000) == run(17) and len(run(17)) == 120
+
+
+def test_ordered_work_on_a_key_of_many_parts(spark):
+    """A key with nearly all rows, cut into parts; against a plain loop."""
+    rnd = np.random.default_rng(4)
+    data = [("hot" if rnd.random() < 0.9 else f"k{i % 5}", i, float(rnd.integers(0, 50)), float(rnd.integers(-2, 40))) for i in range(3000)] + [(None, 1, 1.0, 1.0)]
+    df = spark.createDataFrame(data, "k string, i int, c double, r double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.k, r.i): (r.seq, r.offset) for r in C.append_layout(df, "k", ["i"], "c").collect()}
+        lagged = {(r.k, r.i): r.r_d7 for r in E.lag_difference(df, "k", ["i"], ["r"]).collect()}
+        cost = {r.k: (r.coefficient, r.error, r.n) for r in E.online_cost(df, "k", ["i"], "c", "r").collect()}
+        assert E.lag_difference(df.limit(0), "k", ["i"], ["r"]).count() == 0 and E.online_cost(df.limit(0), "k", ["i"], "c", "r").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = {}
+    for k, i, c, r in data:
+        by.setdefault(k, []).append((i, c, r))
+    for k, rows in by.items():
+        end, a, err = 0.0, 1.0, 0.0
+        for n, (i, c, r) in enumerate(rows):
+            assert got[k, i] == (n + 1, end)
+            end += c
+            if n >= 7:
+                assert lagged[k, i] == r - rows[n - 7][2]
+            p = a * (c + 1)
+            if r > 0:
+                err += 0.2 * (abs(p - r) / r - err)
+            a -= 0.2 * (p - r) / (c + 1)
+        if k is not None:
+            assert cost[k][2] == len(rows) and abs(cost[k][0] - a) < 1e-9 and abs(cost[k][1] - err) < 1e-9
+
+
+def test_targets_are_broadcast_only_if_small(spark):
+    from tagloom.session import small
+
+    t = spark.range(50)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "broadcast" in plan(small(t)) and "broadcast" not in plan(small(t, 49))
+
+
+def test_encrypted_bytes(spark):
+    from tagloom.functions import keys
+
+    df = spark.createDataFrame([(bytearray(b"x" * 40),)] * 2, "p binary")
+    got = [bytes(x) for r in df.select(keys.encrypt(F.col("p"), "s"), keys.encrypt(F.col("p"), "t")).collect() for x in r]
+    assert all(len(x) == 64 and b"xxxx" not in x for x in got) and len(set(got)) == 4  # each row has a start value of its own
+
+
+def test_codecs_by_preset(spark):
+    raw = b"abc" * 500 + bytes(range(256))
+    df = spark.createDataFrame([(bytearray(raw),), (None,)], "p binary")
+    for name, preset, want in (("zlib", "fast", zlib.compress(raw, 1)), ("ZLIB", "best", zlib.compress(raw, 9)), ("bzip2", "balanced", bz2.compress(raw, 6)), ("lzma", "fast", lzma.compress(raw, preset=0))):
+        got = df.select(Z.compress(F.col("p"), name, preset).alias("c")).collect()
+        assert bytes(got[0].c) == want and got[1].c is None
+    assert Z.find_codec("Blosc")[:3] == ("blosc2", 2, 8) and Z.find_codec(wire_id=10)[0] == "zstd" and Z.find_codec(base_id=22)[0] == "cuszp" and Z.find_codec("x") is None
+    with pytest.raises(ValueError):
+        Z.compress(F.col("p"), "snappy")

@@ -102,9 +102,9 @@ def test_batches_open_with_their_first_event(spark, tmp_path):
     import datetime as dt
 
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    s = stream(spark, tmp_path, [[("a", t(0)), ("a", t(9)), ("a", t(11)), ("a", t(25))]], "k string, ts timestamp")
+    s = stream(spark, tmp_path, [[("a", t(0)), ("a", t(9)), ("a", t(11)), ("a", t(25))], [("b", t(100))]], "k string, ts timestamp")
     out = S.run_to_table(S.batches_from_first(s, "k", "ts", 10), str(tmp_path / "o")).orderBy("start_us").collect()
-    assert [(r.n, r.start_us) for r in out] == [(2, 1704067200000000), (1, 1704067211000000)]
+    assert [(r.k, r.n, r.start_us - 1704067200000000) for r in out] == [("a", 2, 0), ("a", 1, 11_000_000), ("a", 1, 25_000_000)]  # b's is still open
 
 
 def test_barrier_and_promotion(spark, tmp_path):
@@ -114,9 +114,10 @@ def test_barrier_and_promotion(spark, tmp_path):
 
 
 def test_ordered_appends(spark, tmp_path):
-    s = stream(spark, tmp_path, [[("f", 2, 10), ("f", 1, 5)]], "f string, at bigint, n bigint")
+    s = stream(spark, tmp_path, [[("f", 2, 5), ("f", 1, 10), ("g", 1, 3)], [("f", 3, 7)], [("g", 2, 1), ("f", 4, 0), ("f", 5, 2)]], "f string, at bigint, n bigint")
     S.append_batches(s, "f", ["at"], "n", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert [(r.at, r.offset) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("at").collect()] == [(1, 0), (2, 5)]
+    got = [(r.f, r.at, r.offset, r.seq) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("f", "at").collect()]
+    assert got == [("f", 1, 0, 1), ("f", 2, 10, 2), ("f", 3, 15, 3), ("f", 4, 22, 4), ("f", 5, 22, 5), ("g", 1, 0, 1), ("g", 2, 3, 2)]
 
 
 def test_sessions(spark, tmp_path):
