@@ -37,11 +37,17 @@ def _spread(y: np.ndarray) -> np.ndarray:
     return np.maximum(out, 1e-6)
 
 
-def smooth_slots(y: np.ndarray, t: np.ndarray, q_ratio: float, step_h: float = SLOT_S / 3600) -> tuple[np.ndarray, np.ndarray]:
+BLOCK = 256  # slots whose states are held at once
+
+
+def smooth_slots(y: np.ndarray, t: np.ndarray, q_ratio: float, step_h: float = SLOT_S / 3600, n: np.ndarray | None = None, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed value and standard deviation at the middle of each slot.
 
     y: slots x drives x fields, NaN where nothing was observed; t: slots x drives, hours of the observation since
-    the slot's start (ignored where none). Two nodes per slot, the observation and the middle, in order of time.
+    the slot's start (ignored where none); n: slots x drives, readings that an observation is the mean of, whose
+    variance is smaller in proportion. Two nodes per slot, the observation and the middle, in order of time. The
+    first pass keeps one state per block of slots; on the way back each block's states are made again from it, so
+    memory doesn't grow with a timeline's length beyond its values, and the result is the same.
     """
     s, d, f = y.shape
     mid = step_h / 2
@@ -51,62 +57,75 @@ def smooth_slots(y: np.ndarray, t: np.ndarray, q_ratio: float, step_h: float = S
     r = (0.7 * scale) ** 2
     q = q_ratio * scale**2
     seen = ~np.isnan(y)
-    start = np.full((d, f), np.nan)
-    for k in range(s - 1, -1, -1):
-        start = np.where(seen[k], y[k], start)
-    x0, x1 = np.nan_to_num(start), np.zeros((d, f))
-    p00, p01, p11 = (10 * scale) ** 2, np.zeros((d, f)), (scale / 2) ** 2
-    n = 2 * s
-    pred = np.empty((5, n, d, f))
-    post = np.empty((5, n, d, f))
-    hs = np.empty((n, d))
-    before = np.zeros(d)
-    for node in range(n):
-        k, second = divmod(node, 2)
-        at = np.where(first_is_obs[k] != bool(second), t[k], mid)
-        now = k * step_h + at
-        h1 = now - before if node else np.zeros(d)
-        before = now
-        hs[node] = h1
-        h = h1[:, None]
-        x0 = x0 + h * x1
-        p00 = p00 + 2 * h * p01 + h * h * p11 + q * h**3 / 3
-        p01 = p01 + h * p11 + q * h * h / 2
-        p11 = p11 + q * h
-        pred[:, node] = x0, x1, p00, p01, p11
-        is_obs = (first_is_obs[k] != bool(second))[:, None] & seen[k]
-        g = p00 + r
-        k0, k1 = np.where(is_obs, p00 / g, 0.0), np.where(is_obs, p01 / g, 0.0)
-        e = np.where(is_obs, np.nan_to_num(y[k]) - x0, 0.0)
-        x0, x1 = x0 + k0 * e, x1 + k1 * e
-        p11 = p11 - k1 * p01
-        p01 = p01 - k0 * p01
-        p00 = p00 - k0 * p00
-        post[:, node] = x0, x1, p00, p01, p11
+    some = seen.any(axis=0)
+    start = np.where(some, np.take_along_axis(y, seen.argmax(axis=0)[None], axis=0)[0], 0.0)
+    share = np.ones((s, d, 1)) if n is None else np.maximum(n, 1)[:, :, None].astype(float)
+    state = (start, np.zeros((d, f)), (10 * scale) ** 2, np.zeros((d, f)), (scale / 2) ** 2, np.zeros(d))
+
+    def forward(state: tuple, lo: int, hi: int, keep: bool) -> tuple:
+        x0, x1, p00, p01, p11, before = state
+        if keep:
+            pred, post, hs = np.empty((5, 2 * (hi - lo), d, f)), np.empty((5, 2 * (hi - lo), d, f)), np.empty((2 * (hi - lo), d))
+        for node in range(2 * lo, 2 * hi):
+            k, second = divmod(node, 2)
+            is_obs_node = first_is_obs[k] != bool(second)
+            now = k * step_h + np.where(is_obs_node, t[k], mid)
+            h1 = now - before if node else np.zeros(d)
+            before = now
+            h = h1[:, None]
+            x0 = x0 + h * x1
+            p00 = p00 + 2 * h * p01 + h * h * p11 + q * h**3 / 3
+            p01 = p01 + h * p11 + q * h * h / 2
+            p11 = p11 + q * h
+            if keep:
+                i = node - 2 * lo
+                pred[:, i] = x0, x1, p00, p01, p11
+                hs[i] = h1
+            is_obs = is_obs_node[:, None] & seen[k]
+            if is_obs.any():
+                g = p00 + r / share[k]
+                k0, k1 = np.where(is_obs, p00 / g, 0.0), np.where(is_obs, p01 / g, 0.0)
+                e = np.where(is_obs, np.nan_to_num(y[k]) - x0, 0.0)
+                x0, x1 = x0 + k0 * e, x1 + k1 * e
+                p11 = p11 - k1 * p01
+                p01 = p01 - k0 * p01
+                p00 = p00 - k0 * p00
+            if keep:
+                post[:, i] = x0, x1, p00, p01, p11
+        return (x0, x1, p00, p01, p11, before), *((pred, post, hs) if keep else ())
+
+    starts = list(range(0, s, block))
+    states = [state]
+    for lo in starts[:-1]:
+        states.append(forward(states[-1], lo, lo + block, False)[0])
     value, var = np.empty((s, d, f)), np.empty((s, d, f))
-    m0, m1, s00, s01, s11 = post[:, n - 1]
-    for node in range(n - 1, -1, -1):
-        k, second = divmod(node, 2)
-        if node < n - 1:
-            a0, a1, b00, b01, b11 = post[:, node]
-            c0, c1, d00, d01, d11 = pred[:, node + 1]
-            h = hs[node + 1][:, None]
-            det = np.maximum(d00 * d11 - d01 * d01, 1e-300)
-            e00, e01, e10, e11 = b00 + h * b01, b01, b01 + h * b11, b11  # P F'
-            g00, g01 = (e00 * d11 - e01 * d01) / det, (e01 * d00 - e00 * d01) / det
-            g10, g11 = (e10 * d11 - e11 * d01) / det, (e11 * d00 - e10 * d01) / det
-            u0, u1 = m0 - c0, m1 - c1
-            m0, m1 = a0 + g00 * u0 + g01 * u1, a1 + g10 * u0 + g11 * u1
-            v00, v01, v11 = s00 - d00, s01 - d01, s11 - d11
-            s00, s01, s11 = (
-                b00 + g00 * g00 * v00 + 2 * g00 * g01 * v01 + g01 * g01 * v11,
-                b01 + g00 * g10 * v00 + (g00 * g11 + g01 * g10) * v01 + g01 * g11 * v11,
-                b11 + g10 * g10 * v00 + 2 * g10 * g11 * v01 + g11 * g11 * v11,
-            )
-        is_mid = (first_is_obs[k] == bool(second))[:, None]
-        value[k], var[k] = np.where(is_mid, m0, value[k] if second == 0 else 0.0), np.where(is_mid, s00, var[k] if second == 0 else 0.0)
-    none = ~seen.any(axis=0)
-    value[:, none], var[:, none] = np.nan, np.nan
+    nxt = None  # prediction of the node after, and the hours to it
+    for lo, state in zip(reversed(starts), reversed(states)):
+        _, pred, post, hs = forward(state, lo, min(lo + block, s), True)
+        for i in range(pred.shape[1] - 1, -1, -1):
+            k, second = divmod(2 * lo + i, 2)
+            a0, a1, b00, b01, b11 = post[:, i]
+            if nxt is None:
+                m0, m1, s00, s01, s11 = a0, a1, b00, b01, b11
+            else:
+                (c0, c1, d00, d01, d11), h1 = nxt
+                h = h1[:, None]
+                det = np.maximum(d00 * d11 - d01 * d01, 1e-300)
+                e00, e01, e10, e11 = b00 + h * b01, b01, b01 + h * b11, b11  # P F'
+                g00, g01 = (e00 * d11 - e01 * d01) / det, (e01 * d00 - e00 * d01) / det
+                g10, g11 = (e10 * d11 - e11 * d01) / det, (e11 * d00 - e10 * d01) / det
+                u0, u1 = m0 - c0, m1 - c1
+                m0, m1 = a0 + g00 * u0 + g01 * u1, a1 + g10 * u0 + g11 * u1
+                v00, v01, v11 = s00 - d00, s01 - d01, s11 - d11
+                s00, s01, s11 = (
+                    b00 + g00 * g00 * v00 + 2 * g00 * g01 * v01 + g01 * g01 * v11,
+                    b01 + g00 * g10 * v00 + (g00 * g11 + g01 * g10) * v01 + g01 * g11 * v11,
+                    b11 + g10 * g10 * v00 + 2 * g10 * g11 * v01 + g11 * g11 * v11,
+                )
+            nxt = pred[:, i], hs[i]
+            is_mid = (first_is_obs[k] == bool(second))[:, None]
+            value[k], var[k] = np.where(is_mid, m0, value[k] if second == 0 else 0.0), np.where(is_mid, s00, var[k] if second == 0 else 0.0)
+    value[:, ~some], var[:, ~some] = np.nan, np.nan
     return value, np.sqrt(np.maximum(var, 0))
 
 
@@ -121,26 +140,27 @@ def regular_grid(readings: DataFrame, rule: NameRule, fields: list[str] | None =
     """One row per drive and six-hour slot from its first to its last reading.
 
     ``missing`` marks slots without a reading. A field that the slot's readings show keeps their mean; elsewhere it
-    is the smoothed value, ``<field>_filled`` is true and ``<field>_sd`` its standard deviation. A field the drive
-    never shows stays null. ``uncertain`` marks slots with a filled field whose deviation exceeds ``wide_sd`` times
+    is the smoothed value and ``<field>_filled`` is true. ``<field>_grid`` is the smoothed value at the slot's middle
+    for every slot, observed or not, and ``<field>_sd`` its standard deviation. A field the drive never shows stays
+    null. ``uncertain`` marks slots with a filled field whose deviation exceeds ``wide_sd`` times
     the field's usual one. Drives or times that are null leave no rows; ``cells`` bounds the memory of a batch.
     """
     fields = fields or rule.fields
     m = len(fields)
     schema = T.StructType(
         [T.StructField("drive_id", T.StringType()), T.StructField("slot_start", T.TimestampType()), T.StructField("n_readings", T.LongType()), T.StructField("missing", T.BooleanType()), T.StructField("uncertain", T.BooleanType())]
-        + [T.StructField(f"{f}{e}", t) for f in fields for e, t in (("", T.DoubleType()), ("_sd", T.DoubleType()), ("_filled", T.BooleanType()))]
+        + [T.StructField(f"{f}{e}", t) for f in fields for e, t in (("", T.DoubleType()), ("_grid", T.DoubleType()), ("_sd", T.DoubleType()), ("_filled", T.BooleanType()))]
     )
     names = [x.name for x in schema]
 
     def solve(part: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         """part: (drive, slots, readings, hours, values) of drives that are filtered side by side."""
         long = max(int(x[1][-1] - x[1][0]) + 1 for x in part)
-        y, t = np.full((long, len(part), m), np.nan), np.full((long, len(part)), np.nan)
-        for i, (_, slots, _, at, v) in enumerate(part):
+        y, t, n = np.full((long, len(part), m), np.nan), np.full((long, len(part)), np.nan), np.ones((long, len(part)))
+        for i, (_, slots, count, at, v) in enumerate(part):
             k = slots - slots[0]
-            y[k, i], t[k, i] = v, at
-        value, sd = smooth_slots(y, t, q_ratio)
+            y[k, i], t[k, i], n[k, i] = v, at, count
+        value, sd = smooth_slots(y, t, q_ratio, n=n)
         for i, (drive, slots, n, _, _) in enumerate(part):
             size = int(slots[-1] - slots[0]) + 1
             count = np.zeros(size, dtype=np.int64)
@@ -155,7 +175,7 @@ def regular_grid(readings: DataFrame, rule: NameRule, fields: list[str] | None =
             cols = [pa.array([drive] * size, type=pa.string()), starts, pa.array(count), pa.array(count == 0), pa.array(wide)]
             for j in range(m):
                 gone = np.isnan(out[:, j])
-                cols += [pa.array(out[:, j], mask=gone), pa.array(u[:, j], mask=gone), pa.array(filled[:, j])]
+                cols += [pa.array(out[:, j], mask=gone), pa.array(w[:, j], mask=gone), pa.array(u[:, j], mask=gone), pa.array(filled[:, j])]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,8 +152,8 @@ def distinct_readings(readings: DataFrame, rule: NameRule, fields: list[str], bu
     Repeated readings of one instant become one, with each field from any of them that shows it. The single
     exchange is by drive and ``bucket`` (a span of time), so a drive's rows are spread over its buckets.
     """
-    parsed = with_metrics(readings.where(F.col("drive_id").isNotNull() & reading_instant(F.col("reading_ts")).isNotNull()), ["drive_id", "reading_ts"], rule, fields)
-    timed = parsed.select("drive_id", reading_instant(F.col("reading_ts")).alias("ts"), *fields)
+    timed = readings.where("drive_id is not null").select("drive_id", reading_instant(F.col("reading_ts")).alias("ts"), "metrics_json")
+    timed = with_metrics(timed, ["drive_id", "ts"], rule, fields).where("ts is not null").select("drive_id", "ts", *fields)  # the instant is worked out once
     spread = timed.withColumn(bucket, bucket_expr(F.col("ts"))).repartition("drive_id", bucket)
     return spread.groupBy("drive_id", bucket, "ts").agg(*[F.max(f).alias(f) for f in fields])
 

@@ -8,7 +8,7 @@ RULE = NameRule([("smart_9", "Power On Hours"), ("smart_194", "Drive Temperature
 SCHEMA = "id bigint, drive_id string, reading_ts string, metrics_json string"
 
 
-def dense_smoother(y, t, q, r, step):
+def dense_smoother(y, t, q, r, step, n_obs=None):
     """The same model as one Gaussian over all nodes: posterior mean and deviation at the slots' middles."""
     n = len(y)
     nodes = sorted([(k * step + (t[k] if not np.isnan(y[k]) else step / 2), k, "obs") for k in range(n)] + [(k * step + step / 2, k, "mid") for k in range(n)], key=lambda x: (x[0], x[2] != "obs"))
@@ -33,7 +33,7 @@ def dense_smoother(y, t, q, r, step):
     hm = np.zeros((len(obs), size))
     for a, (i, _) in enumerate(obs):
         hm[a, 2 * i] = 1
-    gain = cov @ hm.T @ np.linalg.inv(hm @ cov @ hm.T + r * np.eye(len(obs)))
+    gain = cov @ hm.T @ np.linalg.inv(hm @ cov @ hm.T + r * np.diag([1 / n_obs[k] if n_obs is not None else 1.0 for _, k in obs]))
     post = mean + gain @ (np.array([y[k] for _, k in obs]) - hm @ mean)
     var = cov - gain @ hm @ cov
     mids = [i for i, (_, _, kind) in enumerate(nodes) if kind == "mid"]
@@ -52,6 +52,25 @@ def test_smoother_equals_dense_gaussian():
     assert np.allclose(value[:, 0, 0], want, atol=1e-6) and np.allclose(sd[:, 0, 0], want_sd, atol=1e-6)
 
 
+def test_means_of_several_readings_weigh_more_and_blocks_do_not_matter():
+    rng = np.random.default_rng(8)
+    y = np.cumsum(rng.normal(size=17))
+    y[[2, 3, 8, 9, 10]] = np.nan
+    t, n = rng.uniform(0, 6, size=17), rng.integers(1, 9, 17)
+    d = np.abs(np.diff(y[~np.isnan(y)]))
+    scale = 1.4826 * np.median(d)
+    want, want_sd = dense_smoother(y, t, 2e-4 * scale**2, (0.7 * scale) ** 2, 6.0, n)
+    for block in (1, 4, 100):
+        value, sd = smooth_slots(y[:, None, None], t[:, None], 2e-4, 6.0, n[:, None], block)
+        assert np.allclose(value[:, 0, 0], want, atol=1e-6) and np.allclose(sd[:, 0, 0], want_sd, atol=1e-6)
+
+
+def test_a_reading_of_a_wrong_year(spark):
+    rows = [(1, "d", "2024-05-01T01:00:00", '{"smart_9": 10}'), (2, "d", "1994-05-01T01:00:00", '{"smart_9": 12}'), (3, "d", "2024-05-01T09:00:00", '{"smart_9": 11}')]
+    g = regular_grid(spark.createDataFrame(rows, SCHEMA), RULE)
+    assert g.count() == 10958 * 4 + 2 and g.where("missing").count() == 10958 * 4 - 1 and g.where("smart_9 is null or smart_9_grid is null").count() == 0
+
+
 def test_line_is_kept_through_a_gap():
     y = np.arange(40.0) * 6
     y[15:22] = np.nan
