@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +74,19 @@ def decompress(c: Column, codec: str) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda b: None if b is None else f(bytes(b))), "binary")(c)
 
 
-def groomed(c: Column, digits: int = 3) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda v: None if v is None else groom(v, digits).tolist()), "array<float>")(c)
+def groomed(rows: DataFrame, key: str, array: str, digits: int = 3) -> DataFrame:
+    """(key, groomed): the arrays of float32 with so many significant digits, all of a batch at once; null arrays stay null."""
+
+    def run(batches):
+        for b in batches:
+            a = b.column(1)
+            flat = a.flatten()
+            new = pa.array(groom(flat.to_numpy(zero_copy_only=False), digits), pa.float32(), mask=flat.is_null().to_numpy(zero_copy_only=False))
+            sizes = np.append(0, np.cumsum(pc.list_value_length(a).fill_null(0).to_numpy(zero_copy_only=False)))
+            offsets = pa.array(sizes, pa.int32(), mask=np.append(a.is_null().to_numpy(zero_copy_only=False), False))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, new)], names=[key, "groomed"])
+
+    return rows.select(key, F.col(array).cast("array<float>").alias("_a")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, groomed array<float>")
 
 
 def ratio(original: Column, compressed: Column) -> Column:

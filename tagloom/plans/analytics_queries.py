@@ -182,9 +182,9 @@ def row_sample(spark, sf):
     return E.row_sample(table(spark, sf, "train").select("row_id", "serial_number", "failure", "smart_9"), "row_id")
 
 
-@query()
+@query("select vec_id, list_transform(embedding, lambda x: case when x = 0 then x else cast(trunc(cast(x as double) / pow(2.0, floor(log2(abs(cast(x as double)))) - 9)) * pow(2.0, floor(log2(abs(cast(x as double)))) - 9) as float) end) as groomed from embeddings")
 def array_groomed(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", Z.groomed(F.col("embedding"), 3).alias("groomed"))
+    return Z.groomed(table(spark, sf, "embeddings"), "vec_id", "embedding", 3)
 
 
 @query()

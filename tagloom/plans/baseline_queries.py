@@ -93,7 +93,9 @@ def binary_chunks(spark, sf):
     return c.select(F.col("tag_name").cast("bigint").alias("doc_id"), "blob_name", F.hex("payload").alias("bytes"))
 
 
-@query()
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 2) as int)) as t from embeddings), c as (select a.vec_id, max(least(32, len(a.t), len(list_filter(range(1, least(len(a.t), len(b.t)) + 1), lambda i: a.t[1:i] = b.t[1:i])))) as matched, any_value(a.t) as t from e a join e b on a.vec_id <> b.vec_id and a.t[1] = b.t[1] group by 1),
+k as (select vec_id, matched, list_reduce(list_concat([cast(14695981039346656037 as hugeint)], flatten(list_transform(t[1:matched], lambda x: [cast(x & 255 as hugeint), cast((x >> 8) & 255 as hugeint), cast((x >> 16) & 255 as hugeint), cast((x >> 24) & 255 as hugeint)]))), lambda h, b: (xor(h, b) * cast(1099511628211 as hugeint)) & cast(18446744073709551615 as hugeint)) as h from c where matched > 0)
+select vec_id, cast(matched as int) as matched, lower(lpad(to_hex(cast(h as ubigint)), 16, '0')) as key from k""")
 def kv_prefix_match(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 2).cast("int")).alias("tokens"))
     stored = e.select(F.col("vec_id").alias("owner"), F.posexplode(prefix_keys(F.col("tokens"))).alias("i", "key")).select("owner", "key", (4 * (F.col("i") + 1)).alias("n"))  # four bytes per element
