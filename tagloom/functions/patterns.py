@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +35,49 @@ def pattern(kind: str, i: Column, n: int, seed: int = 1) -> Column:
 
 def series(spark: SparkSession, kind: str, n: int, seed: int = 1) -> DataFrame:
     return spark.range(n).select("id", pattern(kind, F.col("id"), n, seed).alias("value"))
+
+
+def gray_scott(size: int = 64, steps: int = 200, feed: float = 0.04, kill: float = 0.06, seed: int = 1) -> np.ndarray:
+    """The second substance of a reaction and diffusion of two on a square with joined edges, after so many steps."""
+    rng = np.random.default_rng(seed)
+    u, v = np.ones((size, size)), np.zeros((size, size))
+    c = slice(size // 2 - max(1, size // 10), size // 2 + max(1, size // 10))
+    u[c, c], v[c, c] = 0.5, 0.25
+    v += 0.01 * rng.random((size, size))
+    around = lambda x: sum(np.roll(x, d, a) for a in (0, 1) for d in (1, -1)) - 4 * x
+    for _ in range(steps):
+        r = u * v * v
+        u = u + 0.2 * around(u) - r + feed * (1 - u)
+        v = v + 0.1 * around(v) + r - (feed + kill) * v
+    return v
+
+
+KINDS = ("uniform", "gaussian", "constant", "gradient", "sinusoidal", "repeating", "grayscott", "bimodal", "exponential")
+
+
+def parse_spec(spec: str) -> list[tuple[str, float]]:
+    """(kind, share) of ``uniform:40,gaussian:60``: unknown kinds and parts without a number's colon are left out, shares are made to add up to 1."""
+    out = []
+    for item in spec.split(","):
+        name, colon, share = item.partition(":")
+        if colon and name in KINDS:
+            out.append((name, float(share) / 100))
+    total = sum(s for _, s in out)
+    return [(k, s / total) for k, s in out] if total > 0 and abs(total - 1) > 0.01 else out
+
+
+def mixed(spark: SparkSession, spec: str, n: int, seed: int = 1) -> DataFrame:
+    """(id, kind, value): rows 0 to n - 1 in one stretch per kind of the spec, as long as its share."""
+    parts, at = parse_spec(spec), 0
+    kind, value = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for i, (k, share) in enumerate(parts):
+        end = n if i == len(parts) - 1 else at + round(share * n)
+        if k == "grayscott":
+            field = F.array(*[F.lit(float(x)) for x in gray_scott(16, seed=seed).ravel()])
+            v = field[(F.col("id") % 256).cast("int")]
+        else:
+            v = pattern("sinusoid" if k == "sinusoidal" else k, F.col("id") - at, max(end - at, 1), seed)
+        here = (F.col("id") >= at) & (F.col("id") < end)
+        kind, value = F.when(here, F.lit(k)).otherwise(kind), F.when(here, v).otherwise(value)
+        at = end
+    return spark.range(n).select("id", kind.alias("kind"), value.alias("value"))

@@ -72,6 +72,21 @@ def one_hot(c: Column, names: list[str], prefix: str) -> list[Column]:
     return [F.when(c == n, 1.0).otherwise(0.0).alias(f"{prefix}_{n}") for n in names]
 
 
+# The order of a codec model's features.
+FEATURES = ("chunk_bytes", "cpu_percent", "entropy", "mad", "second_derivative", "library", "fast", "balanced", "best", "char", "float")
+
+
+def feature_vector(chunk_bytes: Column, cpu_percent: Column, entropy: Column, mad: Column, second: Column, library: Column, preset: Column, kind: Column) -> Column:
+    """The eleven features as floats, in order: five measures, the library's number, preset and data type one-hot."""
+    own = [chunk_bytes, cpu_percent, entropy, mad, second, library, *[F.when(preset == p, 1.0).otherwise(0.0) for p in ("fast", "balanced", "best")], *[F.when(kind == k, 1.0).otherwise(0.0) for k in ("char", "float")]]
+    return F.array(*[c.cast("float") for c in own])
+
+
+def tile(i: Column, j: Column, size: int = 100) -> Column:
+    """Key of the tile of ``size`` by ``size`` that a cell lies in."""
+    return F.struct(F.floor(i / size).cast("int").alias("row"), F.floor(j / size).cast("int").alias("col"))
+
+
 def slice_array(rows: DataFrame, key: str, array: str, start: int, stop: int, step: int = 1) -> DataFrame:
     """(key, index, value) of a range of each array; out of range leaves nothing."""
     last = F.least(F.size(array), F.lit(stop)) - 1

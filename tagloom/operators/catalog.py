@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, parent_path
-from .ranges import numbered
+from .ranges import MOST, any_hot, numbered
 
 PAGE = 1 << 20
 DIR_MARK = ".__dir__"
@@ -87,6 +87,14 @@ def rename_subtree(rows: DataFrame, path: str, old: str, new: str) -> DataFrame:
     return rows.withColumn(path, F.when(p == old, F.lit(new)).when(p.startswith(old + "/"), F.concat(F.lit(new), F.substring(p, len(old) + 1, 1 << 30))).otherwise(p))
 
 
+def delete_tag(blobs: DataFrame, aliases: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(blobs, aliases) after a name is deleted: an alias goes alone; a tag goes with its subtree and every alias of that."""
+    if not aliases.where(F.col("alias") == name).isEmpty():
+        return blobs, aliases.where(F.col("alias") != name)
+    below = (F.col("tag_name") == name) | F.col("tag_name").startswith(name + "/")
+    return blobs.where(~F.coalesce(below, F.lit(False))), aliases.where(~below)
+
+
 def insert_paths(paths: DataFrame, new: DataFrame, path: str = "path") -> DataFrame:
     """The paths with ``new`` ones and the directories above them, each once."""
     return paths.select(path).unionByName(new.select(F.explode(ancestors(F.col(path))).alias(path))).distinct()
@@ -118,12 +126,15 @@ def page_spans(rows: DataFrame, offset: str, size: str, page: int = PAGE) -> Dat
     return pages.withColumn("page_offset", lo - F.col("page") * page).withColumn("page_bytes", F.least(o + n, (F.col("page") + 1) * page) - lo)
 
 
-def append_layout(entries: DataFrame, tag: str, order: list[str], size: str) -> DataFrame:
+def append_layout(entries: DataFrame, tag: str, order: list[str], size: str, most: int = MOST) -> DataFrame:
     """Deferred appends in their order, with the sequence number and the offset each gets at the file's tail.
 
-    The entries are sorted by range over all tasks, so a hot file is many parts; each part sums on its own, and the
+    If a file has more than ``most`` entries, they are sorted by range over all tasks, so a hot file is many parts; each part sums on its own, and the
     few files that go on from one part to the next get the totals of the parts before (a row for each such part).
     """
+    if not any_hot(entries, tag, most):
+        w = Window.partitionBy(tag).orderBy(*order)
+        return entries.withColumn("seq", F.row_number().over(w)).withColumn("offset", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows, _ = numbered(entries, tag, order, size)
     return rows.select(*entries.columns, F.col("_n").cast("int").alias("seq"), F.col("_off").alias("offset"))
 

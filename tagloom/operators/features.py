@@ -10,18 +10,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import in_parts, numbered
+from .ranges import MOST, any_hot, in_parts, numbered
 
 # Weibull (shape, scale in days) where too few failures are known.
 DEFAULT_WEIBULL = {"hdd": (2.1, 1730.0), "ssd": (1.8, 2400.0)}
 
 
-def lag_difference(rows: DataFrame, key: str, order: list[str], fields: list[str], lag: int = 7) -> DataFrame:
+def lag_difference(rows: DataFrame, key: str, order: list[str], fields: list[str], lag: int = 7, most: int = MOST) -> DataFrame:
     """Difference of each field against ``lag`` rows earlier in the key's order; rows without one are left out.
 
-    The rows are sorted by range over all tasks. Where a key goes on from one part to the next, the next one gets
+    If a key has more than ``most`` rows, they are sorted by range over all tasks. Where a key goes on from one part to the next, the next one gets
     copies of the ``lag`` rows before it, so no task needs a key's whole timeline.
     """
+    if not any_hot(rows, key, most):
+        w = Window.partitionBy(key).orderBy(*order)
+        plain = rows.select("*", *[(F.col(f) - F.lag(f, lag).over(w)).alias(f"{f}_d{lag}") for f in fields], F.row_number().over(w).alias("_i"))
+        return plain.where(F.col("_i") > lag).drop("_i")
     own, carried = numbered(rows, key, order)
     own = own.withColumn("_core", F.lit(True))
     at = F.broadcast(carried.select("_key", "_p", "_n0"))  # at most a row per part
@@ -57,6 +61,16 @@ def weibull_days(p: Column, kind: Column, params: dict[str, tuple[float, float]]
     return F.when(p >= 0.02, F.greatest(F.lit(1.0), lam * F.pow(-F.log(1 - q), 1 / k)))
 
 
+# Shares of the estimate on either side of it.
+BANDS = {"hdd": (0.25, 0.35), "ssd": (0.30, 0.40)}
+
+
+def band(days: Column, kind: Column) -> tuple[Column, Column]:
+    """Whole days of the estimate's lower and upper bound; null without an estimate."""
+    lo, hi = (F.when(kind == "ssd", BANDS["ssd"][i]).otherwise(BANDS["hdd"][i]) for i in (0, 1))
+    return F.greatest(F.lit(1), F.floor(days * (1 - lo))).cast("int"), F.floor(days * (1 + hi)).cast("int")
+
+
 def risk(days: Column) -> Column:
     return F.when(days.isNull(), "healthy").when(days <= 14, "critical").when(days <= 60, "high").when(days <= 180, "moderate").otherwise("low")
 

@@ -105,7 +105,7 @@ class FileTree:
         return not self.nodes.where(F.col("path").startswith(path.rstrip("/") + "/")).isEmpty()
 
     def _with(self, rows: list[tuple]) -> FileTree:
-        return replace(self, nodes=self.nodes.unionByName(self.nodes.sparkSession.createDataFrame(rows, NODES)))
+        return replace(self, nodes=self.nodes.unionByName(self.nodes.sparkSession.createDataFrame(rows, NODES), allowMissingColumns=True))
 
     def _parents(self, path: str) -> list[tuple]:
         """Rows of the directories above a path that aren't there yet."""
@@ -196,6 +196,17 @@ class FileTree:
             raise FileError("ENOENT", path)
         return replace(self, nodes=self.nodes.withColumn("mtime_us", F.when(F.col("ino") == n["ino"], F.lit(mtime_us)).otherwise(F.col("mtime_us"))))
 
+    def chown(self, path: str, uid: int | None = None, gid: int | None = None) -> FileTree:
+        """Sets owner and group under all a file's names; trees without these columns get them."""
+        n = self._node(path)
+        if n is None:
+            raise FileError("ENOENT", path)
+        nodes = self.nodes
+        for c, v in (("uid", uid), ("gid", gid)):
+            old = F.col(c) if c in nodes.columns else F.lit(None).cast("int")
+            nodes = nodes.withColumn(c, F.when(F.col("ino") == n["ino"], F.lit(v)).otherwise(old).cast("int") if v is not None else old)
+        return replace(self, nodes=nodes)
+
     def links(self) -> DataFrame:
         """(ino, n_links) of the files."""
         return self.nodes.where("kind <> 'dir'").groupBy("ino").agg(F.count("*").alias("n_links"))

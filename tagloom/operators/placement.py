@@ -78,6 +78,71 @@ def place(targets: DataFrame, policy: str, size: int, blob_score: float, counter
     return POLICIES.get(policy, random_order)(targets, size, blob_score, counter)
 
 
+NO_TARGETS, NONE_ELIGIBLE, NO_SPACE = 1, 2, 3  # return codes of an extension
+
+
+def extend_blob(blocks: list[tuple[str, int, int]], required: int, targets: DataFrame, blob_score: float, least_level: int = 0, slab: int = 4096, small_bytes: int = 65536) -> tuple[int, list[tuple[str, int, int]]]:
+    """(return code, blocks) of a blob of (target, size, capacity) blocks after it grows to ``required`` bytes.
+
+    First the last block's spare capacity is used, then new blocks go to the healthy targets in placement order;
+    blocks of at most ``small_bytes`` get capacities of whole slabs. A blob's blocks are few, so this runs in place.
+    """
+    out = list(blocks)
+    need = required - sum(b[1] for b in out)
+    if need > 0 and out:
+        t, n, cap = out[-1]
+        fill = min(max(cap - n, 0), need)
+        out[-1], need = (t, n + fill, cap), need - fill
+    if need <= 0:
+        return 0, out
+    if targets.isEmpty():
+        return NO_TARGETS, out
+    fit = targets.where(eligible(F.col("ttl_days"), F.col("persistence"), least_level))
+    if fit.isEmpty():
+        return NONE_ELIGIBLE, out
+    for r in placement_order(fit, 1, blob_score).orderBy("place").select("name", "remaining_space").toLocalIterator():
+        n = min(need, r["remaining_space"])
+        cap = -(-n // slab) * slab if n <= small_bytes else n
+        out.append((r["name"], n, min(cap, r["remaining_space"])))
+        need -= n
+        if need <= 0:
+            return 0, out
+    return NO_SPACE, out
+
+
+def reorganize(blobs: DataFrame, scores: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """The blobs with (tag_name, blob_name, score) applied, and ``rc``: 1 for a score beyond 0 to 1, 3 for no such blob; null without a request, else 0."""
+    new = scores.select("tag_name", "blob_name", F.col("score").alias("_new"))
+    j = blobs.withColumn("_here", F.lit(True)).join(new, ["tag_name", "blob_name"], "full")
+    rc = F.when(F.col("_new").isNull(), F.lit(None)).when(~F.col("_new").between(0.0, 1.0), 1).when(F.col("_here").isNull(), 3).otherwise(0)
+    score = F.when(F.col("_here") & moves(F.col("score"), F.col("_new"), threshold), F.col("_new")).otherwise(F.col("score"))
+    return j.select(*[score.alias(c) if c == "score" else F.col(c) for c in blobs.columns], rc.cast("int").alias("rc"))
+
+
+ORGANIZERS = {"frecency": frecency}  #: score expressions by name
+
+
+def organizer(name: str):
+    """The organizer of that name; None for none, an empty or an unknown name."""
+    return ORGANIZERS.get(name)
+
+
+def flush(blocks: DataFrame, targets: DataFrame, level: int) -> DataFrame:
+    """(tag_name, blob_name, bytes, target): where each blob with blocks below the level goes, as a whole.
+
+    The first target with room, healthy and at the level or above, in placement order for a score of 1; null where
+    there is none. Targets are a dimension.
+    """
+    to = placement_order(targets.where(eligible(F.col("ttl_days"), F.col("persistence"), level)), 1, 1.0).orderBy("place").limit(1).select("name").first()
+    out = flush_candidates(blocks, targets.withColumnRenamed("name", "target"), level)
+    return out.select("tag_name", "blob_name", "bytes", F.lit(to and to[0]).cast("string").alias("target"))
+
+
+def drain(blocks: DataFrame, targets: DataFrame) -> DataFrame:
+    """(tag_name, blob_name, score): the blobs on targets that are to be drained, re-scored so that they move."""
+    return drain_candidates(blocks, targets).withColumn("score", F.lit(0.99))
+
+
 def allocate(ordered: DataFrame, size: int, slab: int = 4096, small: int = 65536) -> DataFrame:
     """Blocks of a blob over ordered targets: each takes what it can until the size, small ones in whole slabs, is met."""
     need = -(-size // slab) * slab if size <= small else size

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+MOST = 1_000_000  # rows of a key up to which one task may sort them; they spill beyond its memory
+
+
+def any_hot(rows: DataFrame, key: str, most: int) -> bool:
+    """Whether any key has more rows than that; counts are added up before they are exchanged."""
+    return not rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).isEmpty()
+
+
 def in_parts(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The rows with ``_part``: sorted by range, so that a hot key is many parts. Kept, since the parts' bounds must be drawn once."""
     ensure_checkpoint_dir(rows.sparkSession)
@@ -15,7 +23,7 @@ def in_parts(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str, order: list[str], size: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, carried): the rows with ``_part``, ``_n`` (number in the key's order, from 1) and ``_off`` (sum of ``size`` before the row).
+    """For keys of any size, (rows, carried): the rows with ``_part``, ``_n`` (number in the key's order, from 1) and ``_off`` (sum of ``size`` before the row).
 
     ``carried`` (key, _part, _n0, _sum0) says what a key had before each part that it goes on in: at most one row
     per part, so it can be broadcast.

@@ -80,6 +80,12 @@ def temporal_since(blobs: DataFrame, since: str, now_ns: int, max_rows: int = 0)
     return temporal(blobs, begin=now_ns - int(seconds_of(since) * 1_000_000_000), max_rows=max_rows)
 
 
+def with_labels(blobs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The blobs with ``label``: the name of their ``<blob>_label`` in the same tag, if it is there."""
+    mine = labels.where(F.col("blob_name").endswith("_label")).select("tag_name", F.col("blob_name").alias("label"), F.regexp_replace("blob_name", "_label$", "").alias("blob_name"))
+    return blobs.join(mine, ["tag_name", "blob_name"], "left")
+
+
 def packed(ranked: DataFrame, rank: str, size: str, budget: int) -> DataFrame:
     """Rows in order of rank as long as they fit the budget together; the first that doesn't ends the packing.
 

@@ -121,6 +121,24 @@ def drain_candidates(spark, sf):
     return P.drain_candidates(_blocks(spark, sf), _targets(spark).withColumnRenamed("name", "target"))
 
 
+@query(f"with {_T}, {_B} select tag_name, blob_name, cast(sum(bytes) as bigint) as bytes, (select name from t where persistence >= 2 and ttl_days > 7 order by write_bw desc, name limit 1) as target from bl left join t on t.name = bl.target group by 1, 2 having count(*) filter (persistence < 2) > 0")
+def flush_moves(spark, sf):
+    return P.flush(_blocks(spark, sf), _targets(spark), 2)
+
+
+@query(f"with {_T}, {_B} select distinct tag_name, blob_name, 99e-2::double as score from bl where target in (select name from t where ttl_days < 1 or (ttl_days <= 7 and persistence >= 2))")
+def drain_moves(spark, sf):
+    return P.drain(_blocks(spark, sf), _targets(spark).withColumnRenamed("name", "target"))
+
+
+@query("select tag_name, blob_name, case when doc_id % 4 = 0 and abs(0.3 - s) >= 5e-2 then 0.3::double else s end as score, case when doc_id % 4 = 0 then 0 when doc_id % 4 = 1 then 1 end as rc from (select *, (doc_id % 100) / 100.0::double as s from documents where tag_name is not null and blob_name is not null) union all select 'none', 'such', null, 3")
+def reorganize_blobs(spark, sf):
+    b = C.blobs_of(table(spark, sf, "documents")).where("tag_name is not null and blob_name is not null")
+    own = b.select("tag_name", "blob_name", ((F.col("doc_id") % 100) / 100.0).alias("score"))
+    asked = b.where("doc_id % 4 < 2").select("tag_name", "blob_name", F.when(F.col("doc_id") % 4 == 0, 0.3).otherwise(1.3).alias("score"))
+    return P.reorganize(own, asked.unionByName(spark.createDataFrame([("none", "such", 0.5)], asked.schema)))
+
+
 @query(f"with {_T}, {_B}, p as (select tag_name, blob_name, target, sum(bytes) as bytes, coalesce(max(write_bw), 80) as bw, coalesce(max(write_lat), 1200) as lat from bl left join t on t.name = bl.target group by 1, 2, 3) select tag_name, blob_name, round(max(lat * 1e3 + bytes / (bw * 1048576) * 1e9), 3) as ns from p group by 1, 2")
 def io_time_estimate(spark, sf):
     t = _targets(spark).withColumnRenamed("name", "target")
@@ -262,12 +280,13 @@ def label_window(spark, sf):
     return table(spark, sf, "train").select("row_id", "serial_number", "date").join(f, "serial_number", "left").select("row_id", E.failure_label(F.col("date"), F.col("failed")).alias("label"))
 
 
-@query("with p as (select user_id, least(value / 200, 1.0) as p, case when user_id % 2 = 0 then 'ssd' else 'hdd' end as kind, event_id from events where value is not null), d as (select event_id, case when p >= 2e-2 then greatest(1, case when kind = 'ssd' then 2400 * pow(-ln(1 - least(p, 999e-3)), 1 / 1.8::double) else 1730 * pow(-ln(1 - least(p, 999e-3)), 1 / 2.1::double) end) end as days from p) select event_id, round(days, 6) as days, case when days is null then 'healthy' when days <= 14 then 'critical' when days <= 60 then 'high' when days <= 180 then 'moderate' else 'low' end as risk from d")
+@query("with p as (select user_id, least(value / 200, 1.0) as p, case when user_id % 2 = 0 then 'ssd' else 'hdd' end as kind, event_id from events where value is not null), d as (select event_id, case when p >= 2e-2 then greatest(1, case when kind = 'ssd' then 2400 * pow(-ln(1 - least(p, 999e-3)), 1 / 1.8::double) else 1730 * pow(-ln(1 - least(p, 999e-3)), 1 / 2.1::double) end) end as days, kind from p) select event_id, cast(greatest(1, floor(days * case when kind = 'ssd' then 70e-2 else 75e-2 end)) as int) as low, cast(floor(days * case when kind = 'ssd' then 140e-2 else 135e-2 end) as int) as high, round(days, 6) as days, case when days is null then 'healthy' when days <= 14 then 'critical' when days <= 60 then 'high' when days <= 180 then 'moderate' else 'low' end as risk from d")
 def weibull_risk(spark, sf):
     e = table(spark, sf, "events").where("value is not null")
     p, kind = F.least(F.col("value") / 200, F.lit(1.0)), F.when(F.col("user_id") % 2 == 0, "ssd").otherwise("hdd")
-    d = e.select("event_id", E.weibull_days(p, kind).alias("days"))
-    return d.select("event_id", F.round("days", 6).alias("days"), E.risk(F.col("days")).alias("risk"))
+    d = e.select("event_id", kind.alias("kind"), E.weibull_days(p, kind).alias("days"))
+    low, high = E.band(F.col("days"), F.col("kind"))
+    return d.select("event_id", low.alias("low"), high.alias("high"), F.round("days", 6).alias("days"), E.risk(F.col("days")).alias("risk"))
 
 
 @query()

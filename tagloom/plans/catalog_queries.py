@@ -228,6 +228,14 @@ def trigram_search(spark, sf):
     return cand.where(F.col("tag_name").contains("harbor"))
 
 
+@query("select tag_name, blob_name, doc_id % 3 = 0 as labelled from documents where blob_name like 'chunk%'")
+def blob_labels_join(spark, sf):
+    """Blobs beside the ``_label`` blobs that were written for them."""
+    b = _blobs(spark, sf).where("blob_name like 'chunk%'")
+    labels = b.where("doc_id % 3 = 0").select("tag_name", F.concat("blob_name", F.lit("_label")).alias("blob_name"))
+    return S.with_labels(b.select("tag_name", "blob_name"), labels).select("tag_name", "blob_name", F.col("label").isNotNull().alias("labelled"))
+
+
 @query("select d.doc_id, l.doc_id as sibling from documents d left join documents l on l.tag_name = d.tag_name and l.blob_name = replace(d.blob_name, '.dat', '.txt') and d.blob_name <> l.blob_name where d.blob_name like '%.dat'")
 def label_sibling_join(spark, sf):
     b = _blobs(spark, sf)

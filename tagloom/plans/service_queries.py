@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import keys
-from ..functions.patterns import pattern
+from ..functions import keys, parity
+from ..functions.patterns import mixed, pattern
 from ..operators import arraystats as A
 from ..operators import attributes as T
 from ..operators import catalog as C
 from ..operators import compress as Z
+from ..operators import monitor as M
 from ..operators.labelling import label_blobs
 from ..session import table
 
@@ -143,3 +144,51 @@ def synthetic_patterns(spark, sf):
     e = table(spark, sf, "events").select("event_id")
     kinds = ("uniform", "gaussian", "constant", "gradient", "sinusoid", "repeating", "bimodal", "exponential")
     return e.select("event_id", *[F.round(pattern(k, F.col("event_id"), 1000), 6).alias(k) for k in kinds])
+
+
+@query("select event_id, user_id, value from events where event_id >= greatest((select max(event_id) from events) - 299, 12345)")
+def monitor_ring(spark, sf):
+    return M.system_stats(table(spark, sf, "events"), "event_id", "system_stats:12345", 300).select("event_id", "user_id", "value")
+
+
+@query("select event_id, event_type || '.' || user_id % 4 as pool_id from events where user_id % 4 = 3 and event_type = 'view' and user_id % 7 = 2")
+def pool_selector(spark, sf):
+    e = table(spark, sf, "events")
+    e = e.select("event_id", F.concat(F.lit("513."), F.col("user_id") % 4).alias("pool_id"), (F.col("user_id") % 7).alias("host"), F.col("event_type").alias("selector"))
+    return M.select_pools(e, "pool_stats://513.3:physical:2:view", host="host").select("event_id", F.replace("pool_id", F.lit("513"), F.lit("view")).alias("pool_id"))
+
+
+@query("select n.i as node, e.event_id, e.value, e.event_id is not null as alive from range(12) n(i) left join (select user_id % 9 as node, max(event_id) as event_id, arg_max(value, event_id) as value from events where value is not null group by 1) e on e.node = n.i")
+def nodes_dashboard(spark, sf):
+    e = table(spark, sf, "events").where("value is not null").select((F.col("user_id") % 9).alias("node"), "event_id", "value")
+    return M.nodes_view(spark.range(12).withColumnRenamed("id", "node"), e, "node", "event_id")
+
+
+@query("select vec_id, list_transform([cast(len(embedding) * 4 as double), 50, 0, list_sum(list_transform(a, lambda x: abs(x - m))) / len(a), 0, vec_id % 21, case when vec_id % 3 = 0 then 1 else 0 end, case when vec_id % 3 = 1 then 1 else 0 end, case when vec_id % 3 = 2 then 1 else 0 end, 0, 1], lambda x: round(cast(x as double), 4)) as features from (select *, list_transform(embedding, lambda x: cast(x as double)) as a, list_sum(list_transform(embedding, lambda x: cast(x as double))) / len(embedding) as m from embeddings)")
+def codec_features(spark, sf):
+    a = A.doubles(F.col("embedding"))
+    v = T.feature_vector(F.size("embedding") * 4, F.lit(50), F.lit(0), A.mad(a), F.lit(0), F.col("vec_id") % 21, F.element_at(F.array(F.lit("fast"), F.lit("balanced"), F.lit("best")), (F.col("vec_id") % 3 + 1).cast("int")), F.lit("float"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(v, lambda x: F.round(x.cast("double"), 4)).alias("features"))
+
+
+@query("with a as (select tag_name, 'alias of ' || tag_name as alias from documents where tag_name is not null group by 1) select 'blob' as kind, blob_name as name from documents where tag_name is null or not (tag_name = 'drive_notes' or starts_with(tag_name, 'drive_notes/')) union all select 'alias', alias from a where not (tag_name = 'drive_notes' or starts_with(tag_name, 'drive_notes/')) and alias <> 'alias of ops_journal'")
+def delete_with_aliases(spark, sf):
+    b = _blobs(spark, sf)
+    a = b.where("tag_name is not null").select("tag_name").distinct().withColumn("alias", F.concat(F.lit("alias of "), "tag_name"))
+    b, a = C.delete_tag(*C.delete_tag(b, a, "drive_notes"), "alias of ops_journal")
+    return b.select(F.lit("blob").alias("kind"), F.col("blob_name").alias("name")).unionByName(a.select(F.lit("alias").alias("kind"), F.col("alias").alias("name")))
+
+
+@query("select doc_id, hex(encode(text)) as payload from documents where text is not null")
+def parity_recovery(spark, sf):
+    """Of four data and two parity shards, any two are lost."""
+    d = table(spark, sf, "documents").where("text is not null")
+    s = parity.stripes(d, "doc_id", "text", 4, 2)
+    lost = F.col("doc_id") % 6
+    left = s.where((F.col("shard") != lost) & (F.col("shard") != (lost + 1 + F.col("doc_id") % 5) % 6))
+    return parity.restored(left, "doc_id", 4, 2).select("doc_id", F.hex("payload").alias("payload"))
+
+
+@query("select i as id, case when i < 2000 then 'gradient' when i < 5000 then 'sinusoidal' else 'constant' end as kind, round(case when i < 2000 then i / 1999.0 when i < 5000 then sin(2 * pi() * (i - 2000) / 64) else 1 end, 8) as value from range(10000) r(i)")
+def pattern_mix(spark, sf):
+    return mixed(spark, "gradient:20,sinusoidal:30,constant:50,unheard:10", 10_000).withColumn("value", F.round("value", 8))

@@ -17,6 +17,7 @@ PROTOCOLS = ("file", "string", "hdf5", "s3", "s3a", "gs", "gcs")
 BLOB_SCHEMA = "tag_name string, blob_name string, payload binary"
 # Return codes of an inline string: unknown source, no blob name, unknown destination, no tag, no payload.
 BAD_SOURCE, NO_BLOB, BAD_TARGET, NO_TAG, NO_PAYLOAD = -1, -2, -3, -4, -7
+TAG_FAILED, PUT_FAILED = -5, -6  # of stored_string
 
 
 class IngestError(ValueError):
@@ -144,6 +145,21 @@ def read_string(spark: SparkSession, t: Transfer) -> DataFrame:
 STEP = 3 << 19  # bytes of a chunk of a dataset
 
 
+def stored_string(spark: SparkSession, t: Transfer, put) -> int:
+    """Stores an inline string through ``put`` (blobs -> None): 0, or the return code of what went wrong."""
+    try:
+        row = read_string(spark, t)
+    except IngestError as e:
+        return e.code
+    try:
+        put(row)
+    except (PermissionError, KeyError):
+        return TAG_FAILED
+    except Exception:  # noqa: BLE001 - whatever a sink raises is a failed put
+        return PUT_FAILED
+    return 0
+
+
 def read_hdf5(spark: SparkSession, path: str, tag: str, include: list[str], exclude: list[str]) -> DataFrame:
     """Datasets as tags of 1.5 MiB chunks; needs h5py on the executors.
 
@@ -223,8 +239,12 @@ def _binary_reader(spark, t, kind, rest, tag):
     return read_binary(spark, rest if kind == "file" else f"{ {'s3': 's3a', 'gcs': 'gs'}.get(kind, kind) }://{rest}", tag, t.range_off, t.range_size, t.include, t.exclude)
 
 
-def ingest(spark: SparkSession, transfers: list[Transfer]) -> DataFrame:
-    """Blobs of all transfers in order; the first that fails raises with the number done. A dependency skips a transfer."""
+def ingest(spark: SparkSession, transfers: list[Transfer], verify: bool = False) -> DataFrame:
+    """Blobs of all transfers in order; the first that fails raises with the number done. A dependency skips a transfer.
+
+    Reads run when the blobs are used; with ``verify`` each transfer is read through first, so that the number done
+    also counts reads that fail.
+    """
     out = spark.createDataFrame([], BLOB_SCHEMA)
     for i, t in enumerate(transfers):
         if t.depends_on:
@@ -233,8 +253,14 @@ def ingest(spark: SparkSession, transfers: list[Transfer]) -> DataFrame:
             kind, rest = protocol(t.src)
             tag = protocol(t.dst, target=True)[1]
             part = (READERS["string"] if kind == "string" else READERS.get(t.format) or READERS[kind])(spark, t, kind, rest, tag)
+            if verify:
+                part.write.format("noop").mode("overwrite").save()  # a read that fails does so here, while it is known which transfer it is
         except IngestError as e:
             raise IngestError(str(e), e.code, i) from e
+        except Exception as e:
+            if not verify:
+                raise
+            raise IngestError(f"{t.src}: {e}", -2, i) from e
         out = out.unionByName(part)
     return out
 
@@ -262,6 +288,35 @@ def parquet_metadata(spark: SparkSession, path: str) -> DataFrame:
     return d.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
 
 
+def parquet_footers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows, row_groups, columns, types, created_by) of each file, from its footer alone; one task reads a file's."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    schema = "file string, rows bigint, row_groups int, columns int, types map<string,string>, created_by string"
+
+    def run(frames):
+        import pandas as pd
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for df in frames:
+            out = []
+            for p in df["path"]:
+                where, spot = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", p))
+                m = pq.read_metadata(spot, filesystem=where)
+                s = m.schema.to_arrow_schema()
+                out.append((os.path.basename(p), m.num_rows, m.num_row_groups, m.num_columns, {f.name: str(f.type) for f in s}, m.created_by))
+            yield pd.DataFrame(out, columns=["file", "rows", "row_groups", "columns", "types", "created_by"])
+
+    return files.mapInPandas(run, schema)
+
+
+def csv_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, rows, columns) of each CSV or TSV file, the header not counted."""
+    d = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("_at"))
+    sep = "\t" if path.endswith(".tsv") else ","
+    return d.groupBy("file", "bytes").agg((F.count_if(F.trim("value") != "") - 1).alias("rows"), F.min_by(F.size(F.split("value", sep)), "_at").alias("columns"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 

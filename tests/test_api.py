@@ -101,6 +101,7 @@ def test_files(spark):
     assert text(r.unlink("/new/home/x"))["/x2"] == b"he" and r.unlink("/new/home/x").unlink("/x2").pages.where("ino = 1").isEmpty()
     assert r.utimens("/x2", 5).nodes.where("path = '/new/home/x'").first().mtime_us == 5 and r.rmdir("/empty").nodes.where("path = '/empty'").isEmpty()
     assert text(r.create("/q/w"))["/q/w"] == b"" and r.rename("/x2", "/new/home/x").nodes.where("path = '/x2'").isEmpty()
+    assert {tuple(x) for x in r.chown("/x2", 7).chown("/x2", gid=8).nodes.where("ino = 1").select("uid", "gid").collect()} == {(7, 8)} and r.chown("/x2", 7).mkdir("/e2").nodes.where("path = '/e2'").first().uid is None
     for code, f in (("ENOENT", lambda: r.unlink("/zz")), ("EISDIR", lambda: r.unlink("/new")), ("ENOTEMPTY", lambda: r.rmdir("/new")), ("ENOTDIR", lambda: r.rmdir("/x2")), ("EEXIST", lambda: r.mkdir("/new")), ("EINVAL", lambda: r.rename("/new", "/new/in")), ("EPERM", lambda: r.link("/new", "/l")), ("EINVAL", lambda: r.readlink("/x2"))):
         with pytest.raises(FileError) as e:
             f()

@@ -277,17 +277,18 @@ def test_nearest_in_blocks(spark):
     assert run(1000) == run(17) and len(run(17)) == 120
 
 
-def test_ordered_work_on_a_key_of_many_parts(spark):
+@pytest.mark.parametrize("most", [100, 10**6])
+def test_ordered_work_on_a_key_of_many_parts(spark, most):
     """A key with nearly all rows, cut into parts; against a plain loop."""
     rnd = np.random.default_rng(4)
     data = [("hot" if rnd.random() < 0.9 else f"k{i % 5}", i, float(rnd.integers(0, 50)), float(rnd.integers(-2, 40))) for i in range(3000)] + [(None, 1, 1.0, 1.0)]
     df = spark.createDataFrame(data, "k string, i int, c double, r double")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {(r.k, r.i): (r.seq, r.offset) for r in C.append_layout(df, "k", ["i"], "c").collect()}
-        lagged = {(r.k, r.i): r.r_d7 for r in E.lag_difference(df, "k", ["i"], ["r"]).collect()}
+        got = {(r.k, r.i): (r.seq, r.offset) for r in C.append_layout(df, "k", ["i"], "c", most).collect()}
+        lagged = {(r.k, r.i): r.r_d7 for r in E.lag_difference(df, "k", ["i"], ["r"], most=most).collect()}
         cost = {r.k: (r.coefficient, r.error, r.n) for r in E.online_cost(df, "k", ["i"], "c", "r").collect()}
-        assert E.lag_difference(df.limit(0), "k", ["i"], ["r"]).count() == 0 and E.online_cost(df.limit(0), "k", ["i"], "c", "r").count() == 0
+        assert E.lag_difference(df.limit(0), "k", ["i"], ["r"], most=0).count() == 0 and E.online_cost(df.limit(0), "k", ["i"], "c", "r").count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     by = {}
@@ -333,3 +334,53 @@ def test_codecs_by_preset(spark):
     assert Z.find_codec("Blosc")[:3] == ("blosc2", 2, 8) and Z.find_codec(wire_id=10)[0] == "zstd" and Z.find_codec(base_id=22)[0] == "cuszp" and Z.find_codec("x") is None
     with pytest.raises(ValueError):
         Z.compress(F.col("p"), "snappy")
+
+
+def test_extension_fills_spare_room_first(spark):
+    from tagloom.operators import placement as P
+    from tagloom.plans.analytics_queries import _targets
+
+    t = _targets(spark)
+    assert P.extend_blob([("ram0", 100, 4096)], 3000, t, 1.0) == (0, [("ram0", 3000, 4096)]) and P.extend_blob([("ram0", 100, 100)], 50, t, 1.0) == (0, [("ram0", 100, 100)])
+    code, blocks = P.extend_blob([("ram0", 100, 4096)], 10_000, t, 1.0)
+    assert code == 0 and blocks == [("ram0", 4096, 4096), ("ram0", 5904, 8192)]
+    big = (1 << 30) + (9 << 30)
+    code, blocks = P.extend_blob([], big, t, 1.0, least_level=1)
+    assert code == 0 and sum(b[1] for b in blocks) == big and [b[0] for b in blocks][:1] == ["nvme0"] and not {"ram0", "ssd0", "hdd0"} & {b[0] for b in blocks}
+    assert P.extend_blob([], 10, t.limit(0), 1.0)[0] == P.NO_TARGETS and P.extend_blob([], 10, t.where("name = 'hdd0'"), 1.0)[0] == P.NONE_ELIGIBLE and P.extend_blob([], 1 << 50, t, 1.0)[0] == P.NO_SPACE
+    assert P.organizer("frecency") is P.frecency and P.organizer("none") is None and P.organizer("") is None
+
+
+def test_selectors():
+    from tagloom.operators.monitor import PoolStats, parse_pool_stats
+
+    assert parse_pool_stats("pool_stats://513.0:local:worker:3") == PoolStats("513.0", ("local",), "worker:3")
+    assert parse_pool_stats("pool_stats://1.2:Range:0:4:bdev") == PoolStats("1.2", ("Range", "0", "4"), "bdev") and parse_pool_stats("pool_stats://1.2:physical:7") == PoolStats("1.2", ("physical", "7"), "")
+    for bad in ("pool_stats://1.2", "pool_stats://x:local:y", "pool_stats://1.2:range:5", "stats://1.2:local:x"):
+        with pytest.raises(ValueError):
+            parse_pool_stats(bad)
+
+
+def test_incremental_parity():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 256, (4, 33), dtype=np.uint8)
+    p = parity.encode(rows, 3)
+    new = rng.integers(0, 256, 33, dtype=np.uint8)
+    q = parity.update(p, 2, rows[2], new, 4)
+    rows[2] = new
+    assert (q == parity.encode(rows, 3)).all()
+
+
+def test_specs_and_reaction():
+    from tagloom.functions.patterns import gray_scott, parse_spec
+
+    assert parse_spec("uniform:50,gaussian:50") == [("uniform", 0.5), ("gaussian", 0.5)] and [(k, round(s, 9)) for k, s in parse_spec("uniform:10,what:5,gaussian:30,x")] == [("uniform", 0.25), ("gaussian", 0.75)] and parse_spec("") == []
+    v = gray_scott(32, 300)
+    assert v.shape == (32, 32) and np.isfinite(v).all() and 0.05 < v.max() < 1 and (v == gray_scott(32, 300)).all()
+
+
+def test_tiles_and_psnr_of_bytes(spark):
+    from tagloom.operators.attributes import tile
+
+    r = spark.createDataFrame([(250, 99, [0.0, 10.0], [0.0, 12.0])], "i int, j int, a array<double>, b array<double>").select(tile(F.col("i"), F.col("j")).alias("t"), A.psnr(F.col("a"), F.col("b"), True).alias("p")).first()
+    assert tuple(r.t) == (2, 0) and abs(r.p - 10 * math.log10(255**2 / 2)) < 1e-9

@@ -23,3 +23,30 @@ def test_models_on_held_out_rows(spark):
     assert p.where((F.col("probability") > 0.5).cast("int") == F.col("y")).count() > 0.95 * held.count()
     m = train_linear(train, ["a"], "z")
     assert m.transform(held).where("abs(predicted - z) > 0.001").count() == 0
+
+
+def test_predictors_fit_save_and_load(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    from tagloom.operators.models import DenseNet, Pipelined
+
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-1, 1, (600, 2))
+    rows = [(int(i), float(a), None if i % 50 == 0 else float(b), float(2 * a - abs(b) + 1), float(a * b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, ratio double, ms double").repartition(3)
+    error = lambda got, t: float(np.mean([abs(r[t] - r[f"predicted_{t}"]) for r in got.where("b is not null").collect()]))
+    net = DenseNet(["a", "b"], ["ratio", "ms"], (12,))
+    assert not net.is_ready()
+    with pytest.raises(ValueError):
+        net.predict(df)
+    net.fit(df, 80, 0.05)
+    assert net.is_ready() and error(net.predict(df), "ratio") < 0.2 and net.predict(df).columns == [*df.columns, "predicted_ratio", "predicted_ms"]
+    net.save(spark, str(tmp_path / "net"))
+    again = DenseNet.load(spark, str(tmp_path / "net"))
+    assert sorted(map(tuple, again.predict(df).select("k", "predicted_ms").collect())) == sorted(map(tuple, net.predict(df).select("k", "predicted_ms").collect()))
+    trees = Pipelined("trees", ["a", "b"], ["ratio"]).fit(df)
+    assert trees.is_ready() and error(trees.predict(df), "ratio") < 0.2
+    trees.save(spark, str(tmp_path / "trees"))
+    assert abs(error(Pipelined.load(spark, str(tmp_path / "trees"), "trees", ["a", "b"], ["ratio"]).predict(df), "ratio") - error(trees.predict(df), "ratio")) < 1e-9
+    assert error(Pipelined("linear", ["a", "b"], ["ratio"]).fit(df).predict(df.where("b is not null")), "ratio") < 0.5

@@ -127,3 +127,45 @@ def test_sessions(spark, tmp_path):
     s = stream(spark, tmp_path, [[("a", t(0)), ("a", t(2)), ("a", t(30)), ("a", t(90))]], "k string, ts timestamp")
     got = S.run_to_table(S.sessions(s, "ts", ["k"], "5 minutes", "1 minute"), str(tmp_path / "o"))
     assert sorted(r.n for r in got.collect()) == [1, 2]
+
+
+def test_records_are_files_in_the_format(spark, tmp_path):
+    import struct
+
+    b = spark.createDataFrame([("x", bytearray(b"\x00\xff1")), ("größe", bytearray(b"22")), ("none", bytearray(b"")), (None, bytearray(b"q"))], "blob_name string, payload binary").repartition(2)
+    assert I.export_records(b, str(tmp_path / "rec")) == 5
+    files = sorted((tmp_path / "rec").glob("*.rec"))
+    whole = b"".join(f.read_bytes() for f in files)
+    assert struct.pack("<I", 1) + b"x" + struct.pack("<Q", 3) + b"\x00\xff1" in whole and len(whole) == 5 + (4 + 1 + 8) + (4 + 7 + 8) and not list((tmp_path / "rec").glob(".attempt*"))
+    assert sorted((r.blob_name, bytes(r.payload)) for r in I.read_records(spark, str(tmp_path / "rec")).collect()) == [("größe", b"22"), ("x", b"\x00\xff1")]
+    assert I.export_records(b.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_metadata_of_files(spark, tmp_path):
+    spark.range(30).withColumn("s", F.lit("a")).coalesce(1).write.parquet(str(tmp_path / "p"))
+    (r,) = I.parquet_footers(spark, str(tmp_path / "p")).collect()
+    assert (r.rows, r.row_groups, r.columns) == (30, 1, 2) and r.types == {"id": "int64", "s": "string"} and "parquet" in r.created_by.lower()
+    (tmp_path / "t.csv").write_text("a,b,c\n1,2,3\n4,5,6\n")
+    (c,) = I.csv_metadata(spark, str(tmp_path / "t.csv")).collect()
+    assert (c.file, c.bytes, c.rows, c.columns) == ("t.csv", 18, 2, 3)
+
+
+def test_codes_and_verified_reads(spark, tmp_path):
+    t = I.Transfer("string::b", "tag::t", "string", data="x")
+
+    def no_tag(_):
+        raise KeyError("t")
+
+    def broken(_):
+        raise OSError
+
+    assert [I.stored_string(spark, t, f) for f in (lambda df: None, no_tag, broken)] == [0, I.TAG_FAILED, I.PUT_FAILED] and I.stored_string(spark, I.Transfer("string::", "tag::t", "string", data="x"), broken) == I.NO_BLOB
+    with pytest.raises(I.IngestError) as e:
+        I.ingest(spark, [t, I.Transfer(f"file://{tmp_path}/none", "tag::t", "binary"), t], verify=True)
+    assert e.value.done == 1
+
+    @I.reader("letters")
+    def letters(spark, t, kind, rest, tag):
+        return spark.createDataFrame([(tag, c, bytearray(c.encode())) for c in t.data], I.BLOB_SCHEMA)
+
+    assert I.ingest(spark, [I.Transfer("file://x", "tag::t", "letters", data="abc")]).count() == 3
