@@ -95,7 +95,7 @@ def compression_ratio(spark, sf):
 def encrypted_round_trip(spark, sf):
     d = table(spark, sf, "documents").where("text is not null").withColumn("c", keys.encrypt(F.col("text").cast("binary"), "secret"))
     shows = (F.length("text") > 0) & F.contains(F.hex("c"), F.hex(F.col("text").cast("binary")))
-    return d.select("doc_id", keys.decrypt(F.col("c"), "secret").cast("string").alias("text"), F.length("c").alias("cipher_bytes"), shows.alias("shows"))
+    return d.select("doc_id", keys.decrypt(F.col("c"), "secret").cast("string").alias("text"), F.length("c").cast("bigint").alias("cipher_bytes"), shows.alias("shows"))
 
 
 @query("select doc_id, text, strlen(text) > 0 as packs, true as marked from documents where text is not null")

@@ -60,6 +60,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     Costly Python steps follow; large tables have parts enough and aren't shuffled. Only plain scans are touched.
     """
+    if not hasattr(df, "_jdf"):  # a remote session shows no plan
+        return df
     plan = df._jdf.queryExecution()
     if "Exchange" in plan.executedPlan().toString():
         return df
