@@ -160,12 +160,14 @@ def stored_string(spark: SparkSession, t: Transfer, put) -> int:
     return 0
 
 
-def read_hdf5(spark: SparkSession, path: str, tag: str, include: list[str], exclude: list[str]) -> DataFrame:
-    """Datasets as tags of 1.5 MiB chunks; needs h5py on the executors.
+def file_listing(spark: SparkSession, path: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """(path, bytes, modified) of the files below a path; their contents aren't read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return f.where(glob_filter(F.col("path"), list(include), list(exclude))).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
-    A first pass only lists each file's datasets with their shapes; then every chunk is a row of its own, spread over
-    all tasks, which reads just the slab of rows it lies in.
-    """
+
+def hdf5_datasets(spark: SparkSession, path: str) -> DataFrame:
+    """(path, dataset, description, bytes) of every dataset of a file; needs h5py on the executors."""
     try:
         import h5py  # noqa: F401
     except ImportError as e:
@@ -187,6 +189,16 @@ def read_hdf5(spark: SparkSession, path: str, tag: str, include: list[str], excl
                     f.visititems(visit)
                 yield pd.DataFrame(out, columns=["path", "dataset", "description", "bytes"])
 
+    return spark.createDataFrame([(path,)], "path string").mapInPandas(find, "path string, dataset string, description string, bytes bigint")
+
+
+def read_hdf5(spark: SparkSession, path: str, tag: str, include: list[str], exclude: list[str]) -> DataFrame:
+    """Datasets as tags of 1.5 MiB chunks; needs h5py on the executors.
+
+    A first pass only lists each file's datasets with their shapes; then every chunk is a row of its own, spread over
+    all tasks, which reads just the slab of rows it lies in.
+    """
+
     def load(frames):
         import h5py
         import pandas as pd
@@ -205,7 +217,7 @@ def read_hdf5(spark: SparkSession, path: str, tag: str, include: list[str], excl
                 out.append((f"{tag}/{name}", f"chunk_{i}", raw[at : at + STEP]))
             yield pd.DataFrame(out, columns=["tag_name", "blob_name", "payload"])
 
-    listed = spark.createDataFrame([(path,)], "path string").mapInPandas(find, "path string, dataset string, description string, bytes bigint").where(glob_filter(F.col("dataset"), include, exclude))
+    listed = hdf5_datasets(spark, path).where(glob_filter(F.col("dataset"), include, exclude))
     about = listed.select(F.concat(F.lit(f"{tag}/"), "dataset").alias("tag_name"), F.lit("description").alias("blob_name"), F.col("description").cast("binary").alias("payload"))
     parts = listed.where("bytes > 0").select("path", "dataset", F.explode(F.sequence(F.lit(0), F.ceil(F.col("bytes") / STEP) - 1)).alias("chunk")).repartition("path", "dataset", "chunk")
     return about.unionByName(parts.mapInPandas(load, BLOB_SCHEMA))

@@ -384,3 +384,20 @@ def test_tiles_and_psnr_of_bytes(spark):
 
     r = spark.createDataFrame([(250, 99, [0.0, 10.0], [0.0, 12.0])], "i int, j int, a array<double>, b array<double>").select(tile(F.col("i"), F.col("j")).alias("t"), A.psnr(F.col("a"), F.col("b"), True).alias("p")).first()
     assert tuple(r.t) == (2, 0) and abs(r.p - 10 * math.log10(255**2 / 2)) < 1e-9
+
+
+def test_aggregation_classes(spark):
+    from tagloom.operators.modules import Aggregation, aggregate
+
+    class Longest(Aggregation):
+        def zero(self):
+            return (0, 0)
+
+        def add(self, state, rows):
+            return (state[0] + len(rows), max(state[1], int(rows["v"].max()) if len(rows) else 0))
+
+        def merge(self, a, b):
+            return (a[0] + b[0], max(a[1], b[1]))
+
+    assert aggregate(spark.range(1000, numPartitions=3).selectExpr("id * 2 as v"), Longest()) == (1000, 1998)
+    assert aggregate(spark.range(500, numPartitions=100).selectExpr("id as v"), Longest()) == (500, 499) and aggregate(spark.range(0).selectExpr("id as v"), Longest()) == (0, 0)

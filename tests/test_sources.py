@@ -139,6 +139,12 @@ def test_records_are_files_in_the_format(spark, tmp_path):
     assert struct.pack("<I", 1) + b"x" + struct.pack("<Q", 3) + b"\x00\xff1" in whole and len(whole) == 5 + (4 + 1 + 8) + (4 + 7 + 8) and not list((tmp_path / "rec").glob(".attempt*"))
     assert sorted((r.blob_name, bytes(r.payload)) for r in I.read_records(spark, str(tmp_path / "rec")).collect()) == [("größe", b"22"), ("x", b"\x00\xff1")]
     assert I.export_records(b.limit(0), str(tmp_path / "none")) == 0
+    from tagloom.sources import records
+
+    records.register(spark)
+    read = lambda d: spark.read.format("tagrecords").load(str(tmp_path / d))
+    assert sorted((r.blob_name, bytes(r.payload)) for r in read("rec").collect()) == [("größe", b"22"), ("x", b"\x00\xff1")] and read("none").count() == 0
+    assert sum(r.bytes for r in I.file_listing(spark, str(tmp_path / "rec"), ["*.rec"]).collect()) == len(whole)
 
 
 def test_metadata_of_files(spark, tmp_path):
@@ -169,3 +175,27 @@ def test_codes_and_verified_reads(spark, tmp_path):
         return spark.createDataFrame([(tag, c, bytearray(c.encode())) for c in t.data], I.BLOB_SCHEMA)
 
     assert I.ingest(spark, [I.Transfer("file://x", "tag::t", "letters", data="abc")]).count() == 3
+
+
+def test_hdf5_chunks_by_slabs(spark, tmp_path, monkeypatch):
+    """Against a stand-in for h5py, since it isn't installed: arrays in a pickle, with the few calls that are used."""
+    import pickle
+    import sys
+
+    import numpy as np
+
+    fake = tmp_path / "fake"
+    fake.mkdir()
+    (fake / "h5py.py").write_text("import pickle\nclass Dataset:\n    def __init__(s, a): s.a, s.dtype, s.shape, s.size = a, a.dtype, a.shape, a.size\n    def __getitem__(s, k): return s.a[k]\nclass File:\n    def __init__(s, p, m): s.d = pickle.load(open(p, 'rb'))\n    def __enter__(s): return s\n    def __exit__(s, *a): pass\n    def visititems(s, f):\n        for k, v in s.d.items(): f(k, Dataset(v))\n    def __getitem__(s, k): return Dataset(s.d[k])\n")
+    arrays = {"a/wide": np.arange(900_000, dtype="<f4").reshape(300, 3000), "b": np.float64(3.5) * np.ones(()), "skip/x": np.zeros(5), "none": np.zeros((0, 4))}
+    (tmp_path / "f.h5").write_bytes(pickle.dumps(arrays))
+    monkeypatch.syspath_prepend(str(fake))
+    spark.sparkContext.addPyFile(str(fake / "h5py.py"))
+    try:
+        got = {(r.tag_name, r.blob_name): bytes(r.payload) for r in I.read_hdf5(spark, str(tmp_path / "f.h5"), "t", [], ["skip/*"]).collect()}
+    finally:
+        sys.modules.pop("h5py", None)
+    assert got["t/a/wide", "description"] == b"tensor<float32, 300, 3000>" and {k for k, _ in got} == {"t/a/wide", "t/b", "t/none"}
+    raw = arrays["a/wide"].tobytes()
+    assert [got["t/a/wide", f"chunk_{i}"] for i in range(3)] == [raw[i * I.STEP : (i + 1) * I.STEP] for i in range(3)] and ("t/a/wide", "chunk_3") not in got
+    assert got["t/b", "chunk_0"] == arrays["b"].tobytes() and ("t/none", "chunk_0") not in got
