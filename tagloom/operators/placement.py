@@ -43,6 +43,16 @@ def to_drain(ttl_days: Column, persistence: Column) -> Column:
     return (ttl_days < 1) | ((ttl_days <= 7) & (persistence >= 2))
 
 
+def register_target(targets: DataFrame, row: dict) -> DataFrame:
+    """The targets with one more, or with a new row in place of the one of that name; columns it doesn't give are null."""
+    new = targets.sparkSession.createDataFrame([tuple(row.get(c) for c in targets.columns)], targets.schema)
+    return unregister_target(targets, row["name"]).unionByName(new)
+
+
+def unregister_target(targets: DataFrame, name: str) -> DataFrame:
+    return targets.where(~F.col("name").eqNullSafe(name))
+
+
 def placement_order(targets: DataFrame, size: int, blob_score: float) -> DataFrame:
     """Targets with room in the order they are tried, as ``place`` from 1.
 

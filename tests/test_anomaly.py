@@ -228,3 +228,14 @@ def test_whatever_leaves_the_line_by_more_than_200_hours_is_withheld(seed, gap,
 def test_rows_without_a_source_need_no_group(spark):
     df = spark.range(5000).select(F.col("id"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("timestamp").alias("ts"), F.when(F.col("id") % 100 == 0, 900.0).otherwise(40.0).alias("smart_194"))
     assert statuses(df, "id", "src", "ts", {"smart_194": T}, df.select("src", "ts")).count() == 50
+
+
+def test_more_hot_sources_than_a_local_table_takes(spark, monkeypatch):
+    """The hot sources' table stays distributed and is joined by salts; the same flags."""
+    from tagloom.operators import anomaly
+
+    df = _frame(spark)
+    run = lambda: {(r.row_key, r.status) for r in statuses(df, "id", "src", "ts", {"smart_194": T}, df.select("src", "ts"), max_rows=200).collect()}
+    near = run()
+    monkeypatch.setattr(anomaly, "cuts", lambda *a, **k: cuts(*a, **{**k, "many": 0}))
+    assert run() == near and near

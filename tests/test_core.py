@@ -348,6 +348,8 @@ def test_extension_fills_spare_room_first(spark):
     code, blocks = P.extend_blob([], big, t, 1.0, least_level=1)
     assert code == 0 and sum(b[1] for b in blocks) == big and [b[0] for b in blocks][:1] == ["nvme0"] and not {"ram0", "ssd0", "hdd0"} & {b[0] for b in blocks}
     assert P.extend_blob([], 10, t.limit(0), 1.0)[0] == P.NO_TARGETS and P.extend_blob([], 10, t.where("name = 'hdd0'"), 1.0)[0] == P.NONE_ELIGIBLE and P.extend_blob([], 1 << 50, t, 1.0)[0] == P.NO_SPACE
+    more = P.register_target(P.register_target(t, {"name": "tape", "ttl_days": 9}), {"name": "s3", "ttl_days": 1})
+    assert {r.name: r.ttl_days for r in more.collect()} == {r.name: r.ttl_days for r in t.collect()} | {"tape": 9, "s3": 1} and P.unregister_target(more, "tape").count() == 6
     assert P.organizer("frecency") is P.frecency and P.organizer("none") is None and P.organizer("") is None
 
 
