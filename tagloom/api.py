@@ -235,7 +235,7 @@ def _lines(mode: str, rows, form: str):
         if held is not None:
             yield held
         yield "]"
-    elif form == "table":
+    elif form == "table":  # fixed values: headings and widths
         heads = {"name": f"{'TAG':<30}{'BLOB NAME':<50}", "semantic": f"{'RANK':<6}{'SCORE':>10}  {'TAG':<30}{'BLOB NAME':<40}", "temporal": f"{'LAST_MODIFIED (ns)':<22}{'TAG':<30}{'BLOB NAME':<40}"}
         yield heads[mode]
         yield "-" * len(heads[mode])
