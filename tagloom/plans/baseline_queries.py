@@ -6,8 +6,13 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..api import Catalog
 from ..functions.keys import longest_prefix, prefix_keys
-from ..session import table
+from ..operators import attributes as T
+from ..operators import catalog as C
+from ..operators import compress as Z
+from ..operators import placement as P
+from ..session import scratch, table
 from ..sources import ingest
 from ..streaming import telemetry
 
@@ -106,3 +111,99 @@ def kv_prefix_match(spark, sf):
 def scan_metadata(spark, sf):
     one = lambda t: ingest.parquet_metadata(spark, os.path.join(sf, f"{t}.parquet")).agg(F.sum("rows").alias("rows")).select(F.lit(t).alias("t"), "rows")
     return one("lineitem").unionByName(one("orders"))
+
+
+@query("select n_nationkey as k, n_name as name, n_regionkey as region from nation")
+def csv_round_trip(spark, sf):
+    """Written as CSV, read back by header and sampled types; odd characters leave the column names."""
+    spot = scratch(spark, "csv")
+    ingest.write_csv(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k "), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region#")), spot)
+    d = ingest.read_csv(spark, spot)
+    return d.select(F.col("k").cast("bigint").alias("k"), "name", F.col("region").cast("bigint").alias("region"))
+
+
+@query("select tag_name || '/' || blob_name as blob_name, hex(encode(text)) as payload from documents where strlen(text) > 0 and tag_name is not null and blob_name is not null")
+def record_round_trip(spark, sf):
+    """Exported as record files and read back; blobs without bytes are left out."""
+    spot = scratch(spark, "records")
+    d = table(spark, sf, "documents").select(F.concat("tag_name", F.lit("/"), "blob_name").alias("blob_name"), F.col("text").cast("binary").alias("payload"))
+    ingest.export_records(d, spot)
+    return ingest.read_records(spark, spot).select("blob_name", F.hex("payload").alias("payload"))
+
+
+@query("select 'tag' as kind, tag_name as name, cast(sum(coalesce(strlen(text), 0)) as bigint) as size from documents group by 2 union all select 'blob', blob_name, cast(coalesce(strlen(text), 0) as bigint) from documents")
+def snapshot_round_trip(spark, sf):
+    spot = scratch(spark, "snapshot")
+    b = C.blobs_of(table(spark, sf, "documents"))
+    ingest.save_snapshot(C.tags_of(b), b, spot)
+    tags, blobs = ingest.load_snapshot(spark, spot)
+    return tags.select(F.lit("tag").alias("kind"), F.col("tag_name").alias("name"), F.col("total_size").alias("size")).unionByName(blobs.select(F.lit("blob").alias("kind"), F.col("blob_name").alias("name"), "size"))
+
+
+_SPEC = """
+transfers:
+  - src: string::greeting
+    dst: tag::notes/${TAGLOOM_UNSET}first
+    format: string
+    data: "hello there"
+  - src: file::%s
+    dst: tag::ranges
+    format: binary
+    range_off: 4
+    range_size: 600000
+    dataset_filter:
+      include:
+        - "*.bin"
+  - src: string::skipped
+    dst: tag::notes
+    format: string
+    depends_on: other
+    data: x
+"""
+
+
+@query("select * from (values ('notes/first', 'greeting', 11::bigint, '68656C6C'), ('ranges', 'chunk_0', 600000, '04050607'), ('ranges', 'description', 29, '62696E61')) v(tag_name, blob_name, n, head)")
+def ingest_spec(spark, sf):
+    """A YAML spec with an inline string, a range of a file made here, and a transfer that a dependency holds back."""
+    spot = scratch(spark, "ingest")
+    whole = bytes(range(256)) * 4096
+    d = spark.createDataFrame([("whole", bytearray(whole))], "blob_name string, payload binary")
+
+    def put(frames):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in frames:
+            where, root = fs.FileSystem.from_uri(spot) if "://" in spot or spot.startswith("file:") else (fs.LocalFileSystem(), spot)
+            where.create_dir(root, recursive=True)
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with where.open_output_stream(f"{root}/{name}.bin") as f:
+                    f.write(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])
+
+    d.mapInArrow(put, "n bigint").count()
+    got = ingest.ingest(spark, ingest.load_spec(_SPEC % spot))
+    return got.select("tag_name", "blob_name", F.length("payload").cast("bigint").alias("n"), F.hex(F.substring("payload", 1, 4)).alias("head"))
+
+
+@query("select tag_name, blob_name from documents where not (tag_name is not distinct from 'ops_journal' and blob_name = (select min(blob_name) from documents where tag_name = 'ops_journal'))")
+def delete_blob(spark, sf):
+    c = Catalog(C.blobs_of(table(spark, sf, "documents")))
+    first = c.tag("ops_journal").contained_blobs().agg(F.min("blob_name")).first()[0]
+    return c.tag("ops_journal").del_blob(first).blobs.select("tag_name", "blob_name")
+
+
+@query("select doc_id, doc_id % 2 = 0 as has_a, case when doc_id % 6 = 0 then '6E6577' when doc_id % 2 = 0 then '6F6C64' end as a, doc_id % 5 <> 0 as has_b from documents")
+def xattr_changes(spark, sf):
+    """a is replaced where it is there (every second) and asked for (every third); b is created everywhere, then removed from every fifth."""
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("a"), F.lit(b"old"))).alias("m"))
+    d = d.withColumn("m", F.when(F.col("doc_id") % 3 == 0, T.xattr_set(F.col("m"), "a", b"new", "replace")).otherwise(F.col("m")))
+    d = d.withColumn("m", T.xattr_set(F.col("m"), "b", b"x", "create")).withColumn("m", F.when(F.col("doc_id") % 5 == 0, T.xattr_remove(F.col("m"), "b")).otherwise(F.col("m")))
+    return d.select("doc_id", F.map_contains_key("m", F.lit("a")).alias("has_a"), F.hex(F.try_element_at("m", F.lit("a"))).alias("a"), F.map_contains_key("m", F.lit("b")).alias("has_b"))
+
+
+@query("select event_id, round(greatest(1e6, least(1e10, pow(1001.0, value / 100) - 1)), 2) as bandwidth, round(value + 15e-1 * user_id / 1000.0 + 1048576 / 2.0 / 1e6 * 1000, 6) as lossy_ms from events where value is not null")
+def bandwidth_and_lossy_time(spark, sf):
+    e = table(spark, sf, "events").where("value is not null")
+    ms = Z.workflow_ms(F.col("value"), F.col("user_id") / 1000.0, F.lit(1048576), F.lit(2.0), F.lit(1e6), F.lit(50.0))
+    return e.select("event_id", F.round(P.score_bandwidth(F.col("value") / 100), 2).alias("bandwidth"), F.round(ms, 6).alias("lossy_ms"))

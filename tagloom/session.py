@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/tagloom-che
     sc.setCheckpointDir(folder or fallback)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared folder of ``spark.checkpoint.dir``; a local one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}" if base else tempfile.mkdtemp(prefix=f"tagloom-{name}-")
+
+
 SMALL_ROWS = 100_000
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import scratch
 
 
 def source(spark: SparkSession, path: str, schema, per_batch: int = 16) -> DataFrame:
@@ -133,10 +133,7 @@ def run_to_table(stream: DataFrame, folder: str | None = None, mode: str = "appe
     ``folder`` must be shared on a cluster; default: below spark.checkpoint.dir where it is set, else a local one.
     """
     spark = stream.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
-    spot = f"{base.rstrip('/')}/stream-{uuid.uuid4()}" if base else tempfile.mkdtemp(prefix="tagloom-")
+    spot = f"{folder.rstrip('/')}/stream-{uuid.uuid4()}" if folder else scratch(spark, "stream")
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{spot}/out").option("checkpointLocation", f"{spot}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{spot}/out")
