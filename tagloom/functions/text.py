@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
-from re import _parser
+
+try:
+    from re import _parser
+except ImportError:  # before Python 3.11
+    import sre_parse as _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
