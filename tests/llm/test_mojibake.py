@@ -155,3 +155,51 @@ def test_frequent_words_are_clean_whatever_they_might_be():
     found = lambda chunks: label(fit(chunks), "Он удалил пустые блоки ночью")[1]
     russian = [(w, 40) for w in ("Диск", "удалил", "блоки", "ночью", "отчёт", "раньше", "срока")]
     assert found([*russian, ("пустые", 500)]) == []
+
+
+ICELANDIC = "Þetta er ekki það sem ég átti við"  # neither seeds nor corpus have it
+
+
+def test_documents_of_any_length_are_in_the_fit(spark, model):
+    """Words that the documents show to be clean, all of which are longer than 20,000 characters."""
+    df = spark.createDataFrame([(i, "x " * 10_001 + ICELANDIC) for i in range(30)], "doc_id bigint, text string")
+    assert label(model, ICELANDIC)[1] and garbled_documents(df).collect() == []
+
+
+def test_no_bound_on_documents_or_pieces_of_the_fit(spark, monkeypatch):
+    """Words in a tenth of the documents, which are not among the most frequent ones."""
+    from tagloom.llm import mojibake
+
+    monkeypatch.setattr(mojibake, "SAMPLE_CHUNKS", 6)
+    df = spark.range(300).selectExpr("id AS doc_id", f"if(id % 10 = 0, '{ICELANDIC}', 'Die größere Hälfte läuft übermäßig heiß, schließlich kühlen fünf Lüfter für später') AS text")
+    assert garbled_documents(df).collect() == []
+
+
+def test_the_fit_on_documents_is_the_fit_on_all_their_pieces(spark):
+    import re
+    from collections import Counter
+
+    from tagloom.llm.mojibake import fit_documents
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r[0] for r in df.where("text is not null").select("text").collect() if not r[0].isascii()]
+    pieces = Counter(c for t in texts for c in re.findall(r"[^\s]{0,12}[^\x00-\x7F][^\s]{0,24}", t, re.ASCII))
+    whole, got = fit(list(pieces.items()), len(texts)), fit_documents(df.repartition(7))
+    assert got.pairs == whole.pairs and [t.pair for t in got.tables] == [t.pair for t in whole.tables]
+
+
+def test_a_repeated_corpus_gives_the_same_fit():
+    pieces = [("Диск", 4000), ("удалил", 40), ("größe", 900), ("schön", 1), ("удалил".encode().decode("cp1251"), 3), ("пустые", 7)]
+    one, many = fit(pieces, 6000), fit([(c, 64 * n) for c, n in pieces], 64 * 6000)
+    assert one.pairs == many.pairs and [t.pair for t in one.tables] == [t.pair for t in many.tables]
+
+
+def test_counts_by_neighbours_are_those_of_whole_pieces():
+    from tagloom.llm.mojibake import Table, _tables, count_neighbours, spelt_out
+
+    pieces = [w for s in SENTENCES for w in s.split(" ") if not w.isascii()] + ["5€/Ω~日本\\語", "a’b—ü、Ж\u0081", "naïve😀é", "é"]
+    sums = {}
+    count_neighbours([(w, i % 9 + 1) for i, w in enumerate(pieces)], sums)
+    texts = [f" {w} " for w in pieces]
+    whole = _tables([tokens(t)[1] for t in texts], texts, [i % 9 + 1 for i in range(len(texts))], [Table() for _ in range(len(PAIRS) + 1)])
+    assert spelt_out(sums) == {(i, *k): n for i, t in enumerate(whole) for k, n in t.pair.items()}
